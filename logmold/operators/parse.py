@@ -33,7 +33,7 @@ class ParseResult:
     """Trace tables of one run.
 
     * ``logs``: one row per line -- idx, text, batch_id, cluster_id, template,
-      source, level, event_type, masked (LogTrace + position).
+      source, slm_raw_output, level, event_type, masked (LogTrace + position).
     * ``batches``: one row per batch -- batch_id, cluster_id, number_of_logs,
       cache_key, source, template, slm_raw_output, used_fallback, lines.
     * ``keys``: one row per cache key of the run -- cache_key, hit (found in
@@ -125,10 +125,10 @@ def parse_logs(
         "slm_raw_output", "used_fallback", "lines",
     )
     logs = trace_batches.select(
-        "batch_id", "cluster_id", "template", "source", F.explode("lines").alias("l")
+        "batch_id", "cluster_id", "template", "source", "slm_raw_output", F.explode("lines").alias("l")
     ).select(
         F.col("l.idx").alias("idx"), F.col("l.text").alias("text"), "batch_id", "cluster_id",
-        "template", "source",
+        "template", "source", "slm_raw_output",
     )
     logs = logs.select(
         "*",
