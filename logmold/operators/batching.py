@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmold.functions.text import cache_key, signature
+from logmold.session import ensure_checkpoint_dir
 
 DEFAULT_BATCH_SIZE = 16
 DEFAULT_MIN_TOKENS = 3
@@ -61,7 +62,7 @@ def with_signature(lines: DataFrame, min_tokens: int = DEFAULT_MIN_TOKENS) -> Da
 def cluster_blocks(signed: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """(cluster_id, block, cnt, block_first_idx): partial-aggregated line counts."""
     return (
-        signed.select("cluster_id", _idiv("idx", block).alias("block"), "idx")
+        signed.select("cluster_id", "block" if "block" in signed.columns else _idiv("idx", block).alias("block"), "idx")
         .groupBy("cluster_id", "block")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("idx").alias("block_first_idx"))
     )
@@ -105,10 +106,30 @@ def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
 
     Input: ``(idx, text, ...)`` with unique ``idx``. Output adds
     ``cluster_id, cluster_pos (1-based), batch_id (1-based)``.
+
+    The line text is shuffled once, by (cluster_id, block); the row numbers
+    and the join with the offsets run on that exchange. The block counts are
+    a partial aggregation of the same scan.
     """
     _check_batch_size(batch_size)
-    signed = with_signature(lines, min_tokens).withColumn("block", _idiv("idx", block))
-    blocks = cluster_blocks(signed, block)
+    # A line without a position cannot be batched: fail instead of dropping
+    # it. The explicit not-null filters are then always true; stating them
+    # keeps the join-inferred ones from making the branches below the shared
+    # exchange differ (which would stop Spark from reusing it).
+    idx = F.when(F.col("idx").isNull(), F.raise_error(F.lit("idx must not be null"))).otherwise(F.col("idx"))
+    checked = lines.select(idx.cast("long").alias("idx"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    signed = with_signature(checked, min_tokens).withColumn("block", _idiv("idx", block))
+    signed = signed.filter(F.col("block").isNotNull() & F.col("cluster_id").isNotNull() & F.col("idx").isNotNull())
+    # Block counts aggregate map-side straight from the scan (one row per
+    # (cluster, block) per task crosses the network); only the line branch
+    # moves the text, through the explicit (cluster, block) exchange. The
+    # block table feeds two branches (cluster order and block offsets), so
+    # it is written once to the shared checkpoint folder: the scan and the
+    # signature regexes then run twice in all, not three times, and a lost
+    # executor does not lose it.
+    ensure_checkpoint_dir(lines.sparkSession)
+    blocks = cluster_blocks(signed, block).checkpoint(eager=True)
+    by_block = signed.repartition("cluster_id", "block")
     clusters = clusters_from_blocks(blocks, batch_size, cluster_block)
     # Offset of each block inside its cluster (one window row per block).
     in_cluster = Window.partitionBy("cluster_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,11 +139,11 @@ def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
         .select("cluster_id", "block", "line_base", "batch_base")
     )
     rn = F.row_number().over(Window.partitionBy("cluster_id", "block").orderBy("idx"))
-    numbered = signed.withColumn("_rn", rn)
+    numbered = by_block.withColumn("_rn", rn)
     out = numbered.join(offsets, ["cluster_id", "block"])
     out = out.withColumn("cluster_pos", (F.col("line_base") + F.col("_rn")).cast("long"))
     return out.withColumn(
-        "batch_id", F.col("batch_base") + _idiv_expr(f"cluster_pos - 1", batch_size) + F.lit(1)
+        "batch_id", F.col("batch_base") + _idiv_expr("cluster_pos - 1", batch_size) + F.lit(1)
     ).drop("_rn", "line_base", "batch_base", "block")
 
 
@@ -133,7 +154,10 @@ def collect_batches(assigned: DataFrame) -> DataFrame:
     bounded. Output: batch_id, cluster_id, number_of_logs, lines
     (array<struct<idx, text>> in input order), first_idx, first_text, cache_key.
     """
-    grouped = assigned.groupBy("batch_id").agg(
+    # Explicit exchange: every consumer of the batch table shares this one
+    # shuffle of the line text (the aggregation above it is cheap to repeat).
+    by_batch = assigned.select("batch_id", "cluster_id", "idx", "text").repartition("batch_id")
+    grouped = by_batch.groupBy("batch_id").agg(
         F.min("cluster_id").alias("cluster_id"),
         F.count(F.lit(1)).alias("number_of_logs"),
         F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("lines"),

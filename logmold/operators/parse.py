@@ -24,6 +24,7 @@ from logmold.operators.batching import (
     collect_batches,
 )
 from logmold.operators.generators import FallbackGenerator, TemplateGenerator
+from logmold.sources.lines import spread_input
 
 CACHE_COLUMNS = ["cache_key", "template_text", "created_at", "updated_at", "hit_count"]
 
@@ -106,7 +107,7 @@ def parse_logs(
     """Parse ``lines(idx, text)`` with an optional persisted ``cache``
     (cache_key, template_text, ...)."""
     generator = generator or FallbackGenerator()
-    assigned = assign_batches(lines.select("idx", "text"), batch_size, min_tokens, block, cluster_block)
+    assigned = assign_batches(spread_input(lines.select("idx", "text")), batch_size, min_tokens, block, cluster_block)
     batches = collect_batches(assigned)
     keys = lookup_keys(batches, cache, generator)
 

@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores (one small file, one row
+    group) over the cores before per-row regex work. An input with enough
+    splits -- any large one -- is returned unchanged, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def lines_from_list(spark: SparkSession, logs: list[str]) -> DataFrame:
     """Lines given on the command line (list position is the order)."""
     rows = [(i, "" if t is None else str(t)) for i, t in enumerate(logs)]
@@ -78,13 +88,13 @@ def text_lines(df: DataFrame, key: str, text_col: str = "text", key_bits: int =
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents``: doc_id, pos, idx, text (whole documents, every line)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text_lines(docs, "doc_id").select("idx", "doc_id", "pos", "text")
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``conversations``: one key per (conv_id, turn)."""
-    conv = table(spark, sf_dir, "conversations").select(
+    conv = spread_input(table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", "role",
         (F.col("conv_id").cast("long") * F.lit(1 << TURN_BITS)
          + _bounded(F.col("turn"), TURN_BITS)).alias("turn_key"),
@@ -126,7 +136,7 @@ def events_to_log_lines(events: DataFrame) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_log_lines(
-        table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+        spread_input(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     )
 
 
