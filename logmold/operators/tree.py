@@ -181,6 +181,11 @@ def leaf_json(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sorted_by(entries, key: str):
+    """Sort map entries by their (string) key; the values may hold maps."""
+    return F.array_sort(entries, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
+
+
 def tree_document(docs: DataFrame, header: dict, max_leaves: int = 100_000) -> DataFrame:
     """The reference's nested document as one JSON row.
 
@@ -197,12 +202,12 @@ def tree_document(docs: DataFrame, header: dict, max_leaves: int = 100_000) -> D
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "leaf"))), lambda x: x["leaf"]).alias("templates")
     )
     levels = events.groupBy("level", "color").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("event_type", F.struct("templates").alias("v"))))).alias("event_types")
+        F.map_from_entries(_sorted_by(F.collect_list(
+            F.struct("event_type", F.struct("templates").alias("v"))), "event_type")).alias("event_types")
     )
     tree = levels.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("level", F.struct("color", "event_types").alias("v"))))).alias("levels")
+        F.map_from_entries(_sorted_by(F.collect_list(
+            F.struct("level", F.struct("color", "event_types").alias("v"))), "level")).alias("levels")
     )
     head = [F.lit(v).alias(k) for k, v in header.items()]
     return tree.select(F.to_json(F.struct(*head, F.coalesce("levels", F.create_map()).alias("levels"))).alias("tree_data"))

@@ -6,8 +6,9 @@ a version named after the epoch, so a replayed epoch overwrites its own
 output and the job stays idempotent. Batches never span triggers.
 
 X2 counts lines per event-time window, level and event type, with a
-watermark: state of windows behind the watermark is dropped and rows arriving
-later than it are ignored. The sink keeps the newest count of every window.
+watermark: state of windows behind the watermark is dropped and rows older
+than the watermark of the previous micro-batch are ignored (Spark's rule for
+late rows). The sink keeps the newest count of every window.
 """
 
 from __future__ import annotations
