@@ -30,10 +30,14 @@ def template_distribution(logs: DataFrame) -> DataFrame:
     return logs.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distribution_map(logs: DataFrame) -> DataFrame:
-    """A2 in the reference's map shape (one row). Only for small runs: the map
-    holds every template, so its size is checked first."""
+def distribution_map(logs: DataFrame, max_templates: int = 100_000) -> DataFrame:
+    """A2 in the reference's map shape (one row). The map holds every
+    template, so its size is checked first; a larger run keeps the flat
+    ``template_distribution``."""
     dist = template_distribution(logs)
+    n = dist.count()
+    if n > max_templates:
+        raise ValueError(f"{n} templates (> {max_templates}); use template_distribution")
     return dist.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template", "n")))).alias("distribution"))
 
 

@@ -8,7 +8,7 @@ dense; every operator only compares ``idx`` values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logmold.functions.text import LINE_BREAK, py_strip
@@ -86,6 +86,36 @@ def text_lines(df: DataFrame, key: str, text_col: str = "text", key_bits: int =
     return stripped.filter(F.col("text") != F.lit(""))
 
 
+def read_log_files(spark: SparkSession, path: str, sub_bits: int = 16) -> DataFrame:
+    """S3 from text files: stripped, non-blank lines in (file path, offset)
+    order, with ``idx`` numbered without a global sort.
+
+    ``spark.read.text`` splits on \n, \r and \r\n only; the remaining Python
+    line boundaries split a physical line further (``sub_bits`` of idx).
+    Numbering: rows per (file, split) are counted, a running sum over the
+    splits (one row each, so the unpartitioned window is bounded by the
+    number of splits) gives each split its first line number, and a row's
+    offset inside its split comes from ``monotonically_increasing_id``.
+    Splits of one file are scanned in offset order, so ids are stable.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("mono"), "value",
+    )
+    per_split = raw.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("mono").alias("first_mono"))
+    running = Window.orderBy("file", "first_mono").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per_split.select("file", "part", "first_mono",
+                             F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
+    numbered = raw.join(bases, ["file", "part"]).select(
+        "file", (F.col("base") + F.col("mono") - F.col("first_mono")).alias("line_no"), "value")
+    exploded = numbered.select("file", "line_no", F.posexplode(split_text_lines(F.col("value"))).alias("pos", "raw"))
+    out = exploded.select(
+        (F.col("line_no") * F.lit(1 << sub_bits) + _bounded(F.col("pos"), sub_bits)).alias("idx"),
+        "file", py_strip(F.col("raw")).alias("text"),
+    )
+    return out.filter(F.col("text") != F.lit(""))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents``: doc_id, pos, idx, text (whole documents, every line)."""
     docs = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text"))

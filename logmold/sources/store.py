@@ -58,9 +58,11 @@ class TableStore:
         bases = [v for v, k in vs if k == "base"]
         if not vs:
             return self.spark.createDataFrame([], schema)
+        # NB: ``schema`` may name the partition column ``v`` to keep it.
         start = max(bases) if bases else 0
-        df = self.spark.read.schema(f"{schema}, v BIGINT, kind STRING").parquet(self._path(name))
         cols = [c.split()[0] for c in schema.split(",")]
+        data_schema = ", ".join(c for c in schema.split(",") if c.split()[0] not in ("v", "kind"))
+        df = self.spark.read.schema(f"{data_schema}, v BIGINT, kind STRING").parquet(self._path(name))
         keep = F.col("v") >= F.lit(start)
         if before is not None:
             keep = keep & (F.col("v") < F.lit(int(before)))
@@ -83,7 +85,8 @@ def load_cache(store: TableStore, before: int | None = None) -> DataFrame:
 
 
 def compact_cache(rows: DataFrame) -> DataFrame:
-    """Fold appended cache rows: last write of a key wins, hits add up."""
+    """Fold appended cache rows: last write of a key wins, hits add up.
+    (A partial aggregation: a key repeated in many deltas folds map-side.)"""
     return rows.groupBy("cache_key").agg(
         F.max_by("template_text", "updated_at").alias("template_text"),
         F.min("created_at").alias("created_at"),
@@ -99,18 +102,10 @@ def cache_get(cache: DataFrame, key: str) -> DataFrame:
 
 def merge_cache(cache: DataFrame, new_entries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Add the run's new keys and count the batches served by old keys."""
-    parts = [cache.select("cache_key", "template_text", "created_at", "updated_at", "hit_count"),
-             new_entries.select("cache_key", "template_text", "created_at", "updated_at", "hit_count")]
-    if hits is not None:
-        parts.append(hits.select(
-            "cache_key", F.lit(None).cast("string").alias("template_text"),
-            F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
-            F.col("hits").cast("long").alias("hit_count"),
-        ))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return compact_cache(rows)
+    old = cache.select("cache_key", "template_text", "created_at", "updated_at", "hit_count")
+    if hits is None:
+        hits = new_entries.sparkSession.createDataFrame([], "cache_key STRING, hits BIGINT")
+    return compact_cache(old.unionByName(cache_delta(new_entries, hits)))
 
 
 def retention_cutoff(run_ts, days: int):
@@ -138,6 +133,16 @@ def save_cache(store: TableStore, cache: DataFrame, version: int | None = None)
                                                        "updated_at", "hit_count"), "base", version)
 
 
+def cache_delta(new_entries: DataFrame, hits: DataFrame) -> DataFrame:
+    """U1 as an append: new keys plus one hit row per key served from the
+    cache; ``compact_cache`` folds them on read."""
+    return new_entries.select("cache_key", "template_text", "created_at", "updated_at", "hit_count").unionByName(
+        hits.select("cache_key", F.lit(None).cast("string").alias("template_text"),
+                    F.lit(None).cast("timestamp").alias("created_at"),
+                    F.lit(None).cast("timestamp").alias("updated_at"),
+                    F.col("hits").cast("long").alias("hit_count")))
+
+
 def append_cache(store: TableStore, entries: DataFrame, version: int | None = None) -> int:
     return store.write("template_cache", entries.select("cache_key", "template_text", "created_at",
                                                          "updated_at", "hit_count"), "delta", version)
@@ -146,8 +151,23 @@ def append_cache(store: TableStore, entries: DataFrame, version: int | None = No
 # --- stats (S7, U2) -------------------------------------------------------------
 
 def load_stats(store: TableStore, before: int | None = None) -> DataFrame:
-    """S7."""
-    return store.read("template_stats", STATS_SCHEMA, before)
+    """The base stats merged with every later run delta (U3 on read)."""
+    rows = store.read("template_stats", STATS_SCHEMA + ", v BIGINT", before)
+    example_pos = F.when(F.col("example_log") != F.lit(""), F.col("v"))
+    return rows.groupBy("template_text").agg(
+        F.sum("usage_count").cast("long").alias("usage_count"),
+        F.sum("cache_count").cast("long").alias("cache_count"),
+        F.sum("slm_count").cast("long").alias("slm_count"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_used").alias("last_used"),
+        F.coalesce(F.min_by("example_log", example_pos), F.lit("")).alias("example_log"),
+    )
+
+
+def append_stats(store: TableStore, run_stats: DataFrame, version: int | None = None) -> int:
+    """U2 as an append: the run's own stats; readers merge them."""
+    cols = [c.split()[0] for c in STATS_SCHEMA.split(",")]
+    return store.write("template_stats", run_stats.select(*cols), "delta", version)
 
 
 def save_stats(store: TableStore, stats: DataFrame, version: int | None = None) -> int:
@@ -218,3 +238,12 @@ def latest_snapshot(history: DataFrame) -> DataFrame:
     larger snapshot_id. The newest header is one small aggregate."""
     newest = history.agg(F.max(F.struct("created_at", "snapshot_id")).alias("m")).select("m.snapshot_id")
     return history.join(newest, "snapshot_id", "left_semi")
+
+
+def compact(store: TableStore, version: int | None = None) -> None:
+    """Fold the deltas of the cache and the stats into new base versions
+    (bounds the work of later reads; run it every few epochs)."""
+    v = version if version is not None else max(store.next_version("template_cache"),
+                                                store.next_version("template_stats"))
+    save_cache(store, load_cache(store, before=v), v)
+    save_stats(store, load_stats(store, before=v), v)

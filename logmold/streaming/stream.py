@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from logmold.functions.text import event_type, log_level
 from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
-from logmold.operators.stats import merge_stats, template_stats
+from logmold.operators.stats import template_stats
 from logmold.session import scratch_path
 from logmold.sources import store as ST
 from logmold.sources.lines import events_to_log_lines
@@ -43,7 +43,7 @@ def _as_glob(path: str) -> str:
 
 
 def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts,
-                 batch_size: int = 16, min_tokens: int = 3, generator=None):
+                 batch_size: int = 16, min_tokens: int = 3, generator=None, compact_every: int = 20):
     """``lines(idx, text, ...)`` stream -> trace logs, cache and stats tables
     in ``store``. Runs until the input available now is consumed."""
 
@@ -57,11 +57,12 @@ def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts
             "idx", "text", "batch_id", "cluster_id", "template", "source", "level", "event_type", "masked"
         ).withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
         store.write("trace_logs", logs_out, "delta", version)
-        new = new_cache_entries(result, run_ts)
-        merged_cache = ST.merge_cache(cache, new, cache_hits(result))
-        ST.save_cache(store, merged_cache, version)
-        run_stats = template_stats(result.logs, run_ts)
-        ST.save_stats(store, merge_stats(ST.load_stats(store, before=version), run_stats), version)
+        # State changes are appended as deltas (O(run), not O(state));
+        # every ``compact_every`` epochs the deltas fold into a new base.
+        ST.append_cache(store, ST.cache_delta(new_cache_entries(result, run_ts), cache_hits(result)), version)
+        ST.append_stats(store, template_stats(result.logs, run_ts), version)
+        if compact_every and version % compact_every == 0:
+            ST.compact(store, version + 1)
 
     query = (
         lines.writeStream.foreachBatch(per_epoch)

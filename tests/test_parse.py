@@ -110,3 +110,30 @@ def test_event_sink(spark, tmp_root):
     R.write_events(r.batches, r.logs, f"{tmp_root}/events", "2024-01-01 00:00:00")
     recs = [json.loads(x[0]) for x in spark.read.text(f"{tmp_root}/events").collect()]
     assert sorted(x["message"] for x in recs) == ["batch_processed", "batch_processed", "run_completed"]
+
+
+def test_sources(spark, tmp_root):
+    import json as _json
+
+    from logmold.sources.lines import lines_from_list, read_log_files, read_requests
+
+    text = "first line\n\n  second\x0bthird \r\nfourth\x1c\nfifth\n"
+    p = f"{tmp_root}/a.log"
+    with open(p, "w") as f:
+        f.write(text)
+    with open(f"{tmp_root}/b.log", "w") as f:
+        f.write("b1\nb2\n")
+    got = [r["text"] for r in read_log_files(spark, f"{tmp_root}/*.log").orderBy("idx").collect()]
+    expect = [x.strip() for x in text.splitlines() if x.strip()] + ["b1", "b2"]
+    assert got == expect
+    assert [r["text"] for r in lines_from_list(spark, ["x", "", "y"]).orderBy("idx").collect()] == ["x", "", "y"]
+    with open(f"{tmp_root}/req.json", "w") as f:
+        f.write(_json.dumps({"logs": ["a", "", "b"]}) + "\n")
+    assert [r["text"] for r in read_requests(spark, f"{tmp_root}/req.json").orderBy("idx").collect()] == ["a", "", "b"]
+
+
+def test_distribution_map(spark):
+    from logmold.operators.trace import distribution_map
+
+    logs = parse_logs(lines_df(spark, ["a 1", "a 2", "b"])).logs
+    assert distribution_map(logs).first()[0] == {"a <*>": 2, "b": 1}

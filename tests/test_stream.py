@@ -31,6 +31,8 @@ def test_stream_parse_per_trigger(spark, tmp_root):
     os.makedirs(staging)
     for i, f in enumerate(files):
         shutil.copy(f, f"{staging}/f{i}.parquet")
+        # the file source takes files in modification-time order
+        os.utime(f"{staging}/f{i}.parquet", (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
     store = ST.TableStore(spark, f"{tmp_root}/tables")
     events = event_stream(spark, staging, max_files_per_trigger=1)
     parse_stream(events_to_log_lines(events), store, f"{tmp_root}/ckpt", "2024-02-01 00:00:00")
@@ -68,6 +70,7 @@ def test_stream_level_counts_drops_late_rows(spark, tmp_root):
         d = f"{tmp_root}/w{i}"
         df.coalesce(1).write.parquet(d)
         shutil.copy(next(Path(d).glob("*.parquet")), f"{staging}/f{i}.parquet")
+        os.utime(f"{staging}/f{i}.parquet", (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
     store = ST.TableStore(spark, f"{tmp_root}/tables")
     run_level_counts(events_to_log_lines(event_stream(spark, staging, max_files_per_trigger=1)), store,
                      f"{tmp_root}/ckpt")
