@@ -102,7 +102,16 @@ def clusters_from_blocks(blocks: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE
 def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
                    min_tokens: int = DEFAULT_MIN_TOKENS, block: int = DEFAULT_BLOCK,
                    cluster_block: int = DEFAULT_CLUSTER_BLOCK) -> DataFrame:
-    """Every line with cluster_id, position in cluster and batch_id.
+    """Lines with cluster_id, cluster_pos and batch_id (see ``plan_batches``)."""
+    return plan_batches(lines, batch_size, min_tokens, block, cluster_block)[0]
+
+
+def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
+                 min_tokens: int = DEFAULT_MIN_TOKENS, block: int = DEFAULT_BLOCK,
+                 cluster_block: int = DEFAULT_CLUSTER_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Every line with cluster_id, position in cluster and batch_id,
+    plus the cluster table (cluster_id, first_idx, n_lines, n_batches,
+    batch_base), which is small and read from the checkpointed block table.
 
     Input: ``(idx, text, ...)`` with unique ``idx``. Output adds
     ``cluster_id, cluster_pos (1-based), batch_id (1-based)``.
@@ -142,9 +151,10 @@ def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     numbered = by_block.withColumn("_rn", rn)
     out = numbered.join(offsets, ["cluster_id", "block"])
     out = out.withColumn("cluster_pos", (F.col("line_base") + F.col("_rn")).cast("long"))
-    return out.withColumn(
+    assigned = out.withColumn(
         "batch_id", F.col("batch_base") + _idiv_expr("cluster_pos - 1", batch_size) + F.lit(1)
     ).drop("_rn", "line_base", "batch_base", "block")
+    return assigned, clusters
 
 
 def collect_batches(assigned: DataFrame) -> DataFrame:

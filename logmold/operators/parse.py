@@ -20,8 +20,8 @@ from logmold.operators.batching import (
     DEFAULT_BLOCK,
     DEFAULT_CLUSTER_BLOCK,
     DEFAULT_MIN_TOKENS,
-    assign_batches,
     collect_batches,
+    plan_batches,
 )
 from logmold.operators.generators import FallbackGenerator, TemplateGenerator
 from logmold.sources.lines import spread_input
@@ -40,11 +40,20 @@ class ParseResult:
     * ``keys``: one row per cache key of the run -- cache_key, hit (found in
       the persisted cache), first_batch_id, key_batches, template,
       raw_output, used_fallback.
+    * ``clusters``: one row per cluster -- cluster_id, first_idx, n_lines,
+      n_batches, batch_base.
     """
 
     logs: DataFrame
     batches: DataFrame
     keys: DataFrame
+    clusters: DataFrame | None = None
+
+    def batch_count(self) -> int:
+        """The latest batch id (ids are dense 1..N), from the small
+        cluster table -- no pass over the lines."""
+        row = self.clusters.agg(F.coalesce(F.sum("n_batches"), F.lit(0)).alias("n")).first()
+        return int(row["n"])
 
 
 def lookup_keys(batches: DataFrame, cache: DataFrame | None, generator: TemplateGenerator) -> DataFrame:
@@ -107,7 +116,8 @@ def parse_logs(
     """Parse ``lines(idx, text)`` with an optional persisted ``cache``
     (cache_key, template_text, ...)."""
     generator = generator or FallbackGenerator()
-    assigned = assign_batches(spread_input(lines.select("idx", "text")), batch_size, min_tokens, block, cluster_block)
+    assigned, clusters = plan_batches(spread_input(lines.select("idx", "text")), batch_size, min_tokens, block,
+                                      cluster_block)
     batches = collect_batches(assigned)
     keys = lookup_keys(batches, cache, generator)
 
@@ -137,7 +147,7 @@ def parse_logs(
         event_type(F.col("text")).alias("event_type"),
         mask_dynamic_parts(F.col("text")).alias("masked"),
     )
-    return ParseResult(logs=logs, batches=trace_batches, keys=keys)
+    return ParseResult(logs=logs, batches=trace_batches, keys=keys, clusters=clusters)
 
 
 def parse_templates(lines: DataFrame, **kwargs) -> DataFrame:

@@ -208,7 +208,7 @@ def q_cache_retention(spark, sf_dir):
 
 def _tree_inputs(spark, sf_dir):
     r = _parse(spark, sf_dir)
-    latest = TR.latest_batch_id(r.logs)
+    latest = r.batch_count()
     return r, latest, TR.tree_lines(r.logs, latest)
 
 

@@ -17,7 +17,8 @@ INSTANCE_KEYS = {"original_log", "source", "batch_id", "cluster_id", "masked", "
 
 def _tree(spark, texts, limit=2, show=True, debug=True):
     r = parse_logs(lines_df(spark, texts))
-    latest = TR.latest_batch_id(r.logs)
+    latest = r.batch_count()
+    assert latest == TR.latest_batch_id(r.logs)
     lines = TR.tree_lines(r.logs, latest)
     stats = template_stats(r.logs, "2024-01-01 00:00:00")
     leaves = TR.tree_leaves(lines, stats, latest, show, limit)
