@@ -174,8 +174,8 @@ def q_template_stats(spark, sf_dir):
     return S.stats_view(S.template_stats(_parse(spark, sf_dir).logs, RUN_TS))
 
 
-def _merged_stats(spark, sf_dir):
-    first, _, second = _two_runs(spark, sf_dir)
+def _merged_stats(spark, sf_dir, runs=None):
+    first, _, second = runs or _two_runs(spark, sf_dir)
     return S.merge_stats(S.template_stats(first.logs, HISTORY_RUN_TS), S.template_stats(second.logs, RUN_TS))
 
 
@@ -198,6 +198,37 @@ def q_cache_warm_run(spark, sf_dir):
     return warm.batches.select("batch_id", "cluster_id", "number_of_logs", "cache_key", "source", "template")
 
 
+def q_cache_merged(spark, sf_dir):
+    """The cache after both runs (new keys added, hits counted)."""
+    _, cache1, second = _two_runs(spark, sf_dir)
+    return ST.merge_cache(cache1, new_cache_entries(second, RUN_TS), cache_hits(second))
+
+
+def q_example_orphans(spark, sf_dir):
+    """Example rows of both runs whose template has no stats row in the
+    history (templates first seen in the later run)."""
+    first, _, second = _two_runs(spark, sf_dir)
+    orphans = ST.orphan_examples(_examples(first, second), S.template_stats(first.logs, HISTORY_RUN_TS))
+    return orphans.select("template_text", "original_log", "log_level", "event_type", "source", "batch_id",
+                          "created_at", "seq")
+
+
+def q_source_table(spark, sf_dir):
+    """R2: template, usage, cache_pct, slm_pct of the merged stats."""
+    return S.source_table(_merged_stats(spark, sf_dir))
+
+
+def q_structure_table(spark, sf_dir):
+    """Text, masked, level, event_type, source per line in trace order."""
+    return R.structure_table(_parse(spark, sf_dir).logs)
+
+
+def q_conversation_parsed_logs(spark, sf_dir):
+    r = parse_logs(L.conversation_lines(spark, sf_dir).select("idx", "text"), batch_size=BATCH_SIZE,
+                   min_tokens=MIN_TOKENS)
+    return r.logs.select("idx", "batch_id", "cluster_id", "template", "source", "level", "event_type")
+
+
 def q_cache_retention(spark, sf_dir):
     _, cache1, second = _two_runs(spark, sf_dir)
     merged = ST.merge_cache(cache1, new_cache_entries(second, RUN_TS), cache_hits(second))
@@ -247,10 +278,15 @@ def q_run_trace_json(spark, sf_dir):
     return R.batch_trace_json(_parse(spark, sf_dir).batches)
 
 
+def _examples(first, second):
+    return ST.example_rows(first.logs, HISTORY_RUN_TS, 0).unionByName(ST.example_rows(second.logs, RUN_TS, 1))
+
+
 def q_recent_examples(spark, sf_dir):
-    first, _, second = _two_runs(spark, sf_dir)
-    examples = ST.example_rows(first.logs, HISTORY_RUN_TS, 0).unionByName(ST.example_rows(second.logs, RUN_TS, 1))
-    stats = _merged_stats(spark, sf_dir)
+    runs = _two_runs(spark, sf_dir)
+    first, _, second = runs
+    examples = _examples(first, second)
+    stats = _merged_stats(spark, sf_dir, runs)
     recent = ST.recent_examples(examples, RECENT_N)
     known = stats.select("template_text", F.lit(True).alias("has_stats"))
     return recent.join(known, "template_text", "left").select(
@@ -325,6 +361,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_templates": q_top_templates,
     "cache_warm_run": q_cache_warm_run,
     "cache_retention": q_cache_retention,
+    "cache_merged": q_cache_merged,
+    "example_orphans": q_example_orphans,
+    "source_table": q_source_table,
+    "structure_table": q_structure_table,
+    "conversation_parsed_logs": q_conversation_parsed_logs,
     "tree_leaves": q_tree_leaves,
     "tree_instances": q_tree_instances,
     "tree_examples": q_tree_examples,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from logmold.functions import text as T
 from logmold.plans import catalog as C
-from logmold.sources.lines import DOC_POS_BITS, LOG_LINES_SQL
+from logmold.sources.lines import DOC_POS_BITS, LOG_LINES_SQL, TURN_BITS, TURN_POS_BITS
 
 # Python white space / line breaks as RE2 classes.
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -291,6 +291,38 @@ def build() -> dict[str, str]:
         f"m.template_text IS NOT NULL AS has_stats FROM (SELECT *, row_number() OVER (PARTITION BY template_text "
         f"ORDER BY created_at DESC, seq DESC) AS rank FROM ex) x LEFT JOIN merged m ON x.template_text = m.template_text "
         f"WHERE x.rank <= {C.RECENT_N}")
+    merged_cache = [
+        f"rows AS (SELECT cache_key, template_text, created_at, updated_at, hit_count FROM cache1 "
+        f"UNION ALL SELECT cache_key, template, {ts(C.RUN_TS)}, {ts(C.RUN_TS)}, CAST(key_batches - 1 AS BIGINT) "
+        f"FROM c_kt WHERE NOT hit "
+        f"UNION ALL SELECT cache_key, NULL, NULL, NULL, CAST(key_batches AS BIGINT) FROM c_kt WHERE hit)",
+        "merged_cache AS (SELECT cache_key, arg_max(template_text, updated_at) AS template_text, "
+        "min(created_at) AS created_at, max(updated_at) AS updated_at, CAST(sum(hit_count) AS BIGINT) AS hit_count "
+        "FROM rows GROUP BY cache_key)",
+    ]
+    o["cache_merged"] = with_(two_run_ctes() + merged_cache, "SELECT * FROM merged_cache")
+    examples = [
+        "ex AS (SELECT template AS template_text, text AS original_log, level AS log_level, event_type, source, "
+        f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, idx AS seq FROM h_logs UNION ALL "
+        "SELECT template, text, level, event_type, source, batch_id, "
+        f"{ts(C.RUN_TS)}, 1099511627776 + idx FROM c_logs)"]
+    o["example_orphans"] = with_(two_run_ctes() + examples, (
+        "SELECT * FROM ex WHERE template_text NOT IN (SELECT template_text FROM h_stats)"))
+    o["source_table"] = with_(two_run_ctes(), f"SELECT template_text, usage_count, "
+                                              f"{pct('cache_count', 'usage_count')} AS cache_pct, "
+                                              f"{pct('slm_count', 'usage_count')} AS slm_pct FROM merged")
+    o["structure_table"] = with_(single, "SELECT batch_id, idx, text, masked, level, event_type, source FROM r_logs")
+    conv_lines = f"""conv_lines AS (
+  SELECT turn_key * {1 << TURN_POS_BITS} + pos AS idx, text FROM (
+    SELECT turn_key, pos, {strip('raw')} AS text FROM (
+      SELECT turn_key, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
+      FROM (SELECT conv_id * {1 << TURN_BITS} + turn AS turn_key,
+                   string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM conversations) c0
+    ) c1
+  ) c2 WHERE text <> '')"""
+    o["conversation_parsed_logs"] = with_([conv_lines, EMPTY_CACHE] + parse_ctes("v", "conv_lines"),
+                                          "SELECT idx, batch_id, cluster_id, template, source, level, event_type "
+                                          "FROM v_logs")
     o["pluggable_parser"] = o["batch_source"]
     o["stream_parse"] = with_(single, "SELECT idx, batch_id, cluster_id, template, source, level, event_type FROM r_logs")
     o["stream_level_counts"] = with_([LL], (
