@@ -49,6 +49,11 @@ class ParseResult:
     keys: DataFrame
     clusters: DataFrame | None = None
 
+    def line_count(self) -> int:
+        """Lines of the run, from the small cluster table."""
+        row = self.clusters.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n")).first()
+        return int(row["n"])
+
     def batch_count(self) -> int:
         """The latest batch id (ids are dense 1..N), from the small
         cluster table -- no pass over the lines."""

@@ -211,3 +211,42 @@ def tree_document(docs: DataFrame, header: dict, max_leaves: int = 100_000) -> D
     )
     head = [F.lit(v).alias(k) for k, v in header.items()]
     return tree.select(F.to_json(F.struct(*head, F.coalesce("levels", F.create_map()).alias("levels"))).alias("tree_data"))
+
+
+# Reading a tree document (a snapshot or a sample file) back.
+LEAF_SCHEMA = (
+    "template_text STRING, count BIGINT, global_count BIGINT, first_seen STRING, last_seen STRING, "
+    "source STRUCT<cache: BIGINT, slm: BIGINT, cache_pct: DOUBLE, slm_pct: DOUBLE>, "
+    "current_batch_count BIGINT, highlight_current_batch BOOLEAN, "
+    "instances ARRAY<STRUCT<original_log: STRING, source: STRING, batch_id: BIGINT, cluster_id: STRING, "
+    "masked: STRING, in_current_batch: BOOLEAN>>, "
+    "instances_total BIGINT, instances_truncated BOOLEAN, omitted_instances BIGINT, example_logs ARRAY<STRING>, "
+    "debug STRUCT<cluster_ids: ARRAY<STRING>, cache_hit: BIGINT, cache_miss: BIGINT, raw_slm_outputs: ARRAY<STRING>>"
+)
+TREE_DOC_SCHEMA = (
+    "generated_at STRING, latest_batch_id BIGINT, show_current_batch BOOLEAN, debug_mode BOOLEAN, "
+    f"total_logs BIGINT, levels MAP<STRING, STRUCT<color: STRING, event_types: MAP<STRING, "
+    f"STRUCT<templates: ARRAY<STRUCT<{LEAF_SCHEMA}>>>>>>"
+)
+
+
+def read_tree_json(spark, path: str) -> DataFrame:
+    """Tree documents from JSON files (one document per file) with an
+    explicit schema -- nothing inferred."""
+    return spark.read.schema(TREE_DOC_SCHEMA).option("multiLine", True).json(path)
+
+
+def parse_tree_json(docs: DataFrame, col: str = "tree_data") -> DataFrame:
+    """Tree documents held as JSON text (snapshot rows) -> document rows."""
+    return docs.select(F.from_json(F.col(col), TREE_DOC_SCHEMA).alias("d")).select("d.*")
+
+
+def tree_leaf_rows(docs: DataFrame) -> DataFrame:
+    """Flatten documents to one row per leaf: level, color, event_type, rank, leaf fields."""
+    lv = docs.select("latest_batch_id", "total_logs", F.explode("levels").alias("level", "lv"))
+    ev = lv.select("latest_batch_id", "total_logs", "level", F.col("lv.color").alias("color"),
+                   F.explode("lv.event_types").alias("event_type", "ev"))
+    return ev.select("latest_batch_id", "total_logs", "level", "color", "event_type",
+                     F.posexplode("ev.templates").alias("template_rank", "leaf")).select(
+        "latest_batch_id", "total_logs", "level", "color", "event_type",
+        (F.col("template_rank") + 1).alias("template_rank"), "leaf.*")

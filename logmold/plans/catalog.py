@@ -52,7 +52,9 @@ def _two_runs(spark, sf_dir):
     ll = _lines(spark, sf_dir)
     early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
     first = parse_logs(ll.filter(early), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
-    cache1 = new_cache_entries(first, HISTORY_RUN_TS)
+    # The cache the first run leaves behind is what the second run reads:
+    # written once (key grain, small) instead of re-deriving the first run.
+    cache1 = new_cache_entries(first, HISTORY_RUN_TS).checkpoint(eager=True)
     second = parse_logs(ll.filter(~early), cache=cache1, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
     return first, cache1, second
 
@@ -274,6 +276,33 @@ def q_tree_json(spark, sf_dir):
     return TR.leaf_json(docs)
 
 
+def _tree_rows(r, run_ts):
+    latest = r.batch_count()
+    lines = TR.tree_lines(r.logs, latest)
+    docs = TR.leaf_documents(TR.tree_leaves(lines, S.template_stats(r.logs, run_ts), latest, True, INSTANCE_LIMIT),
+                             TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines))
+    return TR.leaf_json(docs), latest
+
+
+def q_tree_snapshot_latest(spark, sf_dir):
+    """S8 + S9: both runs append their tree snapshot to a versioned table in
+    the shared checkpoint folder; the latest snapshot is read back and its
+    leaf JSON parsed."""
+    from logmold.session import scratch_path
+
+    first, _, second = _two_runs(spark, sf_dir)
+    store = ST.TableStore(spark, scratch_path(spark, "tree-history"))
+    for sid, (run, ts) in enumerate([(first, HISTORY_RUN_TS), (second, RUN_TS)], start=1):
+        rows, latest = _tree_rows(run, ts)
+        total = run.line_count()
+        ST.append_snapshot(store, ST.snapshot_rows(rows, sid, ts, latest, total))
+    snap = ST.latest_snapshot(ST.load_tree_history(store))
+    leaf = F.from_json("tree_data", TR.LEAF_SCHEMA)
+    return snap.select("snapshot_id", "batch_id", "total_logs", "level", "event_type", "template_text",
+                       leaf["count"].alias("count"), leaf["source"]["cache"].alias("cache"),
+                       leaf["source"]["slm"].alias("slm"), leaf["instances_total"].alias("instances_total"))
+
+
 def q_run_trace_json(spark, sf_dir):
     return R.batch_trace_json(_parse(spark, sf_dir).batches)
 
@@ -372,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_debug": q_tree_debug,
     "tree_json": q_tree_json,
     "run_trace_json": q_run_trace_json,
+    "tree_snapshot_latest": q_tree_snapshot_latest,
     "recent_examples": q_recent_examples,
     "pluggable_parser": q_pluggable_parser,
     "stream_parse": q_stream_parse,

@@ -323,6 +323,15 @@ def build() -> dict[str, str]:
     o["conversation_parsed_logs"] = with_([conv_lines, EMPTY_CACHE] + parse_ctes("v", "conv_lines"),
                                           "SELECT idx, batch_id, cluster_id, template, source, level, event_type "
                                           "FROM v_logs")
+    o["tree_snapshot_latest"] = with_(two_run_ctes() + [
+        f"ctl AS (SELECT {tlevel('level')} AS level, {bucket('text', 'event_type')} AS event_type, "
+        f"template AS template_text, CASE WHEN upper(source) = 'CACHE' THEN 'CACHE' ELSE 'SLM' END AS source, "
+        f"batch_id FROM c_logs)"],
+        "SELECT CAST(2 AS BIGINT) AS snapshot_id, CAST((SELECT max(batch_id) FROM c_logs) AS BIGINT) AS batch_id, "
+        "CAST((SELECT count(*) FROM c_logs) AS BIGINT) AS total_logs, level, event_type, template_text, "
+        "count(*) AS \"count\", count(*) FILTER (WHERE source = 'CACHE') AS cache, "
+        "count(*) FILTER (WHERE source <> 'CACHE') AS slm, count(*) AS instances_total "
+        f"FROM ctl GROUP BY {LEAF}")
     o["pluggable_parser"] = o["batch_source"]
     o["stream_parse"] = with_(single, "SELECT idx, batch_id, cluster_id, template, source, level, event_type FROM r_logs")
     o["stream_level_counts"] = with_([LL], (

@@ -170,6 +170,11 @@ def append_stats(store: TableStore, run_stats: DataFrame, version: int | None =
     return store.write("template_stats", run_stats.select(*cols), "delta", version)
 
 
+def persisted_template_count(store: TableStore) -> int:
+    """Number of templates in the persisted stats."""
+    return load_stats(store).count()
+
+
 def save_stats(store: TableStore, stats: DataFrame, version: int | None = None) -> int:
     """The merged stats as a new base version."""
     cols = [c.split()[0] for c in STATS_SCHEMA.split(",")]

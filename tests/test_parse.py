@@ -137,3 +137,10 @@ def test_distribution_map(spark):
 
     logs = parse_logs(lines_df(spark, ["a 1", "a 2", "b"])).logs
     assert distribution_map(logs).first()[0] == {"a <*>": 2, "b": 1}
+
+
+def test_run_metrics(spark):
+    r = parse_logs(lines_df(spark, TEXTS))
+    m = R.run_with_metrics(r.logs, lambda df: df.write.format("noop").mode("overwrite").save())
+    assert m["total_logs"] == len(TEXTS) and m["cache_logs"] + m["slm_logs"] == len(TEXTS)
+    assert m["batch_count"] == r.batch_count() and m["processing_time_ms"] > 0

@@ -82,3 +82,17 @@ def test_template_order_in_bucket(spark):
     ranks = {r["template_text"]: r["template_rank"] for r in TR.leaf_json(docs).collect()}
     # count desc, ties in first-appearance order
     assert ranks == {"login b <*>": 1, "login a <*>": 2, "login c <*>": 3}
+
+
+def test_tree_json_round_trip(spark, tmp_root):
+    _, latest, leaves, docs = _tree(spark, TEXTS)
+    doc = TR.tree_document(docs, {"generated_at": "", "latest_batch_id": latest, "show_current_batch": True,
+                                  "debug_mode": True, "total_logs": len(TEXTS)}).first()["tree_data"]
+    with open(f"{tmp_root}/tree.json", "w") as f:
+        f.write(json.dumps(json.loads(doc), indent=2))
+    rows = TR.tree_leaf_rows(TR.read_tree_json(spark, f"{tmp_root}/tree.json")).collect()
+    got = {(r["level"], r["event_type"], r["template_text"]): (r["count"], r["template_rank"]) for r in rows}
+    want = {(r["level"], r["event_type"], r["template_text"]): (r["count"], 1) for r in leaves.collect()}
+    assert got == want
+    back = TR.tree_leaf_rows(TR.parse_tree_json(spark.createDataFrame([(doc,)], "tree_data STRING"))).count()
+    assert back == len(want)
