@@ -24,7 +24,6 @@ from logmold.operators.batching import (
     plan_batches,
 )
 from logmold.operators.generators import FallbackGenerator, TemplateGenerator
-from logmold.sources.lines import spread_input
 
 CACHE_COLUMNS = ["cache_key", "template_text", "created_at", "updated_at", "hit_count"]
 
@@ -119,10 +118,10 @@ def parse_logs(
     cluster_block: int = DEFAULT_CLUSTER_BLOCK,
 ) -> ParseResult:
     """Parse ``lines(idx, text)`` with an optional persisted ``cache``
-    (cache_key, template_text, ...)."""
+    (cache_key, template_text, ...). A small single-split input should be
+    passed through ``sources.lines.spread_input`` first (the sources do)."""
     generator = generator or FallbackGenerator()
-    assigned, clusters = plan_batches(spread_input(lines.select("idx", "text")), batch_size, min_tokens, block,
-                                      cluster_block)
+    assigned, clusters = plan_batches(lines.select("idx", "text"), batch_size, min_tokens, block, cluster_block)
     batches = collect_batches(assigned)
     keys = lookup_keys(batches, cache, generator)
 

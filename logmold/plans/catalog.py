@@ -195,7 +195,7 @@ def q_cache_warm_run(spark, sf_dir):
     ll = _lines(spark, sf_dir)
     early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
     first = parse_logs(ll.filter(early), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
-    cache = new_cache_entries(first, HISTORY_RUN_TS)
+    cache = new_cache_entries(first, HISTORY_RUN_TS).checkpoint(eager=True)
     warm = parse_logs(ll, cache=cache, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
     return warm.batches.select("batch_id", "cluster_id", "number_of_logs", "cache_key", "source", "template")
 

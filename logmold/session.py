@@ -15,14 +15,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Regex work per row is CPU-bound while its shuffles are small: let AQE
-    # coalesce small shuffles only down to one partition per core. Large
-    # inputs are still cut at the advisory size (64 MB by default).
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
