@@ -5,19 +5,16 @@ ordered by their first line; each cluster is cut into consecutive runs of
 ``batch_size`` lines in input order; batches are numbered 1..N over clusters
 in that order.
 
-Plan shape (no window is ever partitioned by a key that can be hot, and no
-window runs without a partition key except on a table whose size is bounded
-by ``idx`` range / ``block`` rows):
+Plan shape (no window partition grows with the data: every running sum is
+split into nested ranges, see ``exclusive_running_sum``):
 
 1. ``blocks``: count lines per (cluster, idx block), ``block = idx div B``
    (partial aggregation, so one hot cluster costs one row per block).
 2. ``clusters``: first idx and size per cluster, from ``blocks``.
 3. Global batch base per cluster: a running sum of batch counts in
-   first-appearance order, done in two levels (per block of first_idx, then
-   inside the block).
+   first-appearance order, over nested ranges of first_idx.
 4. Offset of each (cluster, block) inside its cluster: a running sum over
-   the blocks of one cluster (at most idx range / B rows even for a cluster
-   holding every line).
+   the blocks of one cluster, over nested ranges of blocks.
 5. Lines: ``row_number`` inside (cluster, block) -- at most B rows per window
    partition -- plus the offsets from 3 and 4 give the batch id. The join back
    is on (cluster, block), the same keys the window shuffled on, so the line
@@ -38,6 +35,8 @@ DEFAULT_MIN_TOKENS = 3
 DEFAULT_BLOCK = 1 << 20
 # first_idx values per block of clusters (level 1 of the global prefix sum).
 DEFAULT_CLUSTER_BLOCK = 1 << 20
+# Width (bits) of one level of the nested running sums.
+DEFAULT_RANGE_BITS = 20
 
 
 def _idiv(col: str, n: int):
@@ -68,47 +67,67 @@ def cluster_blocks(signed: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     )
 
 
+def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, weight: str, out: str,
+                          bits: tuple[int, ...] = (20, 40)) -> DataFrame:
+    """``out`` = sum of ``weight`` over the rows with the same ``keys`` and a
+    smaller ``order`` (unique within ``keys``), without a window over all rows.
+
+    ``order`` is cut into nested ranges of ``2**bits[i]`` values; sums per range
+    are partial aggregates, each level is a running sum inside its parent
+    range, and the levels are added back top-down. Every window partition then
+    holds at most ``2**(bits[i+1]-bits[i])`` rows (``2**bits[0]`` for the
+    rows themselves, ``2**(63-bits[-1])`` per key at the top), however sparse
+    or skewed the values are.
+    """
+    names = [f"_r{i}" for i in range(len(bits))]
+    d = df
+    for n, b in zip(names, bits):
+        d = d.withColumn(n, _idiv(order, 1 << b))
+    unb = Window.unboundedPreceding
+    top = d.groupBy(*keys, names[-1]).agg(F.sum(weight).alias("_s"))
+    w = Window.partitionBy(*keys).orderBy(names[-1]).rowsBetween(unb, -1) if keys else \
+        Window.orderBy(names[-1]).rowsBetween(unb, -1)
+    prev = top.select(*keys, names[-1], F.coalesce(F.sum("_s").over(w), F.lit(0)).cast("long").alias("_base"))
+    for i in range(len(names) - 2, -1, -1):
+        lvl = d.groupBy(*keys, *names[i:]).agg(F.sum(weight).alias("_s"))
+        w = Window.partitionBy(*keys, names[i + 1]).orderBy(names[i]).rowsBetween(unb, -1)
+        lvl = lvl.withColumn("_within", F.coalesce(F.sum("_s").over(w), F.lit(0)))
+        prev = lvl.join(prev, [*keys, *names[i + 1:]]).select(
+            *keys, *names[i:], (F.col("_base") + F.col("_within")).cast("long").alias("_base"))
+    w = Window.partitionBy(*keys, names[0]).orderBy(order).rowsBetween(unb, -1)
+    rows = d.withColumn("_within", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    return rows.join(prev, [*keys, *names]).withColumn(
+        out, (F.col("_base") + F.col("_within")).cast("long")).drop(*names, "_within", "_base")
+
+
 def clusters_from_blocks(blocks: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
-                         cluster_block: int = DEFAULT_CLUSTER_BLOCK) -> DataFrame:
+                         cluster_block: int = DEFAULT_CLUSTER_BLOCK,
+                         range_bits: int = DEFAULT_RANGE_BITS) -> DataFrame:
     """G1 + G3: one row per cluster with first_idx, n_lines, n_batches and the
-    number of batches of all earlier clusters (``batch_base``)."""
+    number of batches of all earlier clusters (``batch_base``), clusters in
+    first-appearance order. ``cluster_block`` sets the finest range of the
+    running sum (a power of two)."""
     _check_batch_size(batch_size)
     clusters = (
         blocks.groupBy("cluster_id")
         .agg(F.min("block_first_idx").alias("first_idx"), F.sum("cnt").alias("n_lines"))
         .withColumn("n_batches", F.expr(f"(n_lines + {batch_size - 1}) div {batch_size}"))
-        .withColumn("cblock", _idiv("first_idx", cluster_block))
-    )
-    # Level 1: batches per block of first_idx, running sum over the blocks.
-    # One row per non-empty block (<= idx range / cluster_block rows), so the
-    # unpartitioned window stays small however many lines there are.
-    per_block = clusters.groupBy("cblock").agg(F.sum("n_batches").alias("block_batches"))
-    running = Window.orderBy("cblock").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_block.select(
-        "cblock", F.coalesce(F.sum("block_batches").over(running), F.lit(0)).cast("long").alias("block_base")
-    )
-    # Level 2: inside a block (<= cluster_block clusters, as first_idx is unique).
-    inside = Window.partitionBy("cblock").orderBy("first_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        clusters.join(per_block, "cblock")
-        .withColumn(
-            "batch_base",
-            (F.col("block_base") + F.coalesce(F.sum("n_batches").over(inside), F.lit(0))).cast("long"),
-        )
-        .drop("cblock", "block_base")
     )
+    fine = max(1, int(cluster_block).bit_length() - 1)
+    return exclusive_running_sum(clusters, [], "first_idx", "n_batches", "batch_base", (fine, fine + range_bits))
 
 
 def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
                    min_tokens: int = DEFAULT_MIN_TOKENS, block: int = DEFAULT_BLOCK,
-                   cluster_block: int = DEFAULT_CLUSTER_BLOCK) -> DataFrame:
+                   cluster_block: int = DEFAULT_CLUSTER_BLOCK, range_bits: int = DEFAULT_RANGE_BITS) -> DataFrame:
     """Lines with cluster_id, cluster_pos and batch_id (see ``plan_batches``)."""
-    return plan_batches(lines, batch_size, min_tokens, block, cluster_block)[0]
+    return plan_batches(lines, batch_size, min_tokens, block, cluster_block, range_bits)[0]
 
 
 def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
                  min_tokens: int = DEFAULT_MIN_TOKENS, block: int = DEFAULT_BLOCK,
-                 cluster_block: int = DEFAULT_CLUSTER_BLOCK) -> tuple[DataFrame, DataFrame]:
+                 cluster_block: int = DEFAULT_CLUSTER_BLOCK,
+                 range_bits: int = DEFAULT_RANGE_BITS) -> tuple[DataFrame, DataFrame]:
     """Every line with cluster_id, position in cluster and batch_id,
     plus the cluster table (cluster_id, first_idx, n_lines, n_batches,
     batch_base), which is small and read from the checkpointed block table.
@@ -139,11 +158,12 @@ def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     ensure_checkpoint_dir(lines.sparkSession)
     blocks = cluster_blocks(signed, block).checkpoint(eager=True)
     by_block = signed.repartition("cluster_id", "block")
-    clusters = clusters_from_blocks(blocks, batch_size, cluster_block)
-    # Offset of each block inside its cluster (one window row per block).
-    in_cluster = Window.partitionBy("cluster_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    clusters = clusters_from_blocks(blocks, batch_size, cluster_block, range_bits)
+    # Offset of each block inside its cluster: a running sum over the blocks
+    # of one cluster, itself in ranges of 2**20 blocks (a cluster holding
+    # every line still gives bounded window partitions).
     offsets = (
-        blocks.withColumn("line_base", F.coalesce(F.sum("cnt").over(in_cluster), F.lit(0)).cast("long"))
+        exclusive_running_sum(blocks, ["cluster_id"], "block", "cnt", "line_base", (range_bits,))
         .join(clusters.select("cluster_id", "batch_base"), "cluster_id")
         .select("cluster_id", "block", "line_base", "batch_base")
     )

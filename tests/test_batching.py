@@ -31,7 +31,8 @@ def test_skewed_cluster_matches_plain_windows(spark):
         idx += rnd.choice([1, 1, 2, 7, 1000])
         rows.append((idx, t))
     df = spark.createDataFrame(rows, "idx BIGINT, text STRING")
-    fast = assign_batches(df, batch_size=16, block=64, cluster_block=8).select("idx", "cluster_id", "cluster_pos", "batch_id")
+    fast = assign_batches(df, batch_size=16, block=64, cluster_block=8, range_bits=3).select(
+        "idx", "cluster_id", "cluster_pos", "batch_id")
     slow = naive_batches(df, batch_size=16).select("idx", "cluster_id", "cluster_pos", "batch_id")
     a = sorted(tuple(r) for r in fast.collect())
     b = sorted(tuple(r) for r in slow.collect())
@@ -44,7 +45,7 @@ def test_batch_laws(spark):
     texts = _skewed_texts(500, 0.5, seed=11)
     df = lines_df(spark, texts)
     for bs in (1, 5, 16):
-        b = collect_batches(assign_batches(df, batch_size=bs, block=32, cluster_block=4))
+        b = collect_batches(assign_batches(df, batch_size=bs, block=32, cluster_block=4, range_bits=2))
         rows = b.collect()
         ids = sorted(r["batch_id"] for r in rows)
         assert ids == list(range(1, len(ids) + 1))
@@ -78,3 +79,22 @@ def test_fixture_numbers_sf001(spark):
     assert first == {"disk error on": 1, "warning: connection retry": 42, "get /api/page/<num> http": 164,
                      "info user <num>": 283, "transaction <guid> committed": 404, "login failed for": 524,
                      "service latency timed": 567, "heartbeat ok": 607}
+
+
+def test_exclusive_running_sum_levels(spark):
+    from logmold.operators.batching import exclusive_running_sum
+
+    rnd = random.Random(5)
+    rows = [(k, o, rnd.randint(0, 9)) for k in ("a", "b") for o in rnd.sample(range(-5000, 10 ** 6), 300)]
+    df = spark.createDataFrame(rows, "k STRING, o BIGINT, w BIGINT")
+    got = {(r["k"], r["o"]): r["s"] for r in exclusive_running_sum(df, ["k"], "o", "w", "s", (3, 7, 11)).collect()}
+    for k in ("a", "b"):
+        acc = 0
+        for _, o, w in sorted(x for x in rows if x[0] == k):
+            assert got[(k, o)] == acc
+            acc += w
+    flat = {r["o"]: r["s"] for r in exclusive_running_sum(df.filter("k = 'a'"), [], "o", "w", "s", (4, 9)).collect()}
+    acc = 0
+    for _, o, w in sorted(x for x in rows if x[0] == "a"):
+        assert flat[o] == acc
+        acc += w
