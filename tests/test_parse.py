@@ -144,3 +144,19 @@ def test_run_metrics(spark):
     m = R.run_with_metrics(r.logs, lambda df: df.write.format("noop").mode("overwrite").save())
     assert m["total_logs"] == len(TEXTS) and m["cache_logs"] + m["slm_logs"] == len(TEXTS)
     assert m["batch_count"] == r.batch_count() and m["processing_time_ms"] > 0
+
+
+def test_cli_runs_with_state(spark, tmp_root, capsys):
+    from logmold.__main__ import main
+
+    with open(f"{tmp_root}/a.log", "w") as f:
+        f.write("User 1 logged in from 10.0.0.1\nUser 2 logged in from 10.0.0.2\nDisk error on node 7\n")
+    args = ["--input", f"{tmp_root}/*.log", "--state", f"{tmp_root}/state"]
+    assert main(["parse", *args, "--out", f"{tmp_root}/o1", "--run-ts", "2024-01-01 00:00:00"]) == 0
+    assert main(["parse", *args, "--out", f"{tmp_root}/o2", "--run-ts", "2024-01-02 00:00:00"]) == 0
+    second = spark.read.parquet(f"{tmp_root}/o2/trace_logs")
+    assert {r["source"] for r in second.select("source").distinct().collect()} == {"CACHE"}
+    assert main(["stats", "--state", f"{tmp_root}/state", "--top", "1"]) == 0
+    assert main(["templates", "--logs", "Disk error on node 7"]) == 0
+    out = capsys.readouterr().out
+    assert "4  User <*> logged in from <*>" in out and "Disk error on node <*>" in out
