@@ -142,8 +142,8 @@ def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
     joined = leaves.join(inst, LEAF, "left").join(ex, LEAF, "left")
     fields = [
         "template_text", "count", "global_count",
-        F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("first_seen"),
-        F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("last_seen"),
+        F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("first_seen"),
+        F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("last_seen"),
         F.struct("cache", "slm", "cache_pct", "slm_pct").alias("source"),
         "current_batch_count", "highlight_current_batch",
         F.coalesce(F.transform("_inst", lambda x: x.dropFields("rank")), F.array()).alias("instances"),

@@ -133,7 +133,7 @@ def q_tree_bucket(spark, sf_dir):
 
 def q_clusters(spark, sf_dir):
     signed = with_signature(_lines(spark, sf_dir).select("idx", "text"), MIN_TOKENS)
-    cl = clusters_from_blocks(cluster_blocks(signed), BATCH_SIZE)
+    cl = clusters_from_blocks(cluster_blocks(signed), BATCH_SIZE)  # nested ranges: no count needed
     return cl.select("cluster_id", "first_idx", "n_lines", "n_batches",
                      (F.col("batch_base") + 1).alias("first_batch_id"))
 
