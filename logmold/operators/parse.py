@@ -25,7 +25,6 @@ from logmold.operators.batching import (
 )
 from logmold.operators.generators import FallbackGenerator, TemplateGenerator
 
-CACHE_COLUMNS = ["cache_key", "template_text", "created_at", "updated_at", "hit_count"]
 
 
 @dataclass
