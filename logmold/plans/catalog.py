@@ -240,14 +240,22 @@ def q_cache_retention(spark, sf_dir):
 # --- tree ---------------------------------------------------------------------
 
 def _tree_inputs(spark, sf_dir):
+    """The run's trace as tree lines, written once to the shared checkpoint
+    folder: the leaves, stats, instances, examples and debug branches all read
+    that table instead of re-deriving the trace each."""
     r = _parse(spark, sf_dir)
     latest = r.batch_count()
-    return r, latest, TR.tree_lines(r.logs, latest)
+    return r, latest, TR.tree_lines(r.logs, latest).checkpoint(eager=True)
+
+
+def _run_stats(lines, run_ts):
+    """A4 of the run, from its tree lines (same rows as the trace)."""
+    return S.template_stats(lines.withColumnRenamed("template_text", "template"), run_ts)
 
 
 def q_tree_leaves(spark, sf_dir):
     r, latest, lines = _tree_inputs(spark, sf_dir)
-    stats = S.template_stats(r.logs, RUN_TS)
+    stats = _run_stats(lines, RUN_TS)
     return TR.tree_leaves(lines, stats, latest, True, INSTANCE_LIMIT).drop("first_batch_id", "first_idx")
 
 
@@ -268,7 +276,7 @@ def q_tree_debug(spark, sf_dir):
 
 def q_tree_json(spark, sf_dir):
     r, latest, lines = _tree_inputs(spark, sf_dir)
-    stats = S.template_stats(r.logs, RUN_TS)
+    stats = _run_stats(lines, RUN_TS)
     docs = TR.leaf_documents(
         TR.tree_leaves(lines, stats, latest, True, INSTANCE_LIMIT),
         TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines), TR.tree_debug(lines),
@@ -278,8 +286,8 @@ def q_tree_json(spark, sf_dir):
 
 def _tree_rows(r, run_ts):
     latest = r.batch_count()
-    lines = TR.tree_lines(r.logs, latest)
-    docs = TR.leaf_documents(TR.tree_leaves(lines, S.template_stats(r.logs, run_ts), latest, True, INSTANCE_LIMIT),
+    lines = TR.tree_lines(r.logs, latest).checkpoint(eager=True)
+    docs = TR.leaf_documents(TR.tree_leaves(lines, _run_stats(lines, run_ts), latest, True, INSTANCE_LIMIT),
                              TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines))
     return TR.leaf_json(docs), latest
 
