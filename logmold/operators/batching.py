@@ -172,7 +172,7 @@ def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     by_block = signed.repartition("cluster_id", "block")
     clusters = clusters_from_blocks(blocks, batch_size, cluster_block, range_bits, levels)
     # Offset of each block inside its cluster: a running sum over the blocks
-    # of one cluster, itself in ranges of 2**20 blocks (a cluster holding
+    # of one cluster, itself in ranges of 2**range_bits blocks (a cluster holding
     # every line still gives bounded window partitions).
     offsets = (
         exclusive_running_sum(blocks, ["cluster_id"], "block", "cnt", "line_base", (range_bits,) if levels else ())

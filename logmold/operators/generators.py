@@ -27,15 +27,16 @@ from logmold.functions.text import (
     heuristic_template,
     normalize_template,
 )
+from logmold.session import ship_package
 
 GENERATED_SCHEMA = "cache_key STRING, template STRING, raw_output STRING, used_fallback BOOLEAN"
 
-# One loaded model per Python worker process and factory.
-_MODELS: dict[int, Callable] = {}
+# One loaded model per Python worker process and generator (keyed by a token
+# fixed on the driver, so every task of the job finds the same entry).
+_MODELS: dict[str, Callable] = {}
 
 
-def _model(factory: Callable[[], Callable]) -> Callable:
-    key = id(factory)
+def _model(key: str, factory: Callable[[], Callable]) -> Callable:
     if key not in _MODELS:
         _MODELS[key] = factory()
     return _MODELS[key]
@@ -80,10 +81,14 @@ class ModelGenerator(TemplateGenerator):
     nondeterministic = True
 
     def __init__(self, factory: Callable[[], Callable[[str], str]]):
+        import uuid
+
         self.factory = factory
+        self.key = uuid.uuid4().hex
 
     def generate(self, misses: DataFrame) -> DataFrame:
-        factory = self.factory
+        ship_package(misses.sparkSession)
+        factory, key = self.factory, self.key
 
         def run(frames: Iterator):
             import pandas as pd
@@ -93,7 +98,7 @@ class ModelGenerator(TemplateGenerator):
             for pdf in frames:
                 if model is None and not load_error:
                     try:
-                        model = _model(factory)
+                        model = _model(key, factory)
                     except Exception:
                         load_error = True
                 raws, failed = [], []
@@ -131,6 +136,7 @@ class CallableGenerator(TemplateGenerator):
         self.nondeterministic = not deterministic
 
     def generate(self, misses: DataFrame) -> DataFrame:
+        ship_package(misses.sparkSession)
         parse = self.parse
 
         def run(frames: Iterator):

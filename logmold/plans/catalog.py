@@ -334,25 +334,30 @@ def q_recent_examples(spark, sf_dir):
 
 # --- pluggable generator --------------------------------------------------------
 
-def _echo_model():
+def _echo_model_factory(patterns: list[str]):
     """A stand-in model: answers with the first prompt line after ``Logs:``,
-    masked like the fallback, in the raw shape a model returns."""
-    import re
+    masked like the fallback, in the raw shape a model returns. Built as a
+    closure so the worker needs nothing but the pattern strings."""
 
-    pats = [re.compile(p) for p in T.TEMPLATE_MASK_ORDER]
+    def factory():
+        import re
 
-    def generate(prompt: str) -> str:
-        body = prompt.split("Logs:\n", 1)[1]
-        first = body.split("\n", 1)[0][2:]
-        for p in pats:
-            first = p.sub("<*>", first)
-        return f"Template: {first}\nextra words"
+        pats = [re.compile(p) for p in patterns]
 
-    return generate
+        def generate(prompt: str) -> str:
+            body = prompt.split("Logs:\n", 1)[1]
+            first = body.split("\n", 1)[0][2:]
+            for p in pats:
+                first = p.sub("<*>", first)
+            return f"Template: {first}\nextra words"
+
+        return generate
+
+    return factory
 
 
 def q_pluggable_parser(spark, sf_dir):
-    r = _parse(spark, sf_dir, generator=ModelGenerator(_echo_model))
+    r = _parse(spark, sf_dir, generator=ModelGenerator(_echo_model_factory(list(T.TEMPLATE_MASK_ORDER))))
     return r.batches.select("batch_id", "cache_key", "source", "template")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +74,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``logmold`` importable in the Python workers (only the
+    ``mapInPandas`` generators run Python there).
+
+    With a checkpoint folder on a local filesystem (local mode, tests) the
+    package is zipped into it and added with ``addPyFile``; with remote
+    storage the deployment ships it (``--py-files``) and nothing is done.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else (base if "://" not in base else None)
+    if local is None:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, f"logmold-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w") as zf:
+        for folder, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
