@@ -311,6 +311,42 @@ def q_tree_snapshot_latest(spark, sf_dir):
                        leaf["source"]["slm"].alias("slm"), leaf["instances_total"].alias("instances_total"))
 
 
+def q_cache_hottest(spark, sf_dir):
+    """O6 as a report: the ten cache entries served most often after both
+    runs (nulls last, ties by key)."""
+    return ST.hottest_cache(q_cache_merged(spark, sf_dir)).limit(TOP_N)
+
+
+def q_stats_persisted(spark, sf_dir):
+    """S7 + U2: each run appends its stats to a versioned table in the shared
+    checkpoint folder; reading folds the deltas (U3 on read)."""
+    from logmold.session import scratch_path
+
+    first, _, second = _two_runs(spark, sf_dir)
+    store = ST.TableStore(spark, scratch_path(spark, "stats"))
+    ST.append_stats(store, S.template_stats(first.logs, HISTORY_RUN_TS))
+    ST.append_stats(store, S.template_stats(second.logs, RUN_TS))
+    return ST.load_stats(store)
+
+
+EVENT_SCHEMA = ("level STRING, logger STRING, message STRING, ts STRING, batch_id BIGINT, cluster_id STRING, "
+                "number_of_logs BIGINT, cache_key STRING, source STRING, slm_raw_output STRING, "
+                "total_logs BIGINT, batch_count BIGINT, template_count BIGINT")
+
+
+def q_event_log(spark, sf_dir):
+    """The run's JSON-lines event records, written and read back with a
+    schema (batch_processed per batch, one run_completed)."""
+    from logmold.session import scratch_path
+
+    r = _parse(spark, sf_dir)
+    path = scratch_path(spark, "events")
+    R.write_events(r.batches, r.logs, path, RUN_TS)
+    ev = spark.read.schema(EVENT_SCHEMA).json(path)
+    return ev.select("message", "ts", "batch_id", "cluster_id", "number_of_logs", "source",
+                     "total_logs", "batch_count", "template_count")
+
+
 def q_run_trace_json(spark, sf_dir):
     return R.batch_trace_json(_parse(spark, sf_dir).batches)
 
@@ -415,6 +451,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_json": q_tree_json,
     "run_trace_json": q_run_trace_json,
     "tree_snapshot_latest": q_tree_snapshot_latest,
+    "cache_hottest": q_cache_hottest,
+    "stats_persisted": q_stats_persisted,
+    "event_log": q_event_log,
     "recent_examples": q_recent_examples,
     "pluggable_parser": q_pluggable_parser,
     "stream_parse": q_stream_parse,

@@ -301,6 +301,16 @@ def build() -> dict[str, str]:
         "FROM rows GROUP BY cache_key)",
     ]
     o["cache_merged"] = with_(two_run_ctes() + merged_cache, "SELECT * FROM merged_cache")
+    o["cache_hottest"] = with_(two_run_ctes() + merged_cache, (
+        f"SELECT * FROM merged_cache ORDER BY hit_count DESC NULLS LAST, cache_key LIMIT {C.TOP_N}"))
+    o["stats_persisted"] = with_(two_run_ctes(), "SELECT * FROM merged")
+    run_ts_text = C.RUN_TS.replace(" ", "T")
+    o["event_log"] = with_(single, (
+        f"SELECT 'batch_processed' AS message, '{run_ts_text}' AS ts, batch_id, cluster_id, "
+        "CAST(number_of_logs AS BIGINT) AS number_of_logs, source, CAST(NULL AS BIGINT) AS total_logs, "
+        "CAST(NULL AS BIGINT) AS batch_count, CAST(NULL AS BIGINT) AS template_count FROM r_bt "
+        f"UNION ALL SELECT 'run_completed', '{run_ts_text}', NULL, NULL, NULL, NULL, count(*), "
+        "CAST(coalesce(max(batch_id), 0) AS BIGINT), count(DISTINCT template) FROM r_logs"))
     examples = [
         "ex AS (SELECT template AS template_text, text AS original_log, level AS log_level, event_type, source, "
         f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, idx AS seq FROM h_logs UNION ALL "
