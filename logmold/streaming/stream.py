@@ -48,8 +48,10 @@ def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts
     in ``store``. Runs until the input available now is consumed."""
 
     def per_epoch(batch: DataFrame, epoch_id: int) -> None:
-        # State as it was before this epoch: a replayed epoch sees the same input.
-        version = int(epoch_id) + 1
+        # State as it was before this epoch: a replayed epoch sees the same
+        # input. Epoch e writes version 2e+2; a compaction after it writes
+        # its base as 2e+3, so bases and deltas never share a version.
+        version = 2 * int(epoch_id) + 2
         cache = ST.load_cache(store, before=version)
         result = parse_logs(batch.select("idx", "text"), cache=cache, generator=generator,
                             batch_size=batch_size, min_tokens=min_tokens)
@@ -61,7 +63,7 @@ def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts
         # every ``compact_every`` epochs the deltas fold into a new base.
         ST.append_cache(store, ST.cache_delta(new_cache_entries(result, run_ts), cache_hits(result)), version)
         ST.append_stats(store, template_stats(result.logs, run_ts), version)
-        if compact_every and version % compact_every == 0:
+        if compact_every and (int(epoch_id) + 1) % compact_every == 0:
             ST.compact(store, version + 1)
 
     query = (
