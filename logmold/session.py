@@ -21,6 +21,10 @@ DEFAULT_CONF = {
     # templates) are removed from the shared folder once unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streaming state (X2 windows) in RocksDB: off-heap, spills to disk,
+    # snapshots to the checkpoint location; survives large window state.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
