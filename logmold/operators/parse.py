@@ -133,8 +133,9 @@ def parse_logs(
         F.when(~F.col("hit") & first, F.col("used_fallback")).otherwise(F.lit(False)).alias("used_fallback"),
     )
     # ``batches`` is hash-partitioned by batch_id already: only the narrow
-    # per-batch side moves.
-    trace_batches = batches.join(per_batch, "batch_id").select(
+    # per-batch side moves, and it is the hashed side, so the batch arrays
+    # (all the text) stream through the join without being sorted.
+    trace_batches = batches.join(per_batch.hint("shuffle_hash"), "batch_id").select(
         "batch_id", "cluster_id", "number_of_logs", "cache_key", "source", "template",
         "slm_raw_output", "used_fallback", "lines",
     )
