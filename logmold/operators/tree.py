@@ -175,7 +175,7 @@ def leaf_json(docs: DataFrame) -> DataFrame:
         F.col("count").desc(), F.col("first_batch_id"), F.col("first_idx"))
     return docs.select(
         "level", "color", "event_type",
-        F.row_number().over(w).alias("template_rank"),
+        F.row_number().over(w).cast("long").alias("template_rank"),
         F.col("leaf.template_text").alias("template_text"),
         F.to_json("leaf").alias("leaf_json"),
     )

@@ -342,6 +342,43 @@ def build() -> dict[str, str]:
         "count(*) AS \"count\", count(*) FILTER (WHERE source = 'CACHE') AS cache, "
         "count(*) FILTER (WHERE source <> 'CACHE') AS slm, count(*) AS instances_total "
         f"FROM ctl GROUP BY {LEAF}")
+    o["run_trace_json"] = with_(single, (
+        "SELECT b.batch_id, to_json(struct_pack(batch_id := b.batch_id, cluster_id := b.cluster_id, "
+        "number_of_logs := b.number_of_logs, cache_key := b.cache_key, source := b.source, slm_raw_output := '', "
+        "logs := l.logs)) AS batch_json FROM r_bt b JOIN (SELECT batch_id, list(struct_pack(text := text, "
+        "template := template, source := source, level := level, event_type := event_type, masked := masked) "
+        "ORDER BY idx) AS logs FROM r_logs GROUP BY batch_id) l ON b.batch_id = l.batch_id"))
+    fmt = "'%Y-%m-%dT%H:%M:%S.%f+00:00'"
+    o["tree_json"] = with_(tree_ctes() + [
+        f"leaves AS (SELECT {LEAF}, count(*) AS \"count\", count(*) FILTER (WHERE source = 'CACHE') AS cache, "
+        f"count(*) FILTER (WHERE source <> 'CACHE') AS slm, count(*) FILTER (WHERE in_current_batch) AS cur, "
+        f"min(batch_id * 1099511627776 + idx) AS first_pos FROM tl GROUP BY {LEAF})",
+        f"inst AS (SELECT {LEAF}, list(struct_pack(original_log := text, source := source, batch_id := batch_id, "
+        f"cluster_id := cluster_id, masked := masked, in_current_batch := in_current_batch) ORDER BY rank) AS instances "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY {LEAF} ORDER BY batch_id, idx) AS rank FROM tl) x "
+        f"WHERE rank <= {limit} GROUP BY {LEAF})",
+        f"firsts AS (SELECT {LEAF}, text, min(batch_id * 1099511627776 + idx) AS pos FROM tl WHERE text <> '' "
+        f"GROUP BY {LEAF}, text)",
+        f"ex AS (SELECT {LEAF}, list(text ORDER BY rank) AS example_logs FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY {LEAF} ORDER BY pos) AS rank FROM firsts) x WHERE rank <= 3 GROUP BY {LEAF})",
+        f"dbg AS (SELECT {LEAF}, list(DISTINCT cluster_id ORDER BY cluster_id) AS cluster_ids FROM tl GROUP BY {LEAF})",
+    ], (
+        f"SELECT l.level, {color('l.level')} AS color, l.event_type, CAST(row_number() OVER (PARTITION BY l.level, "
+        f"l.event_type ORDER BY l.\"count\" DESC, l.first_pos) AS BIGINT) AS template_rank, l.template_text, "
+        f"to_json(struct_pack(template_text := l.template_text, count := l.\"count\", "
+        f"global_count := CAST(coalesce(s.usage_count, 0) AS BIGINT), "
+        f"first_seen := strftime(s.first_seen, {fmt}), last_seen := strftime(s.last_used, {fmt}), "
+        f"source := struct_pack(cache := l.cache, slm := l.slm, cache_pct := {pct('l.cache', 'l.\"count\"')}, "
+        f"slm_pct := {pct('l.slm', 'l.\"count\"')}), current_batch_count := l.cur, "
+        f"highlight_current_batch := l.cur > 0, instances := coalesce(i.instances, []), "
+        f"instances_total := l.\"count\", instances_truncated := l.\"count\" > {limit}, "
+        f"omitted_instances := greatest(l.\"count\" - {limit}, 0), example_logs := coalesce(e.example_logs, []), "
+        f"debug := struct_pack(cluster_ids := d.cluster_ids, cache_hit := l.cache, cache_miss := l.slm, "
+        f"raw_slm_outputs := CAST([] AS VARCHAR[])))) AS leaf_json "
+        f"FROM leaves l LEFT JOIN r_stats s ON l.template_text = s.template_text "
+        f"LEFT JOIN inst i ON l.level = i.level AND l.event_type = i.event_type AND l.template_text = i.template_text "
+        f"LEFT JOIN ex e ON l.level = e.level AND l.event_type = e.event_type AND l.template_text = e.template_text "
+        f"LEFT JOIN dbg d ON l.level = d.level AND l.event_type = d.event_type AND l.template_text = d.template_text"))
     o["pluggable_parser"] = o["batch_source"]
     o["stream_parse"] = with_(single, "SELECT idx, batch_id, cluster_id, template, source, level, event_type FROM r_logs")
     o["stream_level_counts"] = with_([LL], (
