@@ -130,9 +130,17 @@ def tree_debug(lines: DataFrame, n_raw: int = RAW_OUTPUTS_PER_LEAF) -> DataFrame
     return clusters.unionByName(raws)
 
 
+def _utc_iso(ts: Column, session_tz: str) -> Column:
+    """ISO-8601 text of an instant in UTC (``...+00:00``), whatever the
+    session time zone: shift so the session renders the UTC wall clock."""
+    shifted = F.to_utc_timestamp(ts, session_tz)
+    return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
                    debug: DataFrame | None = None) -> DataFrame:
     """One JSON-ready struct per leaf (bounded arrays only)."""
+    tz = leaves.sparkSession.conf.get("spark.sql.session.timeZone")
     inst = instances.groupBy(*LEAF).agg(
         F.array_sort(F.collect_list(F.struct(
             "rank", "original_log", "source", "batch_id", "cluster_id", "masked", "in_current_batch",
@@ -142,8 +150,8 @@ def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
     joined = leaves.join(inst, LEAF, "left").join(ex, LEAF, "left")
     fields = [
         "template_text", "count", "global_count",
-        F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("first_seen"),
-        F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("last_seen"),
+        _utc_iso(F.col("first_seen"), tz).alias("first_seen"),
+        _utc_iso(F.col("last_seen"), tz).alias("last_seen"),
         F.struct("cache", "slm", "cache_pct", "slm_pct").alias("source"),
         "current_batch_count", "highlight_current_batch",
         F.coalesce(F.transform("_inst", lambda x: x.dropFields("rank")), F.array()).alias("instances"),
