@@ -160,3 +160,13 @@ def test_cli_runs_with_state(spark, tmp_root, capsys):
     assert main(["templates", "--logs", "Disk error on node 7"]) == 0
     out = capsys.readouterr().out
     assert "4  User <*> logged in from <*>" in out and "Disk error on node <*>" in out
+
+
+def test_spread_input_only_for_small_inputs(spark):
+    from logmold.sources.lines import spread_input
+
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread_input(one).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores + 2)
+    assert spread_input(many) is many
