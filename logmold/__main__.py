@@ -9,6 +9,9 @@
 * ``tree --trace DIR [--state DIR] --out DIR``  leaf JSON rows of the tree of a
   written trace (T1-T5), with ``--instance-limit``, ``--debug``,
   ``--no-current-batch``.
+* ``retain --state DIR [--days 30]``  drop cache entries not written within
+  the last days, print how many (U4).
+* ``cache --state DIR [--top N]``  cache entries served most often (O6).
 * ``classify --template T``  ``error`` / ``normal`` (F12).
 
 Everything large is written by Spark; only small answers (the templates of
@@ -49,6 +52,13 @@ def main(argv: list[str] | None = None) -> int:
     tr.add_argument("--instance-limit", type=int, default=25)
     tr.add_argument("--debug", action="store_true")
     tr.add_argument("--no-current-batch", action="store_true")
+    rt = sub.add_parser("retain")
+    rt.add_argument("--state", required=True)
+    rt.add_argument("--days", type=int, default=30)
+    rt.add_argument("--run-ts", default=None)
+    hc = sub.add_parser("cache")
+    hc.add_argument("--state", required=True)
+    hc.add_argument("--top", type=int, default=10)
     c = sub.add_parser("classify")
     c.add_argument("--template", required=True)
     for q in (t, sub.choices["parse"]):
@@ -112,6 +122,23 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{row['usage_count']:>10}  {row['template_text']}")
         return 0
 
+    if args.cmd == "retain":
+        store = ST.TableStore(spark, args.state)
+        run_ts = args.run_ts or _now()
+        version = store.next_version("template_cache")
+        cache = ST.load_cache(store, before=version)
+        removed = ST.expired_count(cache, run_ts, args.days)
+        ST.save_cache(store, ST.retain_cache(cache, run_ts, args.days), version)
+        print(removed)
+        return 0
+
+    if args.cmd == "cache":
+        store = ST.TableStore(spark, args.state)
+        for row in ST.hottest_cache(ST.load_cache(store)).limit(args.top).toLocalIterator():
+            print(f"{row['hit_count'] if row['hit_count'] is not None else '-':>8}  {row['cache_key'][:16]}  "
+                  f"{row['template_text']}")
+        return 0
+
     if args.cmd == "tree":
         logs = spark.read.parquet(f"{args.trace}/trace_logs")
         latest = TR.latest_batch_id(logs)

@@ -158,8 +158,13 @@ def test_cli_runs_with_state(spark, tmp_root, capsys):
     assert {r["source"] for r in second.select("source").distinct().collect()} == {"CACHE"}
     assert main(["stats", "--state", f"{tmp_root}/state", "--top", "1"]) == 0
     assert main(["templates", "--logs", "Disk error on node 7"]) == 0
+    assert main(["cache", "--state", f"{tmp_root}/state"]) == 0
     out = capsys.readouterr().out
     assert "4  User <*> logged in from <*>" in out and "Disk error on node <*>" in out
+    # both cache keys were written on 2024-01-01: 30 days later + 1 they expire
+    assert main(["retain", "--state", f"{tmp_root}/state", "--days", "30", "--run-ts", "2024-02-01 00:00:01"]) == 0
+    assert capsys.readouterr().out.strip().splitlines()[-1] == "2"
+    assert ST.load_cache(ST.TableStore(spark, f"{tmp_root}/state")).count() == 0
 
 
 def test_spread_input_only_for_small_inputs(spark):
