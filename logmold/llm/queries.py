@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logmold.llm import bpe
 from logmold.llm.hamming_dedup import near_duplicates
+from logmold.llm.lattice_lm import score_documents
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -19,11 +21,16 @@ def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op7_lattice": op7_lattice,
     "op9_bpe": op9_bpe,
 }
