@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logmold.llm import bpe
 from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
+from logmold.llm.robust_rules import judge
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +26,11 @@ def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op8_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -32,5 +38,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_minhash_hamming": op4_minhash_hamming,
     "op7_lattice": op7_lattice,
+    "op8_robust_rules": op8_robust_rules,
     "op9_bpe": op9_bpe,
 }
