@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logmold.llm import bpe
 from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
+from logmold.llm.line_templates import drop_templates
 from logmold.llm.robust_rules import judge
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("dropped_lines").alias("n_dropped"), F.array_join("dropped_lines", ",").alias("dropped"), "text")
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -36,6 +43,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_templates": op2_line_templates,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op7_lattice": op7_lattice,
     "op8_robust_rules": op8_robust_rules,
