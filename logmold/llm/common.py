@@ -130,6 +130,34 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(n, len(hashes))))
 
 
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            base = np.full(max(n, 2 * len(self.up)), STEP)
+            base[0] = 1
+            self.up = np.cumprod(base, dtype=np.uint64)
+            base[1:] = pow(int(STEP), -1, 1 << 64)
+            self.down = np.cumprod(base, dtype=np.uint64)
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run ``values[start:end]`` of random 64-bit values, all at
+    once: differences of the prefix sums of a polynomial."""
+    up, down = POWERS.to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MIX_A)
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """``(node, root)`` of every node in ``edges (u, v)`` (longs); root is the
     smallest node reachable.

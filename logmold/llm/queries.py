@@ -11,6 +11,7 @@ from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
 from logmold.llm.line_templates import drop_templates
 from logmold.llm.robust_rules import judge
+from logmold.llm.sentence_spans import drop_repeats
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,10 +43,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(_table(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
+
+
 QUERIES = {
     "op2_line_templates": op2_line_templates,
     "op4_minhash_hamming": op4_minhash_hamming,
     "op7_lattice": op7_lattice,
     "op8_robust_rules": op8_robust_rules,
     "op9_bpe": op9_bpe,
+    "op10_sentence_spans": op10_sentence_spans,
 }
