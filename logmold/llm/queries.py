@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmold.llm import bpe
+from logmold.llm.credential_links import find_secrets
 from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
 from logmold.llm.line_templates import drop_templates
 from logmold.llm.robust_rules import judge
 from logmold.llm.sentence_spans import drop_repeats
+from logmold.llm.url_rules import judge_urls
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +30,20 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("dropped_lines").alias("n_dropped"), F.array_join("dropped_lines", ",").alias("dropped"), "text")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), PIECES)
 
@@ -49,7 +63,9 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_templates": op2_line_templates,
+    "op3_url_rules": op3_url_rules,
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op6_credential_links": op6_credential_links,
     "op7_lattice": op7_lattice,
     "op8_robust_rules": op8_robust_rules,
     "op9_bpe": op9_bpe,
