@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,33 +73,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, fields)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 bytes (``bytes.split`` parts at
-    exactly these six characters); null has none."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def lower_words(text: str | None) -> list[bytes]:
-    """As :func:`words`, with A-Z lower-cased (``bytes.lower`` changes ASCII only)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class WordHashes(dict):
-    """64-bit hash of each word; forgets all when it holds ``most`` words, so
-    that a worker's memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 bytes, A-Z lower-cased: ``bytes.split``
+    parts at exactly these six characters, ``bytes.lower`` changes ASCII only."""
+    return utf8(text).lower().split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,6 +86,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of all runs of ``n`` words, in order; none if there are fewer."""
     count = len(hashes) - n + 1
@@ -130,6 +109,19 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(n, len(hashes))))
 
 
+def frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the highest counts, at most ``most``: all rows whose count
+    reaches the least value that so few reach. No sort, and no single task."""
+    top = 1 << 16
+    held = counted.groupBy(F.least(F.col(count), F.lit(top)).alias("c")).agg(F.count("*").alias("m")).collect()
+    cut, total = None, 0
+    for c, m in sorted(((r["c"], r["m"]) for r in held), reverse=True):
+        if (total := total + m) > most:
+            break
+        cut = c
+    return counted.where(F.lit(False) if cut is None else F.col(count) >= cut)
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
@@ -158,6 +150,36 @@ def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * MIX_A)
 
 
+NOT_SPACE = ~np.isin(np.arange(256), [32, *range(9, 14)])
+PIECE = 1 << 20
+
+
+def word_hashes(data: bytes, inside: np.ndarray = NOT_SPACE) -> np.ndarray:
+    """64-bit hash of each word of a UTF-8 text, all at once; ``inside`` says
+    which bytes belong to words. Long texts go in pieces cut between words."""
+    out, start = [], 0
+    while start < len(data):
+        end = min(start + PIECE, len(data))
+        while end < len(data) and inside[data[end]]:
+            end += 1
+        piece = np.frombuffer(data, np.uint8, end - start, start)
+        word = inside[piece]
+        edge = np.flatnonzero(np.r_[word, False] != np.r_[False, word])
+        out.append(run_hashes(OF_BYTE[piece], edge[::2], edge[1::2]))
+        start = end
+    return np.concatenate([np.empty(0, np.uint64), *out])
+
+
+def utf8(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
+def lower_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased
+    (``bytes.lower`` changes ASCII only)."""
+    return word_hashes(utf8(text).lower())
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """``(node, root)`` of every node in ``edges (u, v)`` (longs); root is the
     smallest node reachable.

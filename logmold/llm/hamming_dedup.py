@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import WordHashes, components, lower_words, map_batches, mix, prepare, shingles, stash, texts
+from logmold.llm.common import components, lower_hashes, map_batches, mix, prepare, shingles, stash, texts
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 12, 7, 1
@@ -74,12 +74,10 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _describe():
-    known = WordHashes()
-
     def work(batch: pa.RecordBatch) -> dict:
         out = {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "n": [], "digest": [], "sig": []}
         for text in batch["text"].to_pylist():
-            s = shingles(known.of(lower_words(text)), SHINGLE)
+            s = shingles(lower_hashes(text), SHINGLE)
             out["n"].append(len(s))
             out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()))
             out["sig"].append(signature(s).tobytes() if len(s) else None)
@@ -259,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = _wanted(spark, members)
 
     def grams():
-        known, bits = WordHashes(), wanted.value
+        bits = wanted.value
 
         def work(batch: pa.RecordBatch) -> dict | None:
             at = np.mod(batch["k1"].to_numpy(), FILTER_BITS)
@@ -268,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 return None
             few = batch.take(pa.array(hit))
             return {"k1": few["k1"], "k2": few["k2"],
-                    "grams": [shingles(known.of(lower_words(t)), SHINGLE).tobytes() for t in few["text"].to_pylist()]}
+                    "grams": [shingles(lower_hashes(t), SHINGLE).tobytes() for t in few["text"].to_pylist()]}
 
         return work
 

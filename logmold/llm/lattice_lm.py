@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmold.llm.common import lower_words, map_batches, prepare, stash, texts
+from logmold.llm.common import frequent, lower_words, map_batches, prepare, stash, texts
 
 ZIPF_SHIFT = 2.7
 #: Bound of the table of frequent words that is sent to all tasks; the words
@@ -123,8 +123,7 @@ def score_documents(docs: DataFrame, model_path: str) -> DataFrame:
     end_base, end_lattice = math.log10((ends + 0.5) / spread), math.log10(end if 0 < end else 0.5)
     go_on = math.log10(1 - end) if end < 1 else math.log10(0.5)
 
-    often = vocabulary.orderBy(F.desc("c"), "word").limit(HOT_WORDS)
-    table = often.toArrow()
+    table = frequent(vocabulary, "c", HOT_WORDS).toArrow()
     c = table["c"].to_numpy().astype(np.float64)
     hot = spark.sparkContext.broadcast((
         dict(zip(table["word"].to_pylist(), range(len(c)))), np.log10((c + 0.5) / spread), table["lattice"].to_numpy() + go_on, c > 0))

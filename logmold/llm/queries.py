@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from logmold.llm import bpe
 from logmold.llm.credential_links import find_secrets
+from logmold.llm.decontaminate import find_leaks
 from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
 from logmold.llm.line_templates import drop_templates
+from logmold.llm.resampling import resample
 from logmold.llm.robust_rules import judge
 from logmold.llm.sentence_spans import drop_repeats
 from logmold.llm.url_rules import judge_urls
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.size("dropped_lines").alias("n_dropped"), F.array_join("dropped_lines", ",").alias("dropped"), "text")
@@ -39,6 +45,10 @@ def op4_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
 def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -62,9 +72,11 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance": op1_importance,
     "op2_line_templates": op2_line_templates,
     "op3_url_rules": op3_url_rules,
     "op4_minhash_hamming": op4_minhash_hamming,
+    "op5_decontaminate": op5_decontaminate,
     "op6_credential_links": op6_credential_links,
     "op7_lattice": op7_lattice,
     "op8_robust_rules": op8_robust_rules,

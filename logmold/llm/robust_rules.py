@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import WordHashes, map_batches, ngrams, prepare, row_key, stash, texts, words
+from logmold.llm.common import map_batches, ngrams, prepare, row_key, stash, texts, utf8, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Share of a group's rows in the core, and the 5-dimensional chi-square value there.
 CORE, CORE_CHI2 = 0.75, 6.626
-#: Squared distance beyond which a text is rejected (chi-square, 5 dimensions,
-#: 1 - 1e-6): ordinary texts are to be kept, also where their tails are heavy.
-CUTOFF = 35.9
+#: Squared distance beyond which a text is rejected (chi-square, 5 dimensions:
+#: below 1e-8): ordinary texts are to be kept, also where their tails are heavy.
+CUTOFF = 50.0
 #: Smallest group with an estimate of its own.
 MIN_GROUP = 100
 #: Concentration steps after the start.
@@ -57,17 +57,15 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
 
 
 def _counts():
-    known = WordHashes()
-
     def work(batch: pa.RecordBatch) -> dict:
         out = {c: batch[c] for c in ("k1", "k2", "doc_id", "lang", "source")}
         rows = []
         for text in batch["text"].to_pylist():
             text = text or ""
-            found = words(text)
+            found = word_hashes(utf8(text))
             lines = [x for x in text.split("\n") if x.strip(SPACES)]
             rows.append((len(found), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
-                         len(lines) - len(set(lines)), repeated_words(known.of(found)), len(lines), len(set(found))))
+                         len(lines) - len(set(lines)), repeated_words(found), len(lines), len(np.unique(found))))
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
         return out | dict(zip(names, map(list, zip(*rows))))
 

@@ -21,18 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmold.llm.common import WordHashes, map_batches, prepare, run_hashes, stash, texts
+from logmold.llm.common import NOT_SPACE, map_batches, prepare, run_hashes, stash, texts, utf8, word_hashes
 
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 24, 50
 FILTER_BITS = 1 << 25
 LAST = (1 << 63) - 1
 END = re.compile(rb"\n|[.!?][ \t\r\x0b\x0c]+")
-IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def sentences(text: str) -> list[str]:
     """The text in sentences, each with the white space that follows it."""
-    data, out, start = text.encode("utf-8", "surrogatepass"), [], 0
+    data, out, start = utf8(text), [], 0
     for end in [*(m.end() for m in END.finditer(data)), len(data)]:
         if end > start:
             out.append(data[start:end].decode("utf-8", "surrogatepass"))
@@ -40,15 +39,15 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and sentence after the last of each span. Sentences
     without a word may lie inside a span but don't count for it."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    data = utf8(text).lower()
     if not data:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = known.of(data.split())
-    blank = IS_SPACE[np.frombuffer(data, np.uint8)]
-    words_upto = np.r_[0, np.cumsum(~blank & np.r_[True, blank[:-1]])]
+    hashes = word_hashes(data)
+    word = NOT_SPACE[np.frombuffer(data, np.uint8)]
+    words_upto = np.r_[0, np.cumsum(word & ~np.r_[False, word[:-1]])]
     ends = [m.end() for m in END.finditer(data)]
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
@@ -64,12 +63,10 @@ def spans(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray,
 
 
 def _counting():
-    known = WordHashes()
-
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"span": [], "o": [], "m": []}
         for text, o in zip(batch["text"].to_pylist(), batch["o"].to_pylist()):
-            own, m = np.unique(spans(text, known)[0], return_counts=True)
+            own, m = np.unique(spans(text)[0], return_counts=True)
             out["span"] += own.tolist()
             out["m"] += m.tolist()
             out["o"] += [o] * len(own)
@@ -100,12 +97,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(filled)
 
     def candidates():
-        known, bits = WordHashes(), shared.value
+        bits = shared.value
 
         def work(batch: pa.RecordBatch) -> dict:
             row, out = [], {"span": [], "start": [], "end": [], "again": []}
             for r, text in enumerate(batch["text"].to_pylist()):
-                h, a, b = spans(text, known)
+                h, a, b = spans(text)
                 p = h % FILTER_BITS
                 hit = np.flatnonzero((bits[p >> 5] >> (p & 31).astype(np.uint32)) & 1)
                 if len(hit):
