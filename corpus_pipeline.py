@@ -1,13 +1,33 @@
-"""Corpus preparation in stages; each takes and gives the documents table."""
+"""Corpus preparation in stages; each takes and gives the documents table.
+
+quality rules -> line dedup -> near dedup -> decontamination -> byte-level BPE.
+Every stage works on all rows that the one before kept, and all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logmold.llm.bpe import digests
 from logmold.llm.common import stash
+from logmold.llm.decontaminate import without_leaks
 from logmold.llm.hamming_dedup import keep_one
+from logmold.llm.line_templates import without_templates
+from logmold.llm.robust_rules import keep_ordinary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier test reject go."""
+    return keep_ordinary(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, and documents made of nothing else."""
+    return without_templates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +35,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without_leaks(docs, spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet")))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document."""
+    return digests(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: Tested against a brute-force version: SQL can't express all stages.
