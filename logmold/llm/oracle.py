@@ -1,5 +1,93 @@
-"""DuckDB SQL for the queries of :mod:`logmold.llm.queries` that SQL can express."""
+"""DuckDB SQL for the queries of :mod:`logmold.llm.queries` that SQL can express.
+
+The others (models, alignments, merges, positions of matches) are tested
+against brute-force versions in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP2 = rf"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+  from documents),
+cut as (
+  select doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{WORD}') as words
+  from lines),
+leaves as (
+  select doc_id, pos, words, len(words) as n, len(words) || ' ' || array_to_string(words[1:3], ' ') as leaf
+  from cut where len(words) >= 3),
+often as (select * from leaves qualify count(*) over (partition by leaf) >= 3),
+places as (
+  select doc_id, pos, leaf, unnest(words[4:]) as word, unnest(range(3, n)) as place from often where n > 3),
+supported as (select *, count(*) over (partition by leaf, place, word) as support from places),
+constants as (
+  select doc_id, pos, count(*) as c, string_agg(place || ':' || word, ' ' order by place) as fixed
+  from supported where support >= 3 group by doc_id, pos),
+templates as (
+  select o.doc_id, o.pos,
+         case when 100 * (3 + coalesce(c, 0)) >= 60 * n then 't ' || leaf || ' | ' || coalesce(fixed, '')
+              else 'w ' || array_to_string(words, ' ') end as template
+  from often o left join constants using (doc_id, pos)),
+recurring as (
+  select template, min(doc_id) as first_doc from templates group by template having count(distinct doc_id) >= 3),
+gone as (select doc_id, pos from templates join recurring using (template) where doc_id <> first_doc),
+kept as (
+  select doc_id, string_agg(line, chr(10) order by pos) as text
+  from lines where (doc_id, pos) not in (select doc_id, pos from gone) group by doc_id),
+dropped as (
+  select doc_id, cast(count(*) as int) as n_dropped, string_agg(pos, ',' order by pos) as dropped from gone group by doc_id)
+select d.doc_id, coalesce(n_dropped, 0) as n_dropped, coalesce(dropped, '') as dropped,
+       case when n_dropped is null then d.text else coalesce(k.text, '') end as text
+from documents d left join dropped using (doc_id) left join kept k using (doc_id)
+"""
+
+OP3 = f"""
+with rests as (
+  select page_id, case when coalesce(position('://' in url), 0) = 0 then '' else substr(url, position('://' in url) + 3) end as rest
+  from pages),
+urls as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from rests),
+rules(rule_host, rule_path, rule_verdict) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host) + length(rule_path)) as rule,
+         arg_max(rule_verdict, length(rule_host) + length(rule_path)) as verdict
+  from urls join rules on (host = rule_host or suffix(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from urls left join fits using (page_id)
+"""
+
+OP4 = f"""
+with recursive cut as (
+  select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from cut where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as m
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+  where 100 * m >= 85 * (p.n + q.n - m)),
+both_ways as (select x, y from links union select y, x from links),
+reached as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, b.y from reached r join both_ways b on b.x = r.other),
+groups as (select doc_id, min(other) as component_id from reached group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id) join groups using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_templates": OP2,
+    "op3_url_rules": OP3,
+    "op4_minhash_hamming": OP4,
+}
