@@ -1,30 +1,36 @@
 """Persisted state as versioned parquet tables.
 
-Layout: ``<root>/<table>/v=<n>/kind=<base|delta>/part-*.parquet``. A
-``base`` version holds the whole table, a ``delta`` version rows added on top
-of the latest base. Readers take the latest base and every later delta, so a
-path being read is never overwritten; a rewrite (merge, retention) is a new
-base. Writing a version again (a replayed stream epoch) overwrites that
-version only, which keeps replays idempotent. One writer per table.
+A ``base`` version holds the whole table, a ``delta`` version rows added on
+top of the latest base. Readers take the latest base and every later delta.
+
+Each write goes to a folder of its own, ``<root>/<table>/data/v=<n>/<id>``;
+when it is complete, a commit record ``<root>/<table>/commits/<n>`` that names
+the folder is written. Readers see committed versions only, so a write that
+broke off changes nothing, and a path being read is never overwritten. A
+version written again (a replayed stream epoch) replaces its record. One
+writer per table.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE_SCHEMA = "cache_key STRING, template_text STRING, created_at TIMESTAMP, updated_at TIMESTAMP, hit_count BIGINT"
 STATS_SCHEMA = ("template_text STRING, usage_count BIGINT, cache_count BIGINT, slm_count BIGINT, "
                 "first_seen TIMESTAMP, last_used TIMESTAMP, example_log STRING")
 EXAMPLES_SCHEMA = ("template_text STRING, original_log STRING, log_level STRING, event_type STRING, "
-                   "source STRING, batch_id BIGINT, created_at TIMESTAMP, seq BIGINT")
+                   "source STRING, batch_id BIGINT, created_at TIMESTAMP, "
+                   "seq STRUCT<run: BIGINT, idx: BIGINT>")
 TREE_SCHEMA = ("snapshot_id BIGINT, created_at TIMESTAMP, batch_id BIGINT, total_logs BIGINT, "
                "level STRING, color STRING, event_type STRING, template_rank INT, template_text STRING, "
                "tree_data STRING")
 
-_VERSION = re.compile(r"/v=(\d+)/kind=(base|delta)/")
+_COMMIT = "version BIGINT, kind STRING, folder STRING"
 
 
 class TableStore:
@@ -32,20 +38,19 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _commits(self, name: str) -> list[tuple[int, str, str]]:
+        """(version, kind, folder) of each committed version, in order. Only a
+        table that doesn't exist yet has none; any other failure is raised."""
+        try:
+            rows = self.spark.read.schema(_COMMIT).json(f"{self.root}/{name}/commits/*").collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted((r["version"], r["kind"], r["folder"]) for r in rows)
 
     def versions(self, name: str) -> list[tuple[int, str]]:
-        try:
-            files = self.spark.read.parquet(self._path(name)).inputFiles()
-        except Exception:  # no version written yet
-            return []
-        found = set()
-        for f in files:
-            m = _VERSION.search(f)
-            if m:
-                found.add((int(m.group(1)), m.group(2)))
-        return sorted(found)
+        return [(v, kind) for v, kind, _ in self._commits(name)]
 
     def next_version(self, name: str) -> int:
         vs = self.versions(name)
@@ -53,28 +58,45 @@ class TableStore:
 
     def read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
         """The table as of the latest base and its deltas; with ``before``,
-        as it was before that version was written."""
-        vs = [(v, k) for v, k in self.versions(name) if before is None or v < before]
-        bases = [v for v, k in vs if k == "base"]
-        if not vs:
-            return self.spark.createDataFrame([], schema)
-        # NB: ``schema`` may name the partition column ``v`` to keep it.
-        start = max(bases) if bases else 0
-        cols = [c.split()[0] for c in schema.split(",")]
-        data_schema = ", ".join(c for c in schema.split(",") if c.split()[0] not in ("v", "kind"))
-        df = self.spark.read.schema(f"{data_schema}, v BIGINT, kind STRING").parquet(self._path(name))
-        keep = F.col("v") >= F.lit(start)
-        if before is not None:
-            keep = keep & (F.col("v") < F.lit(int(before)))
-        return df.filter(keep).select(*cols)
+        as it was before that version was written. ``schema`` may name ``v``,
+        the version a row was written in."""
+        live = [(v, kind, folder) for v, kind, folder in self._commits(name) if before is None or v < before]
+        start = max((v for v, kind, _ in live if kind == "base"), default=0)
+        folders = [f"{self.root}/{name}/data/{folder}" for v, _, folder in live if v >= start]
+        empty = self.spark.createDataFrame([], schema)
+        if not folders:
+            return empty
+        data = T.StructType([f for f in empty.schema if f.name != "v"] + [T.StructField("v", T.LongType())])
+        return self.spark.read.schema(data).option("basePath", f"{self.root}/{name}/data").parquet(*folders).select(*empty.columns)
+
+    def read_version(self, name: str, version: int, schema: T.StructType) -> DataFrame:
+        """The rows of one committed version."""
+        folder = next(folder for v, _, folder in self._commits(name) if v == version)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/data/{folder}")
 
     def write(self, name: str, df: DataFrame, kind: str = "base", version: int | None = None) -> int:
         if kind not in ("base", "delta"):
             raise ValueError(kind)
         v = version if version is not None else self.next_version(name)
-        df.write.mode("overwrite").parquet(f"{self._path(name)}/v={v}/kind={kind}")
+        folder = f"v={v}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.root}/{name}/data/{folder}")
+        self.spark.createDataFrame([(v, kind, folder)], _COMMIT).coalesce(1).write.mode("overwrite").json(
+            f"{self.root}/{name}/commits/{v}")
         return v
 
+    def drop_superseded(self, name: str) -> int:
+        """Remove the versions before the latest base (call it when no reader
+        of an older state is running); returns how many."""
+        commits = self._commits(name)
+        start = max((v for v, kind, _ in commits if kind == "base"), default=0)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        old = [v for v, _, _ in commits if v < start]
+        for v in old:
+            for path in (f"{self.root}/{name}/commits/{v}", f"{self.root}/{name}/data/v={v}"):
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(conf).delete(target, True)
+        return len(old)
+
 
 # --- cache (S6, J4, U1, U4, O6) -------------------------------------------------
 
@@ -86,13 +108,14 @@ def load_cache(store: TableStore, before: int | None = None) -> DataFrame:
 
 def compact_cache(rows: DataFrame) -> DataFrame:
     """Fold appended cache rows: last write of a key wins, hits add up.
-    (A partial aggregation: a key repeated in many deltas folds map-side.)"""
+    (A partial aggregation: a key repeated in many deltas folds map-side.)
+    A hit on a key that retention has removed since then isn't an entry."""
     return rows.groupBy("cache_key").agg(
         F.max_by("template_text", "updated_at").alias("template_text"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
         F.sum("hit_count").cast("long").alias("hit_count"),
-    )
+    ).where("updated_at is not null")
 
 
 def cache_get(cache: DataFrame, key: str) -> DataFrame:
@@ -184,17 +207,17 @@ def save_stats(store: TableStore, stats: DataFrame, version: int | None = None)
 # --- example logs (S10, O4, J5) -----------------------------------------------
 
 def example_rows(logs: DataFrame, run_ts, run_seq: int = 0) -> DataFrame:
-    """S10 rows from a run's trace; ``seq`` orders rows written at the same time."""
+    """S10 rows from a run's trace; ``seq`` (run, position) orders rows written at the same time."""
     return logs.select(
         F.col("template").alias("template_text"), F.col("text").alias("original_log"),
         F.col("level").alias("log_level"), "event_type", "source", "batch_id",
         F.lit(run_ts).cast("timestamp").alias("created_at"),
-        (F.lit(int(run_seq)) * F.lit(1 << 40) + F.col("idx")).cast("long").alias("seq"),
+        F.struct(F.lit(int(run_seq)).cast("long").alias("run"), F.col("idx").cast("long").alias("idx")).alias("seq"),
     )
 
 
 def append_examples(store: TableStore, rows: DataFrame, version: int | None = None) -> int:
-    cols = [c.split()[0] for c in EXAMPLES_SCHEMA.split(",")]
+    cols = ["template_text", "original_log", "log_level", "event_type", "source", "batch_id", "created_at", "seq"]
     return store.write("example_logs", rows.select(*cols), "delta", version)
 
 

@@ -30,6 +30,42 @@ def test_versions_base_and_delta(spark, tmp_root):
     assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["k3", "k5"]
 
 
+def test_only_committed_versions_count(spark, tmp_root):
+    import os
+
+    import pytest
+
+    s = ST.TableStore(spark, tmp_root)
+    row = lambda key: spark.createDataFrame([(key, "t", TS(2024, 1, 1), TS(2024, 1, 1), 0)], ST.CACHE_SCHEMA)
+    ST.save_cache(s, row("a"))
+    # a base that broke off before its commit record hides nothing
+    row("half").write.parquet(f"{tmp_root}/template_cache/data/v=2/broken")
+    assert [r["cache_key"] for r in ST.load_cache(s).collect()] == ["a"]
+    assert s.next_version("template_cache") == 2
+    ST.append_cache(s, row("b"))
+    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["a", "b"]
+    # a listing that fails is an error, not an empty table
+    os.makedirs(f"{tmp_root}/bad/commits/1")
+    with open(f"{tmp_root}/bad/commits/1/part-0.json.gz", "w") as f:
+        f.write("not gzip")
+    with pytest.raises(Exception):
+        s.versions("bad")
+    # superseded versions can be removed
+    ST.save_cache(s, ST.load_cache(s), 3)
+    assert s.drop_superseded("template_cache") == 2
+    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["a", "b"]
+    assert s.versions("template_cache") == [(3, "base")]
+
+
+def test_hit_on_a_removed_key_is_no_entry(spark, tmp_root):
+    s = ST.TableStore(spark, tmp_root)
+    rows = [("old", "a", TS(2024, 1, 1), TS(2024, 1, 1), 0), ("new", "b", TS(2024, 3, 1), TS(2024, 3, 1), 0)]
+    ST.save_cache(s, ST.retain_cache(spark.createDataFrame(rows, ST.CACHE_SCHEMA), "2024-03-02 00:00:00", 30))
+    hits = spark.createDataFrame([("old", 2), ("new", 3)], "cache_key STRING, hits BIGINT")
+    ST.append_cache(s, ST.cache_delta(spark.createDataFrame([], ST.CACHE_SCHEMA), hits))
+    assert [(r["cache_key"], r["template_text"], r["hit_count"]) for r in ST.load_cache(s).collect()] == [("new", "b", 3)]
+
+
 def test_retention_boundary(spark):
     run = "2024-03-01 00:00:00"
     rows = [("old", "a", TS(2024, 1, 1), TS(2024, 1, 30, 23, 59, 59), 0),
