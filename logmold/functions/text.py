@@ -4,8 +4,10 @@ Every function takes and returns ``pyspark.sql.Column`` so it composes into
 one projection; none of them needs a Python worker.
 
 Regex parity: Python's ``re`` is Unicode-aware for ``\\d``, ``\\w``, ``\\b``
-and ``IGNORECASE``; Java's is not unless ``(?U)`` is given, so every pattern
-is compiled with ``(?U)``. Python's ``str.split()``/``strip()`` also treat
+and ``IGNORECASE``. Java's ``(?U)`` is too, but its word class holds marks and
+joiners and lacks superscripts and the like, so the word boundaries are written
+as look-arounds with Python's class (letters, numbers, underscore) and digits
+as ``\\p{Nd}`` (see ``_u``). Python's ``str.split()``/``strip()`` also treat
 ``\\x1c-\\x1f`` as white space, which Java's Unicode ``\\s`` does not, hence
 the explicit white-space class below.
 """
@@ -87,8 +89,18 @@ WS = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
+# Python's \w: str.isalnum() or an underscore.
+PY_WORD = r"[\p{L}\p{N}_]"
+
+
 def _u(pattern: str, flags: str = "U") -> str:
-    return f"(?{flags}){pattern}"
+    """A Python pattern for Java: a ``\\b`` at either end stands beside a word
+    character in all patterns above, so a look-around outwards is the same."""
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{PY_WORD})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?!{PY_WORD})"
+    return f"(?{flags})" + pattern.replace(r"\d", r"\p{Nd}")
 
 
 def _col(c) -> Column:

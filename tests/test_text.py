@@ -84,7 +84,7 @@ def _literal_signature(c, n=3):
     # The definition as written: replace on the whole lowered text, then split.
     out = F.lower(c)
     for pattern, token in T.SIGNATURE_TOKENS:
-        out = F.regexp_replace(out, f"(?U){pattern}", token)
+        out = F.regexp_replace(out, T._u(pattern), token)
     toks = F.filter(F.split(out, f"(?U){T.WS}+"), lambda t: t != F.lit(""))
     return F.array_join(F.slice(toks, 1, n), " ")
 
@@ -113,6 +113,47 @@ def test_normalize_idempotent(spark, texts):
     assert all(r["a"] == r["b"] for r in rows)
 
 
+PIECES = st.sampled_from(["5", "12", "٣", "5\u0301", "\u093e5", "5²", "10½", "①5", "Ⅷ", "5\u200d", "\u200d7", "x", "é", "_", "-", ".",
+                          " ", "1.2.3.4", "0x1F", "0xé", "error", "erroré", "error\u0301", "login", "db", "db²", "a1b2c3d4-e5f6-a7b8-c9d0-e1f2a3b4c5d6"])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=6).map("".join), min_size=1, max_size=30))
+def test_patterns_equal_python(spark, texts):
+    """Digits beside marks, joiners and superscripts: as Python's re does."""
+    import re
+
+    def mask(t, order):
+        for pattern in order:
+            t = re.sub(pattern, T.PLACEHOLDER, t)
+        return t
+
+    def first(t, table, default):
+        return next((label for label, words in table if re.search(rf"\b({words})\b", t, re.I)), default)
+
+    c = F.col("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING").select(
+        "text", T.mask_dynamic_parts(c).alias("m"), T.heuristic_template(c).alias("h"),
+        T.log_level(c).alias("l"), T.event_type(c).alias("e")).collect()
+    for r in rows:
+        t = r["text"]
+        assert (r["m"], r["h"]) == (mask(t, T.MASK_ORDER), mask(t, T.TEMPLATE_MASK_ORDER)), repr(t)
+        assert r["l"] == first(t, T.LEVEL_WORDS, T.DEFAULT_LEVEL) and r["e"] == first(t, T.EVENT_WORDS, T.DEFAULT_EVENT), repr(t)
+
+
+def test_every_listed_word(spark):
+    """Golden rows: each word of each list, written out here on its own."""
+    levels = {"ERROR": "error exception fatal panic fail failed", "WARN": "warn warning deprecated retry",
+              "INFO": "info started connected success"}
+    events = {"AUTH": "login logout auth token password", "NETWORK": "timeout connection socket dns http",
+              "DB": "sql database db query transaction", "SYSTEM": "cpu memory disk node service process"}
+    rows = [(f"x {w.upper()} y", lab, None) for lab, ws in levels.items() for w in ws.split()]
+    rows += [(f"x {w} y", None, lab) for lab, ws in events.items() for w in ws.split()] + [("logged in", "INFO", "GENERIC")]
+    df = spark.createDataFrame(rows, "t STRING, level STRING, event STRING")
+    for r in df.select("*", T.log_level(F.col("t")).alias("l"), T.event_type(F.col("t")).alias("e")).collect():
+        assert r["level"] in (None, r["l"]) and r["event"] in (None, r["e"]), r
+
+
 def test_python_whitespace_and_line_breaks(spark):
     from logmold.sources.lines import split_text_lines
 
