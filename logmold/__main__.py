@@ -3,8 +3,8 @@
 * ``templates --logs L1 L2 ...``  print one template per line given (S1, S4).
 * ``parse --input GLOB --out DIR [--state DIR]``  parse log files; write the
   trace (lines, batches, JSON-lines events) under DIR and, with ``--state``,
-  read the persisted cache and append the run's cache / stats / examples /
-  tree snapshot (S3, S5-S10, U1-U2).
+  read the persisted cache and append the run's cache / stats / examples
+  (S3, S5-S7, S10, U1-U2).
 * ``stats --state DIR [--top N]``  most used templates (O2).
 * ``tree --trace DIR [--state DIR] --out DIR``  leaf JSON rows of the tree of a
   written trace (T1-T5), with ``--instance-limit``, ``--debug``,
@@ -96,22 +96,23 @@ def main(argv: list[str] | None = None) -> int:
 
     if args.cmd == "parse":
         from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
-        from logmold.sources.lines import read_log_files, spread_input
+        from logmold.sources.lines import read_log_files
 
         run_ts = args.run_ts or _now()
         store = ST.TableStore(spark, args.state) if args.state else None
         cache = ST.load_cache(store) if store else None
-        run = parse_logs(spread_input(read_log_files(spark, args.input)), cache=cache,
+        run = parse_logs(read_log_files(spark, args.input), cache=cache,
                          batch_size=args.batch_size, min_tokens=args.min_tokens)
+        run.batches.write.mode("overwrite").parquet(f"{args.out}/trace_batches")
+        run = run.over(spark.read.schema(run.batches.schema).parquet(f"{args.out}/trace_batches"))
         logs = run.logs.select("idx", "text", "batch_id", "cluster_id", "template", "source", "slm_raw_output",
                                "level", "event_type", "masked")
         metrics = R.run_with_metrics(logs, lambda df: df.write.mode("overwrite").parquet(f"{args.out}/trace_logs"))
         logs = spark.read.parquet(f"{args.out}/trace_logs")
-        run.batches.drop("lines").write.mode("overwrite").parquet(f"{args.out}/trace_batches")
-        R.write_events(run.batches, logs, f"{args.out}/events", run_ts)
+        R.write_events(run.batches, f"{args.out}/events", run_ts)
         if store:
             ST.append_cache(store, ST.cache_delta(new_cache_entries(run, run_ts), cache_hits(run)))
-            ST.append_stats(store, S.template_stats(logs, run_ts))
+            ST.append_stats(store, S.template_stats_of(run.batches, run_ts))
             ST.append_examples(store, ST.example_rows(logs, run_ts, store.next_version("example_logs")))
         print({k: metrics[k] for k in ("total_logs", "batch_count", "cache_logs", "slm_logs", "processing_time_ms")})
         return 0

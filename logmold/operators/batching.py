@@ -79,12 +79,6 @@ def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, weight: st
     rows themselves, ``2**(63-bits[-1])`` per key at the top), however sparse
     or skewed the values are.
     """
-    if not bits:
-        # One level: the caller has checked that the table is small enough
-        # for a single window partition per key.
-        w = (Window.partitionBy(*keys) if keys else Window).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)).cast("long"))
     names = [f"_r{i}" for i in range(len(bits))]
     d = df
     for n, b in zip(names, bits):
@@ -108,12 +102,11 @@ def exclusive_running_sum(df: DataFrame, keys: list[str], order: str, weight: st
 
 def clusters_from_blocks(blocks: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
                          cluster_block: int = DEFAULT_CLUSTER_BLOCK,
-                         range_bits: int = DEFAULT_RANGE_BITS, levels: bool = True) -> DataFrame:
+                         range_bits: int = DEFAULT_RANGE_BITS) -> DataFrame:
     """G1 + G3: one row per cluster with first_idx, n_lines, n_batches and the
     number of batches of all earlier clusters (``batch_base``), clusters in
     first-appearance order. ``cluster_block`` sets the finest range of the
-    running sum (a power of two); ``levels=False`` runs one window over all
-    clusters, for a block table known to be small."""
+    running sum (a power of two)."""
     _check_batch_size(batch_size)
     clusters = (
         blocks.groupBy("cluster_id")
@@ -121,8 +114,7 @@ def clusters_from_blocks(blocks: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE
         .withColumn("n_batches", F.expr(f"(n_lines + {batch_size - 1}) div {batch_size}"))
     )
     fine = max(1, int(cluster_block).bit_length() - 1)
-    bits = (fine, fine + range_bits) if levels else ()
-    return exclusive_running_sum(clusters, [], "first_idx", "n_batches", "batch_base", bits)
+    return exclusive_running_sum(clusters, [], "first_idx", "n_batches", "batch_base", (fine, fine + range_bits))
 
 
 def assign_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
@@ -140,7 +132,9 @@ def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     plus the cluster table (cluster_id, first_idx, n_lines, n_batches,
     batch_base), which is small and read from the checkpointed block table.
 
-    Input: ``(idx, text, ...)`` with unique ``idx``. Output adds
+    Input: ``(idx, text, ...)`` with unique ``idx``; a source whose ``idx`` has
+    gaps gives a ``block`` column (not falling as idx rises) that cuts it into
+    about as many lines as ``block`` says. Output adds
     ``cluster_id, cluster_pos (1-based), batch_id (1-based)``.
 
     The line text is shuffled once, by (cluster_id, block); the row numbers
@@ -153,8 +147,10 @@ def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     # keeps the join-inferred ones from making the branches below the shared
     # exchange differ (which would stop Spark from reusing it).
     idx = F.when(F.col("idx").isNull(), F.raise_error(F.lit("idx must not be null"))).otherwise(F.col("idx"))
-    checked = lines.select(idx.cast("long").alias("idx"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    signed = with_signature(checked, min_tokens).withColumn("block", _idiv("idx", block))
+    own_block = F.col("block") if "block" in lines.columns else _idiv("idx", block)
+    checked = lines.select(idx.cast("long").alias("idx"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+                           own_block.alias("block"))
+    signed = with_signature(checked, min_tokens)
     signed = signed.filter(F.col("block").isNotNull() & F.col("cluster_id").isNotNull() & F.col("idx").isNotNull())
     # Block counts aggregate map-side straight from the scan (one row per
     # (cluster, block) per task crosses the network); only the line branch
@@ -165,17 +161,13 @@ def plan_batches(lines: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE,
     # executor does not lose it.
     ensure_checkpoint_dir(lines.sparkSession)
     blocks = cluster_blocks(signed, block).checkpoint(eager=True)
-    # The block table is materialised: its row count (a cheap job) bounds
-    # every window over blocks or clusters. Up to 2**range_bits rows one
-    # window level is bounded; beyond that the nested ranges are used.
-    levels = blocks.count() > (1 << range_bits)
     by_block = signed.repartition("cluster_id", "block")
-    clusters = clusters_from_blocks(blocks, batch_size, cluster_block, range_bits, levels)
+    clusters = clusters_from_blocks(blocks, batch_size, cluster_block, range_bits)
     # Offset of each block inside its cluster: a running sum over the blocks
     # of one cluster, itself in ranges of 2**range_bits blocks (a cluster holding
     # every line still gives bounded window partitions).
     offsets = (
-        exclusive_running_sum(blocks, ["cluster_id"], "block", "cnt", "line_base", (range_bits,) if levels else ())
+        exclusive_running_sum(blocks, ["cluster_id"], "block", "cnt", "line_base", (range_bits,))
         .join(clusters.select("cluster_id", "batch_base"), "cluster_id")
         .select("cluster_id", "block", "line_base", "batch_base")
     )

@@ -24,6 +24,7 @@ from logmold.operators.batching import (
     plan_batches,
 )
 from logmold.operators.generators import FallbackGenerator, TemplateGenerator
+from logmold.session import stash
 
 
 
@@ -47,6 +48,15 @@ class ParseResult:
     keys: DataFrame
     clusters: DataFrame | None = None
 
+    def over(self, batches: DataFrame) -> ParseResult:
+        """The run as its batch table says, once that has been written: lines,
+        keys and all that is made of them read it and nothing is parsed again."""
+        return ParseResult(lines_of(batches), batches, keys_of(batches), self.clusters)
+
+    def stored(self, name: str = "run") -> ParseResult:
+        """The run with its batch table written once to the shared folder."""
+        return self.over(stash(self.batches, name))
+
     def line_count(self) -> int:
         """Lines of the run, from the small cluster table."""
         row = self.clusters.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n")).first()
@@ -64,14 +74,11 @@ def lookup_keys(batches: DataFrame, cache: DataFrame | None, generator: Template
     cols = [F.col("batch_id"), F.col("cache_key"), F.col("first_text")]
     if generator.needs_lines:
         cols.append(F.transform("lines", lambda x: x["text"]).alias("texts"))
-    aggs = [
-        F.min("batch_id").alias("first_batch_id"),
-        F.count(F.lit(1)).alias("key_batches"),
-        F.min_by("first_text", "batch_id").alias("first_text"),
-    ]
-    if generator.needs_lines:
-        aggs.append(F.min_by("texts", "batch_id").alias("texts"))
-    per_key = batches.select(*cols).groupBy("cache_key").agg(*aggs)
+    # Numbers only in the aggregate (it hashes, and doesn't sort); the text of
+    # a key's first batch is fetched by its id.
+    firsts = batches.groupBy("cache_key").agg(
+        F.min("batch_id").alias("first_batch_id"), F.count(F.lit(1)).alias("key_batches"))
+    per_key = firsts.join(batches.select(*cols).withColumnRenamed("batch_id", "first_batch_id"), ["first_batch_id", "cache_key"])
     if cache is not None:
         hits = cache.select("cache_key", F.col("template_text").alias("cached_template"),
                             F.lit(True).alias("_hit"))
@@ -117,10 +124,9 @@ def parse_logs(
     cluster_block: int = DEFAULT_CLUSTER_BLOCK,
 ) -> ParseResult:
     """Parse ``lines(idx, text)`` with an optional persisted ``cache``
-    (cache_key, template_text, ...). A small single-split input should be
-    passed through ``sources.lines.spread_input`` first (the sources do)."""
+    (cache_key, template_text, ...)."""
     generator = generator or FallbackGenerator()
-    assigned, clusters = plan_batches(lines.select("idx", "text"), batch_size, min_tokens, block, cluster_block)
+    assigned, clusters = plan_batches(lines.select("idx", "text", *[c for c in ("block",) if c in lines.columns]), batch_size, min_tokens, block, cluster_block)
     batches = collect_batches(assigned)
     keys = lookup_keys(batches, cache, generator)
 
@@ -132,26 +138,40 @@ def parse_logs(
         F.when(~F.col("hit") & first, F.col("raw_output")).otherwise(F.lit("")).alias("slm_raw_output"),
         F.when(~F.col("hit") & first, F.col("used_fallback")).otherwise(F.lit(False)).alias("used_fallback"),
     )
-    # ``batches`` is hash-partitioned by batch_id already: only the narrow
-    # per-batch side moves, and it is the hashed side, so the batch arrays
-    # (all the text) stream through the join without being sorted.
-    trace_batches = batches.join(per_batch.hint("shuffle_hash"), "batch_id").select(
+    # ``batches`` is hash-partitioned by batch_id already: only the per-batch
+    # side moves; the join's kind is left to the planner.
+    trace_batches = batches.join(per_batch, "batch_id").select(
         "batch_id", "cluster_id", "number_of_logs", "cache_key", "source", "template",
         "slm_raw_output", "used_fallback", "lines",
     )
-    logs = trace_batches.select(
+    return ParseResult(logs=lines_of(trace_batches), batches=trace_batches, keys=keys, clusters=clusters)
+
+
+def lines_of(batches: DataFrame) -> DataFrame:
+    """The ``logs`` table of a run from its ``batches``."""
+    logs = batches.select(
         "batch_id", "cluster_id", "template", "source", "slm_raw_output", F.explode("lines").alias("l")
     ).select(
         F.col("l.idx").alias("idx"), F.col("l.text").alias("text"), "batch_id", "cluster_id",
         "template", "source", "slm_raw_output",
     )
-    logs = logs.select(
+    return logs.select(
         "*",
         log_level(F.col("text")).alias("level"),
         event_type(F.col("text")).alias("event_type"),
         mask_dynamic_parts(F.col("text")).alias("masked"),
     )
-    return ParseResult(logs=logs, batches=trace_batches, keys=keys, clusters=clusters)
+
+
+def keys_of(batches: DataFrame) -> DataFrame:
+    """The ``keys`` table of a run from its ``batches``: a key that missed has
+    one generated batch, its first."""
+    per_key = batches.groupBy("cache_key").agg(
+        F.count_if(F.col("source") == "SLM").alias("generated"),
+        F.min("batch_id").alias("first_batch_id"), F.count(F.lit(1)).alias("key_batches"))
+    first = batches.select(F.col("batch_id").alias("first_batch_id"), "template", F.col("slm_raw_output").alias("raw_output"), "used_fallback")
+    return per_key.join(first, "first_batch_id").select(
+        "cache_key", (F.col("generated") == 0).alias("hit"), "first_batch_id", "key_batches", "template", "raw_output", "used_fallback")
 
 
 def parse_templates(lines: DataFrame, **kwargs) -> DataFrame:

@@ -36,6 +36,29 @@ def template_stats(logs: DataFrame, run_ts) -> DataFrame:
     )
 
 
+def template_stats_of(batches: DataFrame, run_ts) -> DataFrame:
+    """A4 from the run's batches: a batch has one template and one source, so
+    nothing is exploded and the sums are a hash aggregate of batch rows. The
+    example is the first non-empty line of the first batch that has one,
+    fetched by its batch id."""
+    ts = _ts(run_ts)
+    is_cache = F.upper(F.col("source")) == F.lit("CACHE")
+    n = F.col("number_of_logs")
+    filled = F.exists("lines", lambda x: x["text"] != F.lit(""))
+    sums = batches.groupBy(F.col("template").alias("template_text")).agg(
+        F.sum(n).cast("long").alias("usage_count"),
+        F.sum(F.when(is_cache, n).otherwise(0)).cast("long").alias("cache_count"),
+        F.sum(F.when(is_cache, 0).otherwise(n)).cast("long").alias("slm_count"),
+        F.min(F.when(filled, F.col("batch_id"))).alias("example_batch"),
+    )
+    first = batches.select(F.col("batch_id").alias("example_batch"),
+                           F.filter("lines", lambda x: x["text"] != F.lit(""))[0]["text"].alias("example_log"))
+    return sums.join(first, "example_batch", "left").select(
+        "template_text", "usage_count", "cache_count", "slm_count", ts.alias("first_seen"), ts.alias("last_used"),
+        F.coalesce(F.col("example_log"), F.lit("")).alias("example_log"),
+    )
+
+
 def merge_stats(history: DataFrame, run: DataFrame) -> DataFrame:
     """Counts add, first_seen kept, last_used moves forward, a missing
     example is filled from the run."""

@@ -16,32 +16,19 @@ from pyspark.sql import functions as F
 from logmold.functions.text import event_type, log_level, mask_dynamic_parts
 
 
-def run_totals(logs: DataFrame) -> DataFrame:
-    """A1: total_logs, batch_count, template_count (one row, also for no input).
-
-    Batch ids are dense 1..N, so the batch count is the largest id.
-    """
-    return logs.agg(
-        F.count(F.lit(1)).alias("total_logs"),
-        F.coalesce(F.max("batch_id"), F.lit(0)).cast("long").alias("batch_count"),
+def run_totals(batches: DataFrame) -> DataFrame:
+    """A1: total_logs, batch_count, template_count (one row, also for no
+    input), from the run's batches: a batch has one template."""
+    return batches.agg(
+        F.coalesce(F.sum("number_of_logs"), F.lit(0)).cast("long").alias("total_logs"),
+        F.count(F.lit(1)).alias("batch_count"),
         F.count_distinct("template").alias("template_count"),
     )
 
 
-def template_distribution(logs: DataFrame) -> DataFrame:
-    """A2: lines per template."""
-    return logs.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-
-
-def distribution_map(logs: DataFrame, max_templates: int = 100_000) -> DataFrame:
-    """A2 in the reference's map shape (one row). The map holds every
-    template, so its size is checked first; a larger run keeps the flat
-    ``template_distribution``."""
-    dist = template_distribution(logs)
-    n = dist.count()
-    if n > max_templates:
-        raise ValueError(f"{n} templates (> {max_templates}); use template_distribution")
-    return dist.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template", "n")))).alias("distribution"))
+def template_distribution(batches: DataFrame) -> DataFrame:
+    """A2: lines per template, from the run's batches."""
+    return batches.groupBy("template").agg(F.sum("number_of_logs").cast("long").alias("n"))
 
 
 def batch_summary(batches: DataFrame) -> DataFrame:
@@ -98,9 +85,9 @@ def batch_events(batches: DataFrame, event_ts) -> DataFrame:
     return batches.select(F.to_json(record).alias("value"))
 
 
-def run_event(logs: DataFrame, event_ts) -> DataFrame:
+def run_event(batches: DataFrame, event_ts) -> DataFrame:
     """The ``run_completed`` record with the run totals (one row)."""
-    totals = run_totals(logs)
+    totals = run_totals(batches)
     record = F.struct(
         F.lit("INFO").alias("level"), F.lit("logmold").alias("logger"),
         F.lit("run_completed").alias("message"),
@@ -110,9 +97,9 @@ def run_event(logs: DataFrame, event_ts) -> DataFrame:
     return totals.select(F.to_json(record).alias("value"))
 
 
-def write_events(batches: DataFrame, logs: DataFrame, path: str, event_ts) -> None:
+def write_events(batches: DataFrame, path: str, event_ts) -> None:
     """S5 sink: append the run's JSON-lines records under ``path``."""
-    batch_events(batches, event_ts).unionByName(run_event(logs, event_ts)).write.mode("append").text(path)
+    batch_events(batches, event_ts).unionByName(run_event(batches, event_ts)).write.mode("append").text(path)
 
 
 def run_with_metrics(logs: DataFrame, sink: Callable[[DataFrame], None], name: str = "run") -> dict:

@@ -4,8 +4,7 @@ The tree is computed at leaf grain -- one row per (level, event bucket,
 template) -- which is the primary product. Instances and examples are
 per-leaf top-k's: ``row_number() <= k`` lets Spark insert a partial window
 group limit before the shuffle, so a leaf holding a third of all lines sends
-at most k rows per map task. Nesting into the reference's single document
-is a display step for small runs and checks its size first.
+at most k rows per map task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmold.functions.text import level_color, pct, source_norm, tree_bucket, tree_level
+from logmold.operators.batching import exclusive_running_sum
 
 LEAF = ["level", "event_type", "template_text"]
 DEFAULT_INSTANCE_LIMIT = 25
@@ -176,49 +176,33 @@ def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
     )
 
 
-def leaf_json(docs: DataFrame) -> DataFrame:
-    """T2 flat: one JSON leaf per row with its path; O5 order as a rank inside
-    (level, event bucket): count desc, then first appearance."""
-    w = Window.partitionBy("level", "event_type").orderBy(
-        F.col("count").desc(), F.col("first_batch_id"), F.col("first_idx"))
-    return docs.select(
-        "level", "color", "event_type",
-        F.row_number().over(w).cast("long").alias("template_rank"),
-        F.col("leaf.template_text").alias("template_text"),
-        F.to_json("leaf").alias("leaf_json"),
-    )
-
-
-def _sorted_by(entries, key: str):
-    """Sort map entries by their (string) key; the values may hold maps."""
-    return F.array_sort(entries, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
+def leaf_ranks(leaves: DataFrame) -> DataFrame:
+    """``template_rank`` of each leaf inside its (level, event bucket):
+    count desc, then first appearance.
 
+    Two nested running sums instead of a window over a bucket: leaves with a
+    larger count, then leaves of the same count first seen in an earlier
+    batch. Only leaves of one batch (at most its lines) share a window.
+    """
+    narrow = leaves.select(*LEAF, (-F.col("count")).alias("_less"), "first_batch_id", "first_idx")
+    bucket = ["level", "event_type"]
+    by_count = exclusive_running_sum(
+        narrow.groupBy(*bucket, "_less").agg(F.count(F.lit(1)).alias("_n")), bucket, "_less", "_n", "_above")
+    by_batch = exclusive_running_sum(
+        narrow.groupBy(*bucket, "_less", "first_batch_id").agg(F.count(F.lit(1)).alias("_n")),
+        [*bucket, "_less"], "first_batch_id", "_n", "_before")
+    w = Window.partitionBy(*bucket, "_less", "first_batch_id").orderBy("first_idx")
+    return (narrow.withColumn("_own", F.row_number().over(w))
+            .join(by_count.select(*bucket, "_less", "_above"), [*bucket, "_less"])
+            .join(by_batch.select(*bucket, "_less", "first_batch_id", "_before"), [*bucket, "_less", "first_batch_id"])
+            .select(*LEAF, (F.col("_above") + F.col("_before") + F.col("_own")).cast("long").alias("template_rank")))
 
-def tree_document(docs: DataFrame, header: dict, max_leaves: int = 100_000) -> DataFrame:
-    """The reference's nested document as one JSON row.
 
-    The whole tree is one value, so this is for display-sized runs: the leaf
-    count is checked first and a larger tree is refused (use ``leaf_json``).
-    """
-    n = docs.count()
-    if n > max_leaves:
-        raise ValueError(f"tree has {n} leaves (> {max_leaves}); use the flat leaf_json form")
-    w = Window.partitionBy("level", "event_type").orderBy(
-        F.col("count").desc(), F.col("first_batch_id"), F.col("first_idx"))
-    ranked = docs.withColumn("_r", F.row_number().over(w))
-    events = ranked.groupBy("level", "color", "event_type").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "leaf"))), lambda x: x["leaf"]).alias("templates")
-    )
-    levels = events.groupBy("level", "color").agg(
-        F.map_from_entries(_sorted_by(F.collect_list(
-            F.struct("event_type", F.struct("templates").alias("v"))), "event_type")).alias("event_types")
-    )
-    tree = levels.agg(
-        F.map_from_entries(_sorted_by(F.collect_list(
-            F.struct("level", F.struct("color", "event_types").alias("v"))), "level")).alias("levels")
-    )
-    head = [F.lit(v).alias(k) for k, v in header.items()]
-    return tree.select(F.to_json(F.struct(*head, F.coalesce("levels", F.create_map()).alias("levels"))).alias("tree_data"))
+def leaf_json(docs: DataFrame) -> DataFrame:
+    """T2 flat: one JSON leaf per row with its path and rank."""
+    flat = docs.withColumn("template_text", F.col("leaf.template_text"))
+    return flat.join(leaf_ranks(flat), LEAF).select(
+        "level", "color", "event_type", "template_rank", "template_text", F.to_json("leaf").alias("leaf_json"))
 
 
 # Reading a tree document (a snapshot or a sample file) back.

@@ -21,6 +21,7 @@ from logmold.operators.batching import assign_batches, clusters_from_blocks, clu
 from logmold.operators.generators import ModelGenerator
 from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
 from logmold.sources import lines as L
+from logmold.session import scratch_path, stash
 from logmold.sources import store as ST
 
 # Parameters of the registered queries (fixed; the reference uses wall-clock time).
@@ -36,6 +37,7 @@ TOP_N = 10
 RECENT_N = 5
 STREAM_WINDOW = "1 hour"
 STREAM_WATERMARK = "10 minutes"
+STREAM_PARTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]  # ends of the first two of three triggers
 
 
 def _lines(spark, sf_dir):
@@ -51,11 +53,11 @@ def _two_runs(spark, sf_dir):
     cache the history run left behind."""
     ll = _lines(spark, sf_dir)
     early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
-    first = parse_logs(ll.filter(early), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
-    # The cache the first run leaves behind is what the second run reads:
-    # written once (key grain, small) instead of re-deriving the first run.
-    cache1 = new_cache_entries(first, HISTORY_RUN_TS).checkpoint(eager=True)
-    second = parse_logs(ll.filter(~early), cache=cache1, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
+    # Each run's batch table is written once; its cache, stats and examples,
+    # and the other run, read that table.
+    first = parse_logs(ll.filter(early), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS).stored("history")
+    cache1 = new_cache_entries(first, HISTORY_RUN_TS)
+    second = parse_logs(ll.filter(~early), cache=cache1, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS).stored("current")
     return first, cache1, second
 
 
@@ -116,7 +118,7 @@ def q_extract_template(spark, sf_dir):
 
 
 def q_classify_template(spark, sf_dir):
-    dist = R.template_distribution(_parse(spark, sf_dir).logs)
+    dist = R.template_distribution(_parse(spark, sf_dir).batches)
     return dist.select(F.col("template").alias("template_text"), T.classify_template(F.col("template")).alias("label"))
 
 
@@ -153,7 +155,7 @@ def q_parsed_logs(spark, sf_dir):
 
 
 def q_doc_parsed_logs(spark, sf_dir):
-    r = parse_logs(L.document_lines(spark, sf_dir).select("idx", "text"), batch_size=BATCH_SIZE,
+    r = parse_logs(L.document_lines(spark, sf_dir), batch_size=BATCH_SIZE,
                    min_tokens=MIN_TOKENS)
     return r.logs.select("idx", "batch_id", "cluster_id", "template", "source")
 
@@ -161,11 +163,11 @@ def q_doc_parsed_logs(spark, sf_dir):
 # --- run views ----------------------------------------------------------------
 
 def q_run_totals(spark, sf_dir):
-    return R.run_totals(_parse(spark, sf_dir).logs)
+    return R.run_totals(_parse(spark, sf_dir).batches)
 
 
 def q_template_distribution(spark, sf_dir):
-    return R.template_distribution(_parse(spark, sf_dir).logs)
+    return R.template_distribution(_parse(spark, sf_dir).batches)
 
 
 def q_batch_distribution(spark, sf_dir):
@@ -173,12 +175,12 @@ def q_batch_distribution(spark, sf_dir):
 
 
 def q_template_stats(spark, sf_dir):
-    return S.stats_view(S.template_stats(_parse(spark, sf_dir).logs, RUN_TS))
+    return S.stats_view(S.template_stats_of(_parse(spark, sf_dir).batches, RUN_TS))
 
 
 def _merged_stats(spark, sf_dir, runs=None):
     first, _, second = runs or _two_runs(spark, sf_dir)
-    return S.merge_stats(S.template_stats(first.logs, HISTORY_RUN_TS), S.template_stats(second.logs, RUN_TS))
+    return S.merge_stats(S.template_stats_of(first.batches, HISTORY_RUN_TS), S.template_stats_of(second.batches, RUN_TS))
 
 
 def q_template_stats_merged(spark, sf_dir):
@@ -195,7 +197,7 @@ def q_cache_warm_run(spark, sf_dir):
     ll = _lines(spark, sf_dir)
     early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
     first = parse_logs(ll.filter(early), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
-    cache = new_cache_entries(first, HISTORY_RUN_TS).checkpoint(eager=True)
+    cache = stash(new_cache_entries(first, HISTORY_RUN_TS), "cache")
     warm = parse_logs(ll, cache=cache, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
     return warm.batches.select("batch_id", "cluster_id", "number_of_logs", "cache_key", "source", "template")
 
@@ -210,9 +212,9 @@ def q_example_orphans(spark, sf_dir):
     """Example rows of both runs whose template has no stats row in the
     history (templates first seen in the later run)."""
     first, _, second = _two_runs(spark, sf_dir)
-    orphans = ST.orphan_examples(_examples(first, second), S.template_stats(first.logs, HISTORY_RUN_TS))
+    orphans = ST.orphan_examples(_examples(first, second), S.template_stats_of(first.batches, HISTORY_RUN_TS))
     return orphans.select("template_text", "original_log", "log_level", "event_type", "source", "batch_id",
-                          "created_at", "seq")
+                          "created_at", F.col("seq.run").alias("run"), F.col("seq.idx").alias("idx"))
 
 
 def q_source_table(spark, sf_dir):
@@ -226,7 +228,7 @@ def q_structure_table(spark, sf_dir):
 
 
 def q_conversation_parsed_logs(spark, sf_dir):
-    r = parse_logs(L.conversation_lines(spark, sf_dir).select("idx", "text"), batch_size=BATCH_SIZE,
+    r = parse_logs(L.conversation_lines(spark, sf_dir), batch_size=BATCH_SIZE,
                    min_tokens=MIN_TOKENS)
     return r.logs.select("idx", "batch_id", "cluster_id", "template", "source", "level", "event_type")
 
@@ -240,43 +242,40 @@ def q_cache_retention(spark, sf_dir):
 # --- tree ---------------------------------------------------------------------
 
 def _tree_inputs(spark, sf_dir):
-    """The run's trace as tree lines, written once to the shared checkpoint
-    folder: the leaves, stats, instances, examples and debug branches all read
-    that table instead of re-deriving the trace each."""
-    r = _parse(spark, sf_dir)
+    """The run with its batch table written once: the leaves, stats, instances,
+    examples and debug branches all read the columns they need of it."""
+    r = _parse(spark, sf_dir).stored("tree-run")
     latest = r.batch_count()
-    return r, latest, TR.tree_lines(r.logs, latest).checkpoint(eager=True)
+    return r, latest, TR.tree_lines(r.logs, latest)
 
 
-def _run_stats(lines, run_ts):
-    """A4 of the run, from its tree lines (same rows as the trace)."""
-    return S.template_stats(lines.withColumnRenamed("template_text", "template"), run_ts)
+def _tree_lines(spark, sf_dir):
+    """Tree lines for a single consumer: nothing is written."""
+    r = _parse(spark, sf_dir)
+    return TR.tree_lines(r.logs, r.batch_count())
 
 
 def q_tree_leaves(spark, sf_dir):
     r, latest, lines = _tree_inputs(spark, sf_dir)
-    stats = _run_stats(lines, RUN_TS)
+    stats = S.template_stats_of(r.batches, RUN_TS)
     return TR.tree_leaves(lines, stats, latest, True, INSTANCE_LIMIT).drop("first_batch_id", "first_idx")
 
 
 def q_tree_instances(spark, sf_dir):
-    _, _, lines = _tree_inputs(spark, sf_dir)
-    return TR.tree_instances(lines, INSTANCE_LIMIT)
+    return TR.tree_instances(_tree_lines(spark, sf_dir), INSTANCE_LIMIT)
 
 
 def q_tree_examples(spark, sf_dir):
-    _, _, lines = _tree_inputs(spark, sf_dir)
-    return TR.tree_examples(lines)
+    return TR.tree_examples(_tree_lines(spark, sf_dir))
 
 
 def q_tree_debug(spark, sf_dir):
-    _, _, lines = _tree_inputs(spark, sf_dir)
-    return TR.tree_debug(lines)
+    return TR.tree_debug(_tree_lines(spark, sf_dir))
 
 
 def q_tree_json(spark, sf_dir):
     r, latest, lines = _tree_inputs(spark, sf_dir)
-    stats = _run_stats(lines, RUN_TS)
+    stats = S.template_stats_of(r.batches, RUN_TS)
     docs = TR.leaf_documents(
         TR.tree_leaves(lines, stats, latest, True, INSTANCE_LIMIT),
         TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines), TR.tree_debug(lines),
@@ -286,8 +285,8 @@ def q_tree_json(spark, sf_dir):
 
 def _tree_rows(r, run_ts):
     latest = r.batch_count()
-    lines = TR.tree_lines(r.logs, latest).checkpoint(eager=True)
-    docs = TR.leaf_documents(TR.tree_leaves(lines, _run_stats(lines, run_ts), latest, True, INSTANCE_LIMIT),
+    lines = TR.tree_lines(r.logs, latest)
+    docs = TR.leaf_documents(TR.tree_leaves(lines, S.template_stats_of(r.batches, run_ts), latest, True, INSTANCE_LIMIT),
                              TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines))
     return TR.leaf_json(docs), latest
 
@@ -296,8 +295,6 @@ def q_tree_snapshot_latest(spark, sf_dir):
     """S8 + S9: both runs append their tree snapshot to a versioned table in
     the shared checkpoint folder; the latest snapshot is read back and its
     leaf JSON parsed."""
-    from logmold.session import scratch_path
-
     first, _, second = _two_runs(spark, sf_dir)
     store = ST.TableStore(spark, scratch_path(spark, "tree-history"))
     for sid, (run, ts) in enumerate([(first, HISTORY_RUN_TS), (second, RUN_TS)], start=1):
@@ -320,12 +317,10 @@ def q_cache_hottest(spark, sf_dir):
 def q_stats_persisted(spark, sf_dir):
     """S7 + U2: each run appends its stats to a versioned table in the shared
     checkpoint folder; reading folds the deltas (U3 on read)."""
-    from logmold.session import scratch_path
-
     first, _, second = _two_runs(spark, sf_dir)
     store = ST.TableStore(spark, scratch_path(spark, "stats"))
-    ST.append_stats(store, S.template_stats(first.logs, HISTORY_RUN_TS))
-    ST.append_stats(store, S.template_stats(second.logs, RUN_TS))
+    ST.append_stats(store, S.template_stats_of(first.batches, HISTORY_RUN_TS))
+    ST.append_stats(store, S.template_stats_of(second.batches, RUN_TS))
     return ST.load_stats(store)
 
 
@@ -337,11 +332,9 @@ EVENT_SCHEMA = ("level STRING, logger STRING, message STRING, ts STRING, batch_i
 def q_event_log(spark, sf_dir):
     """The run's JSON-lines event records, written and read back with a
     schema (batch_processed per batch, one run_completed)."""
-    from logmold.session import scratch_path
-
     r = _parse(spark, sf_dir)
     path = scratch_path(spark, "events")
-    R.write_events(r.batches, r.logs, path, RUN_TS)
+    R.write_events(r.batches, path, RUN_TS)
     ev = spark.read.schema(EVENT_SCHEMA).json(path)
     return ev.select("message", "ts", "batch_id", "cluster_id", "number_of_logs", "source",
                      "total_logs", "batch_count", "template_count")
@@ -412,6 +405,112 @@ def q_stream_level_counts(spark, sf_dir):
     return stream_level_counts(spark, sf_dir, window=STREAM_WINDOW, watermark=STREAM_WATERMARK)
 
 
+# --- state, models and streams over several runs ---------------------------------
+
+def q_cache_store_run(spark, sf_dir):
+    """S6 + J4: the history run appends its cache to the store; the later run
+    loads it from there, and appends its own entries and hits."""
+    ll = _lines(spark, sf_dir)
+    early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
+    store = ST.TableStore(spark, scratch_path(spark, "cache-store"))
+    for part, ts in ((early, HISTORY_RUN_TS), (~early, RUN_TS)):
+        run = parse_logs(ll.filter(part), cache=ST.load_cache(store), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS).stored("run")
+        ST.append_cache(store, ST.cache_delta(new_cache_entries(run, ts), cache_hits(run)))
+    cache = ST.load_cache(store).select("cache_key", "template_text", "hit_count")
+    return run.batches.select("batch_id", "cache_key", "source").join(cache, "cache_key")
+
+
+def q_examples_store(spark, sf_dir):
+    """S10 + O4: each run appends its example rows; the newest per template
+    are read back."""
+    first, _, second = _two_runs(spark, sf_dir)
+    store = ST.TableStore(spark, scratch_path(spark, "examples"))
+    ST.append_examples(store, ST.example_rows(first.logs, HISTORY_RUN_TS, 0))
+    ST.append_examples(store, ST.example_rows(second.logs, RUN_TS, 1))
+    return ST.recent_examples(ST.load_examples(store), RECENT_N).select(
+        "template_text", "rank", "original_log", "log_level", "event_type", "source", "batch_id", "created_at")
+
+
+def q_state_counts(spark, sf_dir):
+    """A9 + U4 + J4: templates in the persisted stats, entries the retention
+    removes and keeps, and point lookups of both."""
+    first, cache1, second = _two_runs(spark, sf_dir)
+    store = ST.TableStore(spark, scratch_path(spark, "state"))
+    ST.append_stats(store, S.template_stats_of(first.batches, HISTORY_RUN_TS))
+    ST.append_stats(store, S.template_stats_of(second.batches, RUN_TS))
+    ST.save_cache(store, ST.merge_cache(cache1, new_cache_entries(second, RUN_TS), cache_hits(second)))
+    cache = ST.load_cache(store)
+    kept = ST.retain_cache(cache, RETENTION_TS, RETENTION_DAYS)
+    top = ST.hottest_cache(cache).first()
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select(
+        F.lit(ST.persisted_template_count(store)).cast("long").alias("templates"),
+        F.lit(ST.expired_count(cache, RETENTION_TS, RETENTION_DAYS)).cast("long").alias("removed"), "kept",
+        F.lit(ST.cache_get(cache, top["cache_key"]).first()["template_text"]).alias("hottest"))
+
+
+def q_tree_leaves_plain(spark, sf_dir):
+    """T3 + W3: current-batch overlay off, no instances shown."""
+    r, latest, lines = _tree_inputs(spark, sf_dir)
+    return TR.tree_leaves(lines, S.template_stats_of(r.batches, RUN_TS), latest, False, 0).drop("first_batch_id", "first_idx")
+
+
+def _failing_model_factory(patterns: list[str]):
+    """As the echo model, but it raises on prompts about disks."""
+    echo = _echo_model_factory(patterns)
+
+    def factory():
+        answer = echo()
+
+        def generate(prompt: str) -> str:
+            if "Disk error" in prompt.split("Logs:\n", 1)[1].split("\n", 1)[0]:
+                raise RuntimeError("no answer")
+            return answer(prompt)
+
+        return generate
+
+    return factory
+
+
+def _failing_run(spark, sf_dir):
+    return _parse(spark, sf_dir, generator=ModelGenerator(_failing_model_factory(list(T.TEMPLATE_MASK_ORDER))))
+
+
+def q_model_fallback(spark, sf_dir):
+    """Raw answers of a model, and the fallback where it raises."""
+    return _failing_run(spark, sf_dir).batches.select("batch_id", "source", "template", "slm_raw_output", "used_fallback")
+
+
+def q_tree_debug_model(spark, sf_dir):
+    """Cluster ids and raw outputs of each leaf of a model's run."""
+    r = _failing_run(spark, sf_dir)
+    return TR.tree_debug(TR.tree_lines(r.logs, r.batch_count()))
+
+
+def q_request_parsed_logs(spark, sf_dir):
+    """Each conversation as one parse request, its turns as the lines."""
+    turns = L.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    requests = turns.select("conv_id", F.transform("turns", lambda x: x["text"]).alias("logs"))
+    r = parse_logs(L.lines_from_requests(requests, request_col="conv_id"), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS)
+    return r.logs.select("idx", "batch_id", "cluster_id", "template", "source")
+
+
+def q_stream_parse_triggers(spark, sf_dir):
+    """X1 over three triggers: later ones find the cache of earlier ones."""
+    from logmold.streaming.stream import stream_parse_parts
+
+    return stream_parse_parts(spark, sf_dir, STREAM_PARTS, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS, run_ts=RUN_TS).select(
+        "epoch", "idx", "batch_id", "cluster_id", "template", "source")
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """X2 with a second trigger that moves the watermark and a third whose rows
+    are all behind it: they change nothing."""
+    from logmold.streaming.stream import stream_level_counts_late
+
+    return stream_level_counts_late(spark, sf_dir, HISTORY_SPLIT_TS, window=STREAM_WINDOW, watermark=STREAM_WATERMARK)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_text_lines": q_source_text_lines,
     "log_signature": q_log_signature,
@@ -458,4 +557,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pluggable_parser": q_pluggable_parser,
     "stream_parse": q_stream_parse,
     "stream_level_counts": q_stream_level_counts,
+    "cache_store_run": q_cache_store_run,
+    "examples_store": q_examples_store,
+    "state_counts": q_state_counts,
+    "tree_leaves_plain": q_tree_leaves_plain,
+    "model_fallback": q_model_fallback,
+    "tree_debug_model": q_tree_debug_model,
+    "request_parsed_logs": q_request_parsed_logs,
+    "stream_parse_triggers": q_stream_parse_triggers,
+    "stream_late_rows": q_stream_late_rows,
 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from logmold.functions import text as T
 from logmold.plans import catalog as C
-from logmold.sources.lines import DOC_POS_BITS, LOG_LINES_SQL, TURN_BITS, TURN_POS_BITS
+from logmold.sources.lines import LOG_LINES_SQL
 
 # Python white space / line breaks as RE2 classes.
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -117,9 +117,9 @@ LL = f"log_lines AS ({LOG_LINES_SQL})"
 EMPTY_CACHE = ("empty_cache AS (SELECT CAST(NULL AS VARCHAR) AS cache_key, CAST(NULL AS VARCHAR) AS template_text "
                "WHERE false)")
 DOC_LINES = f"""doc_lines AS (
-  SELECT doc_id * {1 << DOC_POS_BITS} + pos AS idx, doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
-    SELECT doc_id, pos, {strip('raw')} AS text FROM (
-      SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
+  SELECT CAST(doc_id * most + pos AS BIGINT) AS idx, doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
+    SELECT doc_id, most, pos, {strip('raw')} AS text FROM (
+      SELECT doc_id, max(len(l)) OVER () AS most, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
       FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM documents) d0
     ) d1
   ) d2 WHERE text <> '')"""
@@ -284,12 +284,12 @@ def build() -> dict[str, str]:
     o["tree_debug"] = with_(tree_ctes(), f"SELECT DISTINCT {LEAF}, 'cluster_id' AS kind, cluster_id AS value FROM tl")
     o["recent_examples"] = with_(two_run_ctes() + [
         "ex AS (SELECT template AS template_text, text AS original_log, level AS log_level, event_type, source, "
-        f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, idx AS seq FROM h_logs UNION ALL "
+        f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, CAST(0 AS BIGINT) AS run, idx FROM h_logs UNION ALL "
         "SELECT template, text, level, event_type, source, batch_id, "
-        f"{ts(C.RUN_TS)}, 1099511627776 + idx FROM c_logs)"],
+        f"{ts(C.RUN_TS)}, CAST(1 AS BIGINT), idx FROM c_logs)"],
         f"SELECT x.template_text, x.rank, x.original_log, x.log_level, x.event_type, x.source, x.batch_id, x.created_at, "
         f"m.template_text IS NOT NULL AS has_stats FROM (SELECT *, row_number() OVER (PARTITION BY template_text "
-        f"ORDER BY created_at DESC, seq DESC) AS rank FROM ex) x LEFT JOIN merged m ON x.template_text = m.template_text "
+        f"ORDER BY created_at DESC, run DESC, idx DESC) AS rank FROM ex) x LEFT JOIN merged m ON x.template_text = m.template_text "
         f"WHERE x.rank <= {C.RECENT_N}")
     merged_cache = [
         f"rows AS (SELECT cache_key, template_text, created_at, updated_at, hit_count FROM cache1 "
@@ -313,9 +313,9 @@ def build() -> dict[str, str]:
         "CAST(coalesce(max(batch_id), 0) AS BIGINT), count(DISTINCT template) FROM r_logs"))
     examples = [
         "ex AS (SELECT template AS template_text, text AS original_log, level AS log_level, event_type, source, "
-        f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, idx AS seq FROM h_logs UNION ALL "
+        f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, CAST(0 AS BIGINT) AS run, idx FROM h_logs UNION ALL "
         "SELECT template, text, level, event_type, source, batch_id, "
-        f"{ts(C.RUN_TS)}, 1099511627776 + idx FROM c_logs)"]
+        f"{ts(C.RUN_TS)}, CAST(1 AS BIGINT), idx FROM c_logs)"]
     o["example_orphans"] = with_(two_run_ctes() + examples, (
         "SELECT * FROM ex WHERE template_text NOT IN (SELECT template_text FROM h_stats)"))
     o["source_table"] = with_(two_run_ctes(), f"SELECT template_text, usage_count, "
@@ -323,10 +323,10 @@ def build() -> dict[str, str]:
                                               f"{pct('slm_count', 'usage_count')} AS slm_pct FROM merged")
     o["structure_table"] = with_(single, "SELECT batch_id, idx, text, masked, level, event_type, source FROM r_logs")
     conv_lines = f"""conv_lines AS (
-  SELECT turn_key * {1 << TURN_POS_BITS} + pos AS idx, text FROM (
-    SELECT turn_key, pos, {strip('raw')} AS text FROM (
-      SELECT turn_key, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
-      FROM (SELECT conv_id * {1 << TURN_BITS} + turn AS turn_key,
+  SELECT CAST(turn_key * most + pos AS BIGINT) AS idx, text FROM (
+    SELECT turn_key, most, pos, {strip('raw')} AS text FROM (
+      SELECT turn_key, max(len(l)) OVER () AS most, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
+      FROM (SELECT conv_id * (max(turn) OVER () + 1) + turn AS turn_key,
                    string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM conversations) c0
     ) c1
   ) c2 WHERE text <> '')"""
@@ -385,6 +385,58 @@ def build() -> dict[str, str]:
         f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + "
         f"INTERVAL '1 hour' AS window_end, {level('text')} AS level, {event('text')} AS event_type, count(*) AS n "
         f"FROM log_lines GROUP BY ALL"))
+    # several runs over stored state
+    o["cache_store_run"] = with_(two_run_ctes() + merged_cache, (
+        "SELECT b.batch_id, b.cache_key, b.source, m.template_text, m.hit_count FROM c_bt b "
+        "JOIN merged_cache m ON b.cache_key = m.cache_key"))
+    o["examples_store"] = with_(two_run_ctes() + examples, (
+        "SELECT template_text, rank, original_log, log_level, event_type, source, batch_id, created_at FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY template_text ORDER BY created_at DESC, run DESC, idx DESC) AS rank FROM ex) x "
+        f"WHERE rank <= {C.RECENT_N}"))
+    o["state_counts"] = with_(two_run_ctes() + merged_cache, (
+        f"SELECT (SELECT count(*) FROM merged) AS templates, count(*) FILTER (WHERE updated_at < {cutoff}) AS removed, "
+        f"count(*) FILTER (WHERE updated_at >= {cutoff}) AS kept, "
+        "(SELECT template_text FROM merged_cache ORDER BY hit_count DESC NULLS LAST, cache_key LIMIT 1) AS hottest "
+        "FROM merged_cache"))
+    o["tree_leaves_plain"] = with_(tree_ctes() + [
+        f"leaves AS (SELECT {LEAF}, count(*) AS \"count\", count(*) FILTER (WHERE source = 'CACHE') AS cache, "
+        f"count(*) FILTER (WHERE source <> 'CACHE') AS slm FROM tl GROUP BY {LEAF})",
+    ], f"SELECT l.level, l.event_type, l.template_text, l.\"count\", l.cache, l.slm, "
+       f"{pct('l.cache', 'l.\"count\"')} AS cache_pct, {pct('l.slm', 'l.\"count\"')} AS slm_pct, "
+       f"CAST(0 AS BIGINT) AS current_batch_count, false AS highlight_current_batch, l.\"count\" AS instances_total, "
+       f"true AS instances_truncated, l.\"count\" AS omitted_instances, "
+       f"CAST((SELECT m FROM latest) AS BIGINT) AS latest_batch_id, "
+       f"CAST(coalesce(s.usage_count, 0) AS BIGINT) AS global_count, s.first_seen, s.last_used AS last_seen "
+       f"FROM leaves l LEFT JOIN r_stats s ON l.template_text = s.template_text")
+    raw = (f"CASE WHEN source <> 'SLM' OR first_text LIKE '%Disk error%' THEN '' ELSE "
+           f"'Template: ' || {mask('first_text', T.TEMPLATE_MASK_ORDER)} || chr(10) || 'extra words' END")
+    model = [f"model AS (SELECT bt.*, {raw} AS slm_raw_output, source = 'SLM' AND first_text LIKE '%Disk error%' AS used_fallback "
+             "FROM r_bt bt JOIN (SELECT batch_id AS fb, first_text FROM r_b) f ON f.fb = bt.batch_id)"]
+    o["model_fallback"] = with_([LL, EMPTY_CACHE] + parse_ctes("r", "log_lines") + model,
+                                "SELECT batch_id, source, template, slm_raw_output, used_fallback FROM model")
+    o["tree_debug_model"] = with_(tree_ctes() + model + [
+        f"raws AS (SELECT DISTINCT {LEAF}, slm_raw_output AS value FROM tl JOIN (SELECT batch_id AS mb, slm_raw_output "
+        "FROM model WHERE slm_raw_output <> '') m ON m.mb = tl.batch_id)"], (
+        f"SELECT DISTINCT {LEAF}, 'cluster_id' AS kind, cluster_id AS value FROM tl UNION ALL "
+        f"SELECT {LEAF}, 'raw_slm_output', value FROM (SELECT *, row_number() OVER (PARTITION BY {LEAF} ORDER BY value) AS r "
+        "FROM raws) x WHERE r <= 3"))
+    request_lines = """request_lines AS (
+  SELECT CAST(conv_id * max(n) OVER () + pos AS BIGINT) AS idx, coalesce(text, '') AS text FROM (
+    SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+           count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c0)"""
+    o["request_parsed_logs"] = with_([request_lines, EMPTY_CACHE] + parse_ctes("q", "request_lines"),
+                                     "SELECT idx, batch_id, cluster_id, template, source FROM q_logs")
+    a, b = (ts(e) for e in C.STREAM_PARTS)
+    stream = [LL, EMPTY_CACHE]
+    cache = "empty_cache"
+    for k, where in enumerate((f"ts < {a}", f"ts >= {a} AND ts < {b}", f"ts >= {b}")):
+        stream += [f"s{k} AS (SELECT idx, text FROM log_lines WHERE {where})"] + parse_ctes(f"e{k}", f"s{k}", cache)
+        stream += [f"after{k} AS (SELECT cache_key, template_text FROM {cache} UNION ALL "
+                   f"SELECT cache_key, template FROM e{k}_kt WHERE NOT hit)"]
+        cache = f"after{k}"
+    o["stream_parse_triggers"] = with_(stream, " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS epoch, idx, batch_id, cluster_id, template, source FROM e{k}_logs" for k in range(3)))
+    o["stream_late_rows"] = o["stream_level_counts"]
     return o
 
 

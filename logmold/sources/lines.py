@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logmold.functions.text import LINE_BREAK, py_strip
+from logmold.session import ensure_checkpoint_dir
 
-# Positions inside one document / turn are packed below these many bits of idx.
-DOC_POS_BITS = 24
-TURN_BITS = 16
-TURN_POS_BITS = 16
+#: Lines that one block of a source with gaps in ``idx`` holds on average.
+BLOCK_LINES = 1 << 20
+#: Splits of a text input whose first line numbers are sent to all tasks.
+BROADCAST_SPLITS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores (one small file, one row
-    group) over the cores before per-row regex work. An input with enough
-    splits -- any large one -- is returned unchanged, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Dealt out over as many partitions as ``logmold.input.partitions`` says
+    (for one small file that is a single split); unset, the scan's own."""
+    n = df.sparkSession.conf.get("logmold.input.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def lines_from_list(spark: SparkSession, logs: list[str]) -> DataFrame:
@@ -39,6 +37,28 @@ def lines_from_list(spark: SparkSession, logs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "idx BIGINT, text STRING")
 
 
+def ordered_lines(df: DataFrame, keys: list[str], lines: Column, keep: list[str] | None = None) -> DataFrame:
+    """``idx, block, <keys>, <keep>, pos, raw`` of the lines in an array column,
+    in the order of ``keys`` (BIGINT; together unique) and position.
+
+    One aggregate over the table gives the most lines of a row and the largest
+    value of each further key; ``idx`` leaves exactly that much room, so there
+    is no limit on either. ``block`` cuts idx into ranges of ``BLOCK_LINES``
+    lines on average.
+    """
+    rows = df.select(*[F.col(k).cast("long").alias(k) for k in keys], *(keep or []), lines.alias("_lines"))
+    size = F.size("_lines")
+    most, mean, *top = rows.agg(F.max(size), F.avg(size), *[F.max(k) for k in keys[1:]]).first()
+    most, mean = max(most or 1, 1), max(mean or 1.0, 1.0)
+    ordinal = F.col(keys[0])
+    for key, high in zip(keys[1:], top):
+        ordinal = ordinal * F.lit((high or 0) + 1).cast("long") + F.col(key)
+    exploded = rows.select(*keys, *(keep or []), ordinal.alias("_ordinal"), F.posexplode("_lines").alias("pos", "raw"))
+    numbered = exploded.withColumn("idx", F.col("_ordinal") * F.lit(most).cast("long") + F.col("pos"))
+    return numbered.select("idx", F.expr(f"idx div {int(BLOCK_LINES * most / mean)}L").alias("block"),
+                           *keys, *(keep or []), F.col("pos").cast("int").alias("pos"), "raw")
+
+
 def lines_from_requests(df: DataFrame, logs_col: str = "logs", request_col: str | None = None) -> DataFrame:
     """Parse requests ``{"logs": [...]}``; blank lines are kept.
 
@@ -46,11 +66,8 @@ def lines_from_requests(df: DataFrame, logs_col: str = "logs", request_col: str
     order (stable for the same files), taken from ``monotonically_increasing_id``.
     """
     req = F.col(request_col) if request_col else F.monotonically_increasing_id()
-    exploded = df.select(req.alias("_req"), F.posexplode(F.col(logs_col)).alias("_pos", "text"))
-    return exploded.select(
-        (F.col("_req").cast("long") * F.lit(1 << DOC_POS_BITS) + _bounded(F.col("_pos"), DOC_POS_BITS)).alias("idx"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    rows = df.select(req.alias("_req"), F.col(logs_col).alias("_logs"))
+    return ordered_lines(rows, ["_req"], F.col("_logs")).select("idx", "block", F.coalesce("raw", F.lit("")).alias("text"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -58,81 +75,66 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return lines_from_requests(spark.read.schema("logs ARRAY<STRING>").json(path))
 
 
-def _bounded(pos: Column, bits: int) -> Column:
-    # A position that does not fit its bits would silently reorder lines; fail instead.
-    return F.when(pos < F.lit(1 << bits), pos.cast("long")).otherwise(
-        F.raise_error(F.lit(f"line position needs more than {bits} bits"))
-    )
-
-
 def split_text_lines(text: Column) -> Column:
     """Python ``splitlines()`` boundaries as one Spark split."""
     return F.split(F.coalesce(text, F.lit("")), f"(?U){LINE_BREAK}")
 
 
-def text_lines(df: DataFrame, key: str, text_col: str = "text", key_bits: int = DOC_POS_BITS,
-               keep: list[str] | None = None) -> DataFrame:
-    """S3: multi-line text -> stripped, non-blank lines, ordered by (key, position)."""
-    keep = keep or []
-    exploded = df.select(
-        F.col(key), *[F.col(k) for k in keep],
-        F.posexplode(split_text_lines(F.col(text_col))).alias("pos", "raw"),
-    )
-    stripped = exploded.select(
-        (F.col(key).cast("long") * F.lit(1 << key_bits) + _bounded(F.col("pos"), key_bits)).alias("idx"),
-        F.col(key), *[F.col(k) for k in keep], F.col("pos").cast("int").alias("pos"),
-        py_strip(F.col("raw")).alias("text"),
-    )
-    return stripped.filter(F.col("text") != F.lit(""))
+def _stripped(lines: DataFrame) -> DataFrame:
+    """Stripped, non-blank lines: ``raw`` becomes ``text``."""
+    return lines.withColumn("text", py_strip(F.col("raw"))).drop("raw").filter(F.col("text") != F.lit(""))
+
+
+def text_lines(df: DataFrame, keys: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """S3: multi-line text -> stripped, non-blank lines, ordered by (keys, position)."""
+    return _stripped(ordered_lines(df, keys, split_text_lines(F.col(text_col)), keep))
 
 
-def read_log_files(spark: SparkSession, path: str, sub_bits: int = 16) -> DataFrame:
+def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     """S3 from text files: stripped, non-blank lines in (file path, offset)
     order, with ``idx`` numbered without a global sort.
 
-    ``spark.read.text`` splits on \n, \r and \r\n only; the remaining Python
-    line boundaries split a physical line further (``sub_bits`` of idx).
+    ``spark.read.text`` splits on \\n, \\r and \\r\\n only; the remaining Python
+    line boundaries split a physical line further (``idx`` leaves room for the
+    most that any line has; usually none has, and idx is the line number).
     Numbering: rows per (file, split) are counted, a running sum over the
-    splits (one row each, so the unpartitioned window is bounded by the
-    number of splits) gives each split its first line number, and a row's
+    splits (one row each) gives each split its first line number, and a row's
     offset inside its split comes from ``monotonically_increasing_id``.
-    Splits of one file are scanned in offset order, so ids are stable.
+    Splits of one file are scanned in offset order, so ids are stable. The
+    split table is sent to the lines where it is small enough, so that the
+    text isn't shuffled for its numbers.
     """
+    ensure_checkpoint_dir(spark)
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().alias("mono"), "value",
     )
-    per_split = raw.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("mono").alias("first_mono"))
+    per_split = raw.groupBy("file", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mono").alias("first_mono"),
+        F.max(F.size(split_text_lines(F.col("value")))).alias("most")).checkpoint(eager=True)
+    splits, most = per_split.agg(F.count("*"), F.coalesce(F.max("most"), F.lit(1))).first()
     running = Window.orderBy("file", "first_mono").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_split.select("file", "part", "first_mono",
                              F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
+    if splits <= BROADCAST_SPLITS:
+        bases = F.broadcast(bases)
     numbered = raw.join(bases, ["file", "part"]).select(
         "file", (F.col("base") + F.col("mono") - F.col("first_mono")).alias("line_no"), "value")
     exploded = numbered.select("file", "line_no", F.posexplode(split_text_lines(F.col("value"))).alias("pos", "raw"))
-    out = exploded.select(
-        (F.col("line_no") * F.lit(1 << sub_bits) + _bounded(F.col("pos"), sub_bits)).alias("idx"),
-        "file", py_strip(F.col("raw")).alias("text"),
-    )
-    return out.filter(F.col("text") != F.lit(""))
+    return _stripped(exploded.select(
+        (F.col("line_no") * F.lit(most).cast("long") + F.col("pos")).alias("idx"),
+        F.expr(f"line_no div {BLOCK_LINES}L").alias("block"), "file", "raw"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents``: doc_id, pos, idx, text (whole documents, every line)."""
-    docs = spread_input(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return text_lines(docs, "doc_id").select("idx", "doc_id", "pos", "text")
+    """Lines of ``documents``: idx, block, doc_id, pos, text (whole documents, every line)."""
+    return text_lines(spread_input(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``conversations``: one key per (conv_id, turn)."""
-    conv = spread_input(table(spark, sf_dir, "conversations")).select(
-        "conv_id", "turn", "role",
-        (F.col("conv_id").cast("long") * F.lit(1 << TURN_BITS)
-         + _bounded(F.col("turn"), TURN_BITS)).alias("turn_key"),
-        "text",
-    )
-    return text_lines(conv, "turn_key", key_bits=TURN_POS_BITS, keep=["conv_id", "turn", "role"]).select(
-        "idx", "conv_id", "turn", "role", "pos", "text"
-    )
+    """Lines of ``conversations``, by conversation and turn."""
+    conv = spread_input(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return text_lines(conv, ["conv_id", "turn"], keep=["role"])
 
 
 def events_to_log_lines(events: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from logmold.functions.text import event_type, log_level
 from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
-from logmold.operators.stats import template_stats
+from logmold.operators.stats import template_stats_of
 from logmold.session import scratch_path
 from logmold.sources import store as ST
 from logmold.sources.lines import events_to_log_lines
@@ -55,6 +55,9 @@ def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts
         cache = ST.load_cache(store, before=version)
         result = parse_logs(batch.select("idx", "text"), cache=cache, generator=generator,
                             batch_size=batch_size, min_tokens=min_tokens)
+        # The parse runs once: everything else of the epoch reads its batches.
+        store.write("trace_batches", result.batches, "delta", version)
+        result = result.over(store.read_version("trace_batches", version, result.batches.schema))
         logs_out = result.logs.select(
             "idx", "text", "batch_id", "cluster_id", "template", "source", "level", "event_type", "masked"
         ).withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
@@ -62,7 +65,7 @@ def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts
         # State changes are appended as deltas (O(run), not O(state));
         # every ``compact_every`` epochs the deltas fold into a new base.
         ST.append_cache(store, ST.cache_delta(new_cache_entries(result, run_ts), cache_hits(result)), version)
-        ST.append_stats(store, template_stats(result.logs, run_ts), version)
+        ST.append_stats(store, template_stats_of(result.batches, run_ts), version)
         if compact_every and (int(epoch_id) + 1) % compact_every == 0:
             ST.compact(store, version + 1)
 
@@ -90,6 +93,29 @@ def stream_parse_events(spark: SparkSession, sf_dir: str, batch_size: int = 16,
     return store.read("trace_logs", TRACE_SCHEMA)
 
 
+def _feed(spark: SparkSession, parts: list[DataFrame], root: str, run) -> None:
+    """Add each part to the input folder and run the stream over it: the same
+    checkpoint, so every call is a trigger that sees only the new files."""
+    for part in parts:
+        part.select(*EVENT_COLUMNS).write.mode("append").parquet(f"{root}/in")
+        run(event_stream(spark, f"{root}/in"))
+
+
+def stream_parse_parts(spark: SparkSession, sf_dir: str, ends: list, batch_size: int = 16, min_tokens: int = 3,
+                       run_ts="2024-02-01 00:00:00", root: str | None = None) -> DataFrame:
+    """X1 over ``events`` in several triggers, cut at the times ``ends``."""
+    root = root or scratch_path(spark, "stream-parts")
+    store = ST.TableStore(spark, f"{root}/tables")
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    cuts = [F.lit(e).cast("timestamp") for e in ends]
+    bounds = zip([None, *cuts], [*cuts, None])
+    parts = [events.filter((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if b is None else F.col("ts") < b))
+             for a, b in bounds]
+    _feed(spark, parts, root, lambda stream: parse_stream(
+        events_to_log_lines(stream), store, f"{root}/checkpoint", run_ts, batch_size, min_tokens))
+    return store.read("trace_logs", TRACE_SCHEMA)
+
+
 WINDOW_SCHEMA = "window_start TIMESTAMP, window_end TIMESTAMP, level STRING, event_type STRING, n BIGINT, epoch BIGINT"
 
 
@@ -106,12 +132,16 @@ def level_counts(lines: DataFrame, window: str = "1 hour", watermark: str = "10
 
 
 def run_level_counts(lines: DataFrame, store: ST.TableStore, checkpoint: str,
-                     window: str = "1 hour", watermark: str = "10 minutes"):
-    """X2 with update output: every epoch appends the windows it changed."""
+                     window: str = "1 hour", watermark: str = "10 minutes", compact_every: int = 20):
+    """X2 with update output: every epoch appends the windows it changed; every
+    ``compact_every`` epochs they fold into a new base."""
 
     def per_epoch(batch: DataFrame, epoch_id: int) -> None:
-        store.write("window_counts", batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long")),
-                    "delta", int(epoch_id) + 1)
+        version = 2 * int(epoch_id) + 2
+        store.write("window_counts", batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long")), "delta", version)
+        if compact_every and (int(epoch_id) + 1) % compact_every == 0:
+            rows = latest_window_counts(store.read("window_counts", WINDOW_SCHEMA, before=version + 1))
+            store.write("window_counts", rows.withColumn("epoch", F.lit(int(epoch_id)).cast("long")), "base", version + 1)
 
     query = (
         level_counts(lines, window, watermark).writeStream.outputMode("update")
@@ -137,3 +167,18 @@ def stream_level_counts(spark: SparkSession, sf_dir: str, window: str = "1 hour"
     events = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     run_level_counts(events_to_log_lines(events), store, f"{root}/checkpoint", window, watermark)
     return latest_window_counts(store.read("window_counts", WINDOW_SCHEMA))
+
+
+def stream_level_counts_late(spark: SparkSession, sf_dir: str, split, window: str = "1 hour", watermark: str = "10 minutes",
+                             root: str | None = None) -> DataFrame:
+    """X2 over ``events`` before and after ``split`` as two triggers, then a
+    third with the first part again, moved behind the watermark."""
+    root = root or scratch_path(spark, "stream-late")
+    store = ST.TableStore(spark, f"{root}/tables")
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    early = events.filter(F.col("ts") < F.lit(split).cast("timestamp"))
+    late = early.withColumn("ts", (F.col("ts") - F.expr("INTERVAL 90 DAYS")).cast(events.schema["ts"].dataType))
+    parts = [early, events.filter(F.col("ts") >= F.lit(split).cast("timestamp")), late]
+    _feed(spark, parts, root, lambda stream: run_level_counts(
+        events_to_log_lines(stream), store, f"{root}/checkpoint", window, watermark))
+    return latest_window_counts(store.read("window_counts", WINDOW_SCHEMA))

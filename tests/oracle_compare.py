@@ -73,7 +73,7 @@ def main():
     import __spark_entry__ as E
     from logmold.session import get_session
 
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session(f"local[{os.environ.get('CPUS', 8)}]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()

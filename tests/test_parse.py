@@ -56,9 +56,9 @@ def test_second_run_all_cache(spark):
 
 
 def test_distribution_sums_to_lines(spark):
-    logs = parse_logs(lines_df(spark, TEXTS)).logs
-    dist = R.template_distribution(logs).agg(F.sum("n")).first()[0]
-    tot = R.run_totals(logs).first()
+    batches = parse_logs(lines_df(spark, TEXTS)).batches
+    dist = R.template_distribution(batches).agg(F.sum("n")).first()[0]
+    tot = R.run_totals(batches).first()
     assert dist == len(TEXTS) == tot["total_logs"]
     assert tot["batch_count"] == parse_logs(lines_df(spark, TEXTS)).batches.count()
 
@@ -66,7 +66,7 @@ def test_distribution_sums_to_lines(spark):
 def test_empty_input(spark):
     r = parse_logs(spark.createDataFrame([], "idx BIGINT, text STRING"))
     assert r.logs.count() == 0
-    tot = R.run_totals(r.logs).first()
+    tot = R.run_totals(r.batches).first()
     assert tuple(tot) == (0, 0, 0)
 
 
@@ -107,7 +107,7 @@ def test_event_sink(spark, tmp_root):
     import json
 
     r = parse_logs(lines_df(spark, ["a 1", "b 2"]))
-    R.write_events(r.batches, r.logs, f"{tmp_root}/events", "2024-01-01 00:00:00")
+    R.write_events(r.batches, f"{tmp_root}/events", "2024-01-01 00:00:00")
     recs = [json.loads(x[0]) for x in spark.read.text(f"{tmp_root}/events").collect()]
     assert sorted(x["message"] for x in recs) == ["batch_processed", "batch_processed", "run_completed"]
 
@@ -132,12 +132,6 @@ def test_sources(spark, tmp_root):
     assert [r["text"] for r in read_requests(spark, f"{tmp_root}/req.json").orderBy("idx").collect()] == ["a", "", "b"]
 
 
-def test_distribution_map(spark):
-    from logmold.operators.trace import distribution_map
-
-    logs = parse_logs(lines_df(spark, ["a 1", "a 2", "b"])).logs
-    assert distribution_map(logs).first()[0] == {"a <*>": 2, "b": 1}
-
 
 def test_run_metrics(spark):
     r = parse_logs(lines_df(spark, TEXTS))
@@ -167,11 +161,62 @@ def test_cli_runs_with_state(spark, tmp_root, capsys):
     assert ST.load_cache(ST.TableStore(spark, f"{tmp_root}/state")).count() == 0
 
 
-def test_spread_input_only_for_small_inputs(spark):
-    from logmold.sources.lines import spread_input
-
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread_input(one).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 2)
-    assert spread_input(many) is many
+def test_requests_of_many_partitions(spark):
+    from logmold.sources.lines import lines_from_requests
+
+    reqs = spark.range(400).selectExpr("array(concat('a ', id), '', concat('b ', id)) as logs", "id").repartition(200, "id")
+    got = lines_from_requests(reqs.sortWithinPartitions("id"))
+    assert got.select("idx").distinct().count() == 1200 == got.count()
+    by_id = [r["text"] for r in lines_from_requests(reqs, request_col="id").orderBy("idx").collect()]
+    assert by_id == [x for i in range(400) for x in (f"a {i}", "", f"b {i}")]
+
+
+def test_text_files_of_many_splits(spark, tmp_root):
+    """Numbers in plain Python order over several files and splits, with and
+    without the split table being sent, and blocks as full as those of a
+    dense source."""
+    from pyspark.sql import functions as F
+
+    import logmold.sources.lines as L
+    from logmold.operators.batching import cluster_blocks, with_signature
+
+    want = []
+    for name in ("a", "b", "c"):
+        text = "".join(f"{name} line {i}\x0bpart {i}\n" if i % 50 == 0 else f"{name} line {i}\n" for i in range(3000))
+        with open(f"{tmp_root}/{name}.log", "w") as f:
+            f.write(text)
+        want += [x.strip() for x in text.splitlines() if x.strip()]
+    kept = L.BROADCAST_SPLITS, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for limit in (kept[0], 0):
+            L.BROADCAST_SPLITS = limit
+            lines = L.read_log_files(spark, f"{tmp_root}/*.log")
+            assert [r["text"] for r in lines.orderBy("idx").collect()] == want
+    finally:
+        L.BROADCAST_SPLITS = kept[0]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[1])
+    signed = with_signature(lines.withColumn("text", F.lit("same")), 3)
+    assert cluster_blocks(signed).count() == 1
+
+
+def test_one_parse_per_stored_run(spark):
+    """Everything made of a stored run reads its batch table."""
+    r = parse_logs(lines_df(spark, TEXTS)).stored("test")
+    for df in (r.logs, r.keys, R.run_totals(r.batches)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "parquet" in plan
+    again = parse_logs(lines_df(spark, TEXTS))
+    cols = ["cache_key", "hit", "first_batch_id", "key_batches", "template"]
+    assert sorted(map(tuple, r.keys.select(*cols).collect())) == sorted(map(tuple, again.keys.select(*cols).collect()))
+    assert sorted(map(tuple, r.logs.collect())) == sorted(map(tuple, again.logs.collect()))
+
+
+def test_batch_statistics_equal_line_statistics(spark):
+    from logmold.operators.stats import template_stats, template_stats_of
+
+    r = parse_logs(lines_df(spark, ["", "", *TEXTS, ""]))
+    of = template_stats_of(r.batches, "2024-01-01")
+    assert sorted(map(tuple, of.collect())) == sorted(map(tuple, template_stats(r.logs, "2024-01-01").collect()))
+    plan = of._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

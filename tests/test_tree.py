@@ -54,26 +54,11 @@ def test_current_batch_off(spark):
     assert {(x["current_batch_count"], x["highlight_current_batch"]) for x in leaves.collect()} == {(0, False)}
 
 
-def test_document_and_empty(spark):
-    _, latest, _, docs = _tree(spark, TEXTS, debug=False)
-    doc = json.loads(TR.tree_document(docs, {"generated_at": "", "latest_batch_id": latest, "show_current_batch": True,
-                                             "debug_mode": False, "total_logs": len(TEXTS)}).first()["tree_data"])
-    assert list(doc["levels"]) == ["ERROR", "INFO"]
-    assert doc["levels"]["INFO"]["color"] == "blue"
-    assert list(doc["levels"]["INFO"]["event_types"]) == ["login"]
-    assert "debug" not in doc["levels"]["INFO"]["event_types"]["login"]["templates"][0]
-    # empty run: header with an empty level map
+def test_no_debug_and_empty(spark):
+    _, _, _, docs = _tree(spark, TEXTS, debug=False)
+    assert all("debug" not in json.loads(r["leaf_json"]) for r in TR.leaf_json(docs).collect())
     _, latest, _, docs = _tree(spark, [], debug=False)
-    doc = json.loads(TR.tree_document(docs, {"latest_batch_id": latest, "total_logs": 0}).first()["tree_data"])
-    assert doc == {"latest_batch_id": 0, "total_logs": 0, "levels": {}}
-
-
-def test_document_size_guard(spark):
-    import pytest
-
-    _, _, _, docs = _tree(spark, TEXTS)
-    with pytest.raises(ValueError):
-        TR.tree_document(docs, {}, max_leaves=1)
+    assert latest == 0 and TR.leaf_json(docs).count() == 0
 
 
 def test_template_order_in_bucket(spark):
@@ -84,15 +69,30 @@ def test_template_order_in_bucket(spark):
     assert ranks == {"login b <*>": 1, "login a <*>": 2, "login c <*>": 3}
 
 
-def test_tree_json_round_trip(spark, tmp_root):
+def test_ranks_in_ranges(spark):
+    """Many leaves of one bucket: the nested sums rank as one window would."""
+    rows = [("INFO", "login", f"t{i}", 1 + (i * 7) % 5, 1 + (i * 13) % 40, i) for i in range(200)]
+    leaves = spark.createDataFrame(rows, "level STRING, event_type STRING, template_text STRING, count BIGINT, "
+                                         "first_batch_id BIGINT, first_idx BIGINT")
+    got = {r["template_text"]: r["template_rank"] for r in TR.leaf_ranks(leaves).collect()}
+    order = sorted(rows, key=lambda r: (-r[3], r[4], r[5]))
+    assert got == {r[2]: k + 1 for k, r in enumerate(order)}
+
+
+def test_tree_document_reader(spark, tmp_root):
+    """A nested document as the file format has it."""
     _, latest, leaves, docs = _tree(spark, TEXTS)
-    doc = TR.tree_document(docs, {"generated_at": "", "latest_batch_id": latest, "show_current_batch": True,
-                                  "debug_mode": True, "total_logs": len(TEXTS)}).first()["tree_data"]
+    rows = TR.leaf_json(docs).collect()
+    doc: dict = {"generated_at": "", "latest_batch_id": latest, "show_current_batch": True, "debug_mode": True,
+                 "total_logs": len(TEXTS), "levels": {}}
+    for r in sorted(rows, key=lambda r: r["template_rank"]):
+        level = doc["levels"].setdefault(r["level"], {"color": r["color"], "event_types": {}})
+        level["event_types"].setdefault(r["event_type"], {"templates": []})["templates"].append(json.loads(r["leaf_json"]))
     with open(f"{tmp_root}/tree.json", "w") as f:
-        f.write(json.dumps(json.loads(doc), indent=2))
-    rows = TR.tree_leaf_rows(TR.read_tree_json(spark, f"{tmp_root}/tree.json")).collect()
-    got = {(r["level"], r["event_type"], r["template_text"]): (r["count"], r["template_rank"]) for r in rows}
+        f.write(json.dumps(doc, indent=2))
+    read = TR.tree_leaf_rows(TR.read_tree_json(spark, f"{tmp_root}/tree.json")).collect()
+    got = {(r["level"], r["event_type"], r["template_text"]): (r["count"], r["template_rank"]) for r in read}
     want = {(r["level"], r["event_type"], r["template_text"]): (r["count"], 1) for r in leaves.collect()}
     assert got == want
-    back = TR.tree_leaf_rows(TR.parse_tree_json(spark.createDataFrame([(doc,)], "tree_data STRING"))).count()
+    back = TR.tree_leaf_rows(TR.parse_tree_json(spark.createDataFrame([(json.dumps(doc),)], "tree_data STRING"))).count()
     assert back == len(want)
