@@ -1,6 +1,6 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once.
 
-1. Pre-tokens (matches of the vocabulary's pattern) are counted in all texts.
+1. Pre-tokens (matches of the pattern in :func:`boundaries`) are counted in all texts.
    The most frequent ones, at most ``HOT_WORDS``, are the heavy keys of the
    join: they are encoded in a small table of their own and sent to all tasks.
    Which words are in it decides how they travel, never what comes out.
@@ -15,24 +15,27 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logmold.llm.common import map_batches, prepare, texts
+from logmold.llm.common import STEP, frequent, map_batches, mix, prepare, run_hashes, stash, texts
 
 #: Bound of the table of frequent words that is sent to all tasks.
-HOT_WORDS = 300_000
+HOT_WORDS = 800_000
 #: A task's counts are passed on when it holds this many distinct words; words
 #: it saw less often than this don't compete for the table of frequent ones.
-FLUSH_WORDS, LEAST_SEEN = 500_000, 3
+FLUSH_WORDS, LEAST_SEEN = 500_000, 2
+#: Characters that are split at a time.
+GROUP = 1 << 19
 #: Words up to this many bytes are merged by scanning, longer ones by a heap.
 SHORT = 48
 
@@ -86,33 +89,132 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, np.uint32).tobytes()
 
 
+def _classes() -> np.ndarray:
+    """Class of each code point: letter, number, white space, or other."""
+    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "?" for i in range(0x110000))
+    out = np.zeros(len(every), np.uint8)
+    for kind, expr in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(expr, every):
+            out[m.start():m.end()] = kind
+    return out
+
+
+LETTER, NUMBER, SPACE, EDGE = 1, 2, 3, 4
+CLASS = _classes()
+VALUE = mix(np.arange(1, len(CLASS) + 1, dtype=np.uint64) * STEP)
+
+
+def boundaries(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start in texts laid end to end (code points), with one
+    filler at ``edges`` behind each text: as matches of the pattern
+
+        's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+
+    do. A run of one class is a pre-token. Of white space before something
+    else the last character stands alone, and if it is a space it joins what
+    follows. An apostrophe that starts a match takes the ending behind it.
+    """
+    kind = CLASS[codes]
+    kind[edges] = EDGE
+    start = np.r_[True, kind[1:] != kind[:-1]]
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & (kind[1:] != EDGE))
+    start[last] = True
+    start[last + 1] = codes[last] != 32
+    at = np.flatnonzero((codes == 39) & start)
+    at = at[at + 1 < len(codes)]
+    at = at[(kind[at] != EDGE) & (kind[at + 1] == LETTER)]
+    one, two = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+    size = np.where(np.isin(one, [*map(ord, "stmd")]), 1, np.where(
+        ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")), 2, 0))
+    at, size = at[size > 0], size[size > 0]
+    start[at + 1] = False
+    start[at + 1 + size] = True
+    start[edges] = True
+    return start
+
+
+def pieces(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(row, text) in groups of about ``GROUP`` characters. A longer text is cut
+    before a space between two other characters: a match never reaches over it."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        begin = 0
+        while text and begin < len(text):
+            end = begin + GROUP
+            while 0 <= (end := text.find(" ", end)) and not (end + 1 < len(text) and not text[end - 1].isspace() and not text[end + 1].isspace()):
+                end += 1
+            end = len(text) if end < 0 else end
+            held.append((row, text[begin:end]))
+            size += end - begin
+            begin = end
+            if size >= GROUP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def pretokens(texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Characters, and row, start, end and 64-bit hash of each pre-token, group
+    by group."""
+    for group in pieces(texts):
+        joined = "".join(t + "\n" for _, t in group)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.cumsum([len(t) + 1 for _, t in group]) - 1
+        start = np.flatnonzero(boundaries(codes, edges))
+        end = np.r_[start[1:], len(codes)]
+        of = np.searchsorted(edges, start)
+        real = start != edges[of]
+        start, end, of = start[real], end[real], of[real]
+        yield joined, np.array([r for r, _ in group])[of], start, end, run_hashes(VALUE[codes], start, end)
+
+
 class _Counting:
     """Words and how often a task saw them."""
 
-    def __init__(self, find: Callable[[str], list[str]]):
-        self.find, self.seen = find, Counter()
+    def __init__(self):
+        self.seen: dict[int, list] = {}
 
     def __call__(self, batch: pa.RecordBatch) -> dict | None:
-        for text in batch["text"].to_pylist():
-            if text:
-                self.seen.update(self.find(text))
+        for text, _, start, end, h in pretokens(batch["text"].to_pylist()):
+            h, first, times = np.unique(h, return_index=True, return_counts=True)
+            for x, a, b, n in zip(h.tolist(), start[first].tolist(), end[first].tolist(), times.tolist()):
+                if (held := self.seen.get(x)) is None:
+                    self.seen[x] = [text[a:b], n]
+                else:
+                    held[1] += n
         return self.finish() if len(self.seen) > FLUSH_WORDS else None
 
     def finish(self) -> dict | None:
-        often = [(w, n) for w, n in self.seen.items() if n >= LEAST_SEEN]
-        self.seen.clear()
+        often = [x for x in self.seen.values() if x[1] >= LEAST_SEEN]
+        self.seen = {}
         return {"word": [w for w, _ in often], "n": [n for _, n in often]} if often else None
 
 
 class Hot:
-    """The frequent words: number by word, ids by number."""
+    """The frequent words, most frequent first: number by hash, ids by number."""
 
     def __init__(self, word: list[str], ids: list[bytes]):
-        self.number = dict(zip(word, range(len(word))))
+        found = np.zeros(len(word), np.uint64)
+        for i in range(0, len(word), 1 << 14):
+            codes = np.frombuffer("".join(word[i:i + (1 << 14)]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            end = np.cumsum([len(w) for w in word[i:i + (1 << 14)]])
+            found[i:i + (1 << 14)] = run_hashes(VALUE[codes], np.r_[0, end[:-1]], end)
+        self.index = pd.Index(found)
         self.flat = np.frombuffer(b"".join(ids), np.uint32)
         self.size = np.array([len(x) // 4 for x in ids], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Row and number of each pre-token, -1 for those not in the table, and these words in order."""
+        rows, numbers, others = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
+        for text, row, start, end, h in pretokens(texts):
+            n = self.index.get_indexer(h).astype(np.int32)
+            others += [text[a:b] for a, b in zip(start[n < 0].tolist(), end[n < 0].tolist())]
+            rows.append(row)
+            numbers.append(n)
+        return np.concatenate(rows), np.concatenate(numbers), others
+
 
 _LOADED: list = [None, None]
 
@@ -125,25 +227,28 @@ def _loaded(shared) -> Hot:
     return _LOADED[1]
 
 
-def assemble(codes: np.ndarray, places: dict[int, np.ndarray], hot: Hot) -> np.ndarray:
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``[start, start + size)``, one after another."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
+
+
+def assemble(codes: np.ndarray, places: np.ndarray, found: list[bytes], hot: Hot) -> np.ndarray:
     """Ids of a text from its word numbers (below 0: not in the table) and the
-    ids of the other words by position."""
+    ids of the other words at their places."""
     known = codes >= 0
-    size = np.zeros(len(codes), np.int64)
+    size = np.empty(len(codes), np.int64)
     size[known] = hot.size[codes[known]]
-    for at, ids in places.items():
-        size[at] = len(ids)
+    if len(places):
+        size[places] = [len(x) // 4 for x in found]
     start = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint32)
-    n = size[known]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(start[known], n) + step] = hot.flat[np.repeat(hot.start[codes[known]], n) + step]
-    for at, ids in places.items():
-        out[start[at]:start[at] + len(ids)] = ids
+    out[spread(start[known], size[known])] = hot.flat[spread(hot.start[codes[known]], size[known])]
+    if len(places):
+        out[spread(start[places], size[places])] = np.frombuffer(b"".join(found), np.uint32)
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``k1, k2, doc_id, ids array<int>`` for each row of ``docs (doc_id, text)``.
 
     Special tokens aren't recognised. Null and empty texts have no ids;
@@ -173,38 +278,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         return make
 
-    counts = map_batches(rows.select("text"), lambda: _Counting(regex.compile(pattern).findall), "word string, n long")
-    often = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    table = map_batches(often, encode_rows("word"), "word string, ids binary").toArrow()
+    counted = stash(map_batches(rows.select("text"), _Counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    table = map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary").toArrow().sort_by([("n", "descending")])
     hot = spark.sparkContext.broadcast((table["word"].to_pylist(), table["ids"].to_pylist()))
 
-    def numbers(find, get, text: str | None) -> tuple[list[str], np.ndarray]:
-        found = find(text) if text else []
-        return found, np.fromiter((get(w, -1) for w in found), np.int32, len(found))
-
     def cold():
-        find, get = regex.compile(pattern).findall, _loaded(hot).number.get
+        table = _loaded(hot)
 
         def work(batch: pa.RecordBatch) -> dict:
-            row, place, word = [], [], []
-            for r, text in enumerate(batch["text"].to_pylist()):
-                found, codes = numbers(find, get, text)
-                at = np.flatnonzero(codes < 0).tolist()
-                row += [r] * len(at)
-                place += at
-                word += [found[i] for i in at]
-            few = batch.select(["k1", "k2"]).take(pa.array(row, pa.int64()))
-            return {"k1": few["k1"], "k2": few["k2"], "place": place, "word": word}
+            row, numbers, others = table.numbers(batch["text"].to_pylist())
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            at = numbers < 0
+            few = batch.select(["k1", "k2"]).take(pa.array(row[at]))
+            return {"k1": few["k1"], "k2": few["k2"], "place": pa.array(place[at].astype(np.int32)), "word": others}
 
         return work
 
     def numbered():
-        find, get, pack = regex.compile(pattern).findall, _loaded(hot).number.get, zstandard.ZstdCompressor(level=3).compress
+        table, pack = _loaded(hot), zstandard.ZstdCompressor(level=3).compress
 
         def work(batch: pa.RecordBatch) -> dict:
+            row, numbers, _ = table.numbers(batch["text"].to_pylist())
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             # low bytes, then high ones: those of frequent words are zero
-            codes = [pack(np.ascontiguousarray(numbers(find, get, t)[1].view(np.uint8).reshape(-1, 4).T).tobytes())
-                     for t in batch["text"].to_pylist()]
+            codes = [pack(np.ascontiguousarray(numbers[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()) for a, b in zip(ends, ends[1:])]
             return {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "codes": codes}
 
         return work
@@ -214,9 +311,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             ids = []
-            for codes, places, found in zip(batch["codes"].to_pylist(), batch["places"].to_pylist(), batch["found"].to_pylist()):
-                n = np.ascontiguousarray(np.frombuffer(unpack(codes), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-                ids.append(assemble(n, {p: np.frombuffer(x, np.uint32) for p, x in zip(places or (), found or ())}, table))
+            for packed, found in zip(batch["codes"].to_pylist(), batch["found"].to_pylist()):
+                n = np.ascontiguousarray(np.frombuffer(unpack(packed), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+                at = {x["place"]: x["ids"] for x in found or ()}  # a row written twice gives each place twice
+                ids.append(assemble(n, np.fromiter(at, np.int64, len(at)), list(at.values()), table))
             flat = np.concatenate(ids).astype(np.int32)
             ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             return {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"],
@@ -228,7 +326,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         map_batches(rows.select("k1", "k2", "text"), cold, "k1 long, k2 long, place int, word string")
         .repartition("word").sortWithinPartitions("word"),
         encode_rows("k1 k2 place"), "k1 long, k2 long, place int, ids binary",
-    ).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"), F.collect_list("ids").alias("found"))
+    ).repartition("k1", "k2").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
     joined = map_batches(rows, numbered, "k1 long, k2 long, doc_id long, codes binary").join(others, ["k1", "k2"], "left")
     return map_batches(joined, whole, "k1 long, k2 long, doc_id long, ids array<int>")
 
@@ -239,22 +337,33 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     ids give no bytes; an id that the vocabulary lacks is an error."""
     spark = encoded.sparkSession
     prepare(spark)
-    token = {i: t for t, i in read_ranks(ranks_path).items()}
-    shared = spark.sparkContext.broadcast(token)
+    ranks = read_ranks(ranks_path)
+    size = np.full(max(ranks.values()) + 1, -1, np.int64)
+    for token, i in ranks.items():
+        size[i] = len(token)
+    data = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+    shared = spark.sparkContext.broadcast((size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), data))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        size, start, data = shared.value
         for batch in batches:
-            out = [None if x is None else b"".join(map(get, x)) for x in batch["ids"].to_pylist()]
+            ids = batch["ids"].flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+                raise ValueError("an id that the vocabulary lacks")
+            each = np.r_[0, np.cumsum(size[ids])]
+            upto = np.r_[0, np.cumsum([0 if n is None else n for n in pc.list_value_length(batch["ids"]).to_pylist()])].astype(np.int64)
+            text = data[spread(start[ids], size[ids])].tobytes()
+            ends = each[upto].tolist()
+            out = [text[a:b] if x else None for a, b, x in zip(ends, ends[1:], batch["ids"].is_valid().to_pylist())]
             yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
     return encoded.mapInArrow(run, schema)
 
 
-def digests(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
+    both = decode(encode(docs, ranks_path), ranks_path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

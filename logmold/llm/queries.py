@@ -64,7 +64,7 @@ def op8_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(spark, _table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(_table(spark, sf_dir, "documents"), RANKS)
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
