@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmold.session import ensure_checkpoint_dir, scratch_path, ship_package
+from logmold.session import ensure_checkpoint_dir, ship_package, stash  # noqa: F401 (stash: for the operators)
 
 #: Rows in one Arrow batch that goes to a Python worker: bounds its memory
 #: also where every text is long.
@@ -32,20 +32,17 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back:
-    cuts the lineage, survives lost executors, keeps column pruning."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """``k1``, ``k2``: 128 bits that identify a row by id and text; never null."""
+    doc_id, text = doc_id.cast("long"), text.cast("string")
     return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(7)).alias("k2")]
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``k1, k2`` and ``row``, a struct of all columns whatever their names."""
+    return docs.select(*row_key(F.col("doc_id"), F.col("text")), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``k1, k2, doc_id, text`` and ``more``; other columns of any name stay out."""
     return docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"),

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import components, lower_hashes, map_batches, mix, prepare, shingles, stash, texts
+from logmold.llm.common import components, lower_hashes, map_batches, mix, prepare, shingles, stash, texts, whole_rows
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 12, 7, 1
@@ -295,6 +295,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     all their columns. Repeated rows are one; texts without words all stay,
     each (id, text) once."""
     stay = near_duplicates(docs).where("keeper").select("k1", "k2").distinct()
-    k1, k2 = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(7))
-    whole = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return whole.join(stay, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
+    return whole_rows(docs).join(stay, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")

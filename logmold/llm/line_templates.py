@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmold.llm.common import row_key, stash
+from logmold.llm.common import row_key, stash, whole_rows
 from logmold.session import ensure_checkpoint_dir
 
 DEPTH = 3
@@ -106,29 +106,31 @@ def templates(docs: DataFrame) -> DataFrame:
         "k1", "k2", "o", "pos", "t1", "t2", "n_docs", (F.col("o") == F.col("o1")).alias("first"))
 
 
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``row, cleaned, gone`` of each row, and the columns of ``docs`` from it."""
+    gone = templates(docs).where("not first").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    rows = whole_rows(docs).join(gone, ["k1", "k2"], "left").select("row", text.alias("cleaned"), "gone")
+    return rows, [F.col("cleaned").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def drop_templates(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns and rows; ``text`` without the lines of
     recurring templates; ``dropped_lines`` (array of line numbers from 0) is
-    added, empty where nothing was dropped.
+    added (a column of that name is replaced), empty where nothing was dropped.
 
     Null and empty texts, blank lines and lines of fewer than ``MIN_WORDS``
     words stay as they are. Recurrence counts distinct (id, text) rows: one
     written twice is one document. Rows that share the smallest id all count
     as first; null ids come last. An empty table gives no rows.
     """
-    gone = templates(docs).where("not first").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    rows = docs.select(k1, k2, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
-    return rows.join(gone, ["k1", "k2"], "left").select(
-        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.coalesce("gone", F.array().cast("array<int>")).alias("dropped_lines"))
+    rows, columns = _cleaned(docs.drop("dropped_lines"))
+    return rows.select(*columns, F.coalesce("gone", F.array().cast("array<int>")).alias("dropped_lines"))
 
 
 def without_templates(docs: DataFrame) -> DataFrame:
     """``docs`` with the same columns, texts cleaned. A document of which
     nothing but white space is left goes; those that had no word stay."""
-    cleaned = drop_templates(docs.select(docs["*"]))
-    named = [c for c in docs.columns]
-    return cleaned.where((F.size("dropped_lines") == 0) | F.col("text").rlike(WORD)).select(*named)
+    rows, columns = _cleaned(docs)
+    return rows.where(F.col("gone").isNull() | F.col("cleaned").rlike(WORD)).select(*columns)

@@ -178,11 +178,11 @@ def benchmark_words(text: str | None) -> list[str]:
 
 def leaks(docs: dict, items: dict) -> set:
     """(doc, item) whose local alignment is good enough: every pair aligned
-    that shares half of the item's words."""
+    that shares enough of the item's words."""
     out = set()
     for i, item in items.items():
         w = benchmark_words(item)
-        need = max(len(w), 2 * min(len(w), 8))
+        need = max(0.9 * len(w), 2 * min(len(w), 8))
         for d, text in docs.items():
             t = benchmark_words(text)
             if w and 2 * sum(x in set(t) for x in w) >= need and local_alignment(w, t) >= need:
