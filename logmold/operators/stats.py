@@ -52,7 +52,7 @@ def template_stats_of(batches: DataFrame, run_ts) -> DataFrame:
         F.min(F.when(filled, F.col("batch_id"))).alias("example_batch"),
     )
     first = batches.select(F.col("batch_id").alias("example_batch"),
-                           F.filter("lines", lambda x: x["text"] != F.lit(""))[0]["text"].alias("example_log"))
+                           F.get(F.filter("lines", lambda x: x["text"] != F.lit("")), F.lit(0))["text"].alias("example_log"))
     return sums.join(first, "example_batch", "left").select(
         "template_text", "usage_count", "cache_count", "slm_count", ts.alias("first_seen"), ts.alias("last_used"),
         F.coalesce(F.col("example_log"), F.lit("")).alias("example_log"),
