@@ -9,6 +9,10 @@
    ids go back to their documents by row key.
 3. Documents are reassembled by position. They travel as word numbers, not as
    text. Decoding looks each id up in the vocabulary's table of bytes.
+
+Frequent words are looked up by a 64-bit hash: a rare word with the hash of a
+frequent one would be taken for it (800,000 x distinct words / 2^64, that is
+4e-5 for a billion of them).
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from logmold.llm.common import STEP, frequent, map_batches, mix, prepare, run_ha
 
 #: Bound of the table of frequent words that is sent to all tasks.
 HOT_WORDS = 800_000
-#: A task's counts are passed on when it holds this many distinct words; words
-#: it saw less often than this don't compete for the table of frequent ones.
-FLUSH_WORDS, LEAST_SEEN = 500_000, 2
+#: A task passes its counts on after this many words; those that it saw less
+#: often than this in them don't compete for the table of frequent ones.
+FLUSH_WORDS, LEAST_SEEN = 2_000_000, 2
 #: Characters that are split at a time.
 GROUP = 1 << 19
 #: Words up to this many bytes are merged by scanning, longer ones by a heap.
@@ -170,40 +174,53 @@ def pretokens(texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.nda
 
 
 class _Counting:
-    """Words and how often a task saw them."""
+    """Words and how often a task saw them; those seen once in ``FLUSH_WORDS``
+    words aren't spelled out."""
 
     def __init__(self):
-        self.seen: dict[int, list] = {}
+        self.held: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def __call__(self, batch: pa.RecordBatch) -> dict | None:
-        for text, _, start, end, h in pretokens(batch["text"].to_pylist()):
-            h, first, times = np.unique(h, return_index=True, return_counts=True)
-            for x, a, b, n in zip(h.tolist(), start[first].tolist(), end[first].tolist(), times.tolist()):
-                if (held := self.seen.get(x)) is None:
-                    self.seen[x] = [text[a:b], n]
-                else:
-                    held[1] += n
-        return self.finish() if len(self.seen) > FLUSH_WORDS else None
+        self.held += [(text, start, end, h) for text, _, start, end, h in pretokens(batch["text"].to_pylist())]
+        return self.finish() if sum(len(x[3]) for x in self.held) > FLUSH_WORDS else None
 
     def finish(self) -> dict | None:
-        often = [x for x in self.seen.values() if x[1] >= LEAST_SEEN]
-        self.seen = {}
-        return {"word": [w for w, _ in often], "n": [n for _, n in often]} if often else None
+        held, self.held = self.held, []
+        h = np.concatenate([np.empty(0, np.uint64), *(x[3] for x in held)])
+        ordered = np.sort(h)
+        new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
+        n = np.diff(np.r_[new, len(ordered)])
+        often = ordered[new[n >= LEAST_SEEN]]
+        which = pd.Index(often).get_indexer(h)
+        place = np.empty(len(often) + 1, np.int64)
+        place[which[::-1]] = np.arange(len(h))[::-1]  # the first place of each is written last
+        at = np.sort(place[:-1])
+        times = dict(zip(place[:-1].tolist(), n[n >= LEAST_SEEN].tolist()))
+        word, begin = [], 0
+        for text, start, end, own in held:
+            mine = at[(at >= begin) & (at < begin + len(own))] - begin
+            word += [text[a:b] for a, b in zip(start[mine].tolist(), end[mine].tolist())]
+            begin += len(own)
+        return {"word": word, "n": [times[i] for i in at.tolist()]} if word else None
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """Hash of each word, as :func:`pretokens` gives it."""
+    out = [np.empty(0, np.uint64)]
+    for i in range(0, len(words), 1 << 14):
+        part = words[i:i + (1 << 14)]
+        end = np.cumsum([len(w) for w in part])
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out.append(run_hashes(VALUE[codes], np.r_[0, end[:-1]], end))
+    return np.concatenate(out)
 
 
 class Hot:
     """The frequent words, most frequent first: number by hash, ids by number."""
 
-    def __init__(self, word: list[str], ids: list[bytes]):
-        found = np.zeros(len(word), np.uint64)
-        for i in range(0, len(word), 1 << 14):
-            codes = np.frombuffer("".join(word[i:i + (1 << 14)]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            end = np.cumsum([len(w) for w in word[i:i + (1 << 14)]])
-            found[i:i + (1 << 14)] = run_hashes(VALUE[codes], np.r_[0, end[:-1]], end)
-        self.index = pd.Index(found)
-        self.flat = np.frombuffer(b"".join(ids), np.uint32)
-        self.size = np.array([len(x) // 4 for x in ids], np.int64)
-        self.start = np.cumsum(self.size) - self.size
+    def __init__(self, hashed: np.ndarray, size: np.ndarray, flat: np.ndarray):
+        self.index, self.size, self.flat = pd.Index(hashed), size, flat
+        self.start = np.cumsum(size) - size
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Row and number of each pre-token, -1 for those not in the table, and these words in order."""
@@ -221,9 +238,9 @@ _LOADED: list = [None, None]
 
 def _loaded(shared) -> Hot:
     """A worker's copy of the table, built once."""
-    word, ids = shared.value
-    if _LOADED[0] is not word:
-        _LOADED[:] = word, Hot(word, ids)
+    arrays = shared.value
+    if _LOADED[0] is not arrays:
+        _LOADED[:] = arrays, Hot(*arrays)
     return _LOADED[1]
 
 
@@ -232,20 +249,19 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
 
 
-def assemble(codes: np.ndarray, places: np.ndarray, found: list[bytes], hot: Hot) -> np.ndarray:
-    """Ids of a text from its word numbers (below 0: not in the table) and the
-    ids of the other words at their places."""
+def assemble(codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts laid end to end, and how many each word has, from the word
+    numbers (below 0: not in the table) and the ids of the other words: the
+    places of these, how many ids each has, and all of their ids."""
     known = codes >= 0
     size = np.empty(len(codes), np.int64)
     size[known] = hot.size[codes[known]]
-    if len(places):
-        size[places] = [len(x) // 4 for x in found]
+    size[places] = sizes
     start = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint32)
     out[spread(start[known], size[known])] = hot.flat[spread(hot.start[codes[known]], size[known])]
-    if len(places):
-        out[spread(start[places], size[places])] = np.frombuffer(b"".join(found), np.uint32)
-    return out
+    out[spread(start[places], size[places])] = ids
+    return out, size
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -280,7 +296,9 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     counted = stash(map_batches(rows.select("text"), _Counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     table = map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary").toArrow().sort_by([("n", "descending")])
-    hot = spark.sparkContext.broadcast((table["word"].to_pylist(), table["ids"].to_pylist()))
+    ids = table["ids"].to_pylist()
+    hot = spark.sparkContext.broadcast((hashes(table["word"].to_pylist()), np.array([len(x) // 4 for x in ids], np.int64),
+                                        np.frombuffer(b"".join(ids), np.uint32)))
 
     def cold():
         table = _loaded(hot)
@@ -310,15 +328,20 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         table, unpack = _loaded(hot), zstandard.ZstdDecompressor().decompress
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = []
-            for packed, found in zip(batch["codes"].to_pylist(), batch["found"].to_pylist()):
-                n = np.ascontiguousarray(np.frombuffer(unpack(packed), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-                at = {x["place"]: x["ids"] for x in found or ()}  # a row written twice gives each place twice
-                ids.append(assemble(n, np.fromiter(at, np.int64, len(at)), list(at.values()), table))
-            flat = np.concatenate(ids).astype(np.int32)
-            ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+            codes = [np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+                     for x in batch["codes"].to_pylist()]
+            first = np.cumsum([0, *map(len, codes)])
+            found = batch["found"].combine_chunks() if isinstance(batch["found"], pa.ChunkedArray) else batch["found"]
+            of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+            each = found.flatten()
+            # a row written twice gives each place twice
+            places, once = np.unique(first[of] + each.field("place").to_numpy(zero_copy_only=False), return_index=True)
+            other = each.field("ids").take(pa.array(once)).to_pylist()
+            ids, size = assemble(np.concatenate([np.empty(0, np.int32), *codes]), places, np.array([len(x) // 4 for x in other], np.int64),
+                                 np.frombuffer(b"".join(other), np.uint32), table)
+            ends = np.r_[0, np.cumsum(size)][first].astype(np.int32)
             return {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"],
-                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))}
 
         return work
 
