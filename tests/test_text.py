@@ -143,7 +143,7 @@ def test_patterns_equal_python(spark, texts):
 
 def test_every_listed_word(spark):
     """Golden rows: each word of each list, written out here on its own."""
-    levels = {"ERROR": "error exception fatal panic fail failed", "WARN": "warn warning deprecated retry",
+    levels = {"ERROR": "error exception fatal panic failed", "WARN": "warn warning deprecated retry",
               "INFO": "info started connected success"}
     events = {"AUTH": "login logout auth token password", "NETWORK": "timeout connection socket dns http",
               "DB": "sql database db query transaction", "SYSTEM": "cpu memory disk node service process"}
