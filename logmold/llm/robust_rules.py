@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import map_batches, ngrams, prepare, row_key, stash, texts, utf8, word_hashes
+from logmold.llm.common import map_batches, ngrams, prepare, stash, texts, utf8, whole_rows, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -185,13 +185,12 @@ def judge(docs: DataFrame) -> DataFrame:
     good = rows.where("not base_failed")
     leveled = good.select(*NAMES, F.explode(F.array(*[_group(i) for i in range(3)])).alias("key"))
     sizes = leveled.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_GROUP)
-    leveled = leveled.join(sizes.select("key"), "key")
     model = stash(_start(leveled), "mcd")
     for step in range(STEPS):
         model = _step(leveled, model, step == STEPS - 1)
     keys = good.select("lang", "source").distinct().select(
         "lang", "source", F.posexplode(F.array(*[_group(i) for i in range(3)])).alias("level", "key"))
-    own = keys.join(model, "key").groupBy("lang", "source").agg(F.min_by(F.struct("mean", "inverse"), "level").alias("own")) \
+    own = keys.join(model.join(sizes.select("key"), "key"), "key").groupBy("lang", "source").agg(F.min_by(F.struct("mean", "inverse"), "level").alias("own")) \
         .select(F.col("lang").alias("g1"), F.col("source").alias("g2"), "own.*")
     same = rows["lang"].eqNullSafe(own["g1"]) & rows["source"].eqNullSafe(own["g2"])
     return rows.join(own, same, "left").withColumn("distance2", F.when(~F.col("base_failed"), _squared())).withColumn(
@@ -201,6 +200,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_ordinary(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
     gone = judge(docs).where("not kept").select("k1", "k2").distinct()
-    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    whole = docs.select(k1, k2, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return whole.join(gone, ["k1", "k2"], "left_anti").select("row.*")
+    return whole_rows(docs).join(gone, ["k1", "k2"], "left_anti").select("row.*")
