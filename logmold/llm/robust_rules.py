@@ -24,8 +24,9 @@ from logmold.llm.common import map_batches, ngrams, prepare, stash, texts, utf8,
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Share of a group's rows in the core, and the 5-dimensional chi-square value there.
-CORE, CORE_CHI2 = 0.75, 6.626
+#: Share of a group's rows in the core, and the 5-dimensional chi-square value
+#: there. Half of the rows: alike junk has to be more than that to get into it.
+CORE, CORE_CHI2 = 0.5, 4.3515
 #: Squared distance beyond which a text is rejected (chi-square, 5 dimensions:
 #: below 1e-8): ordinary texts are to be kept, also where their tails are heavy.
 CUTOFF = 50.0
