@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-The test items' word trigrams are counted in all training texts. In every run
-of ``SPAN`` consecutive trigrams of an item the one found in the fewest texts is
-a seed, so any six words copied in a row hit a seed, and a leak that itself
-made an item's trigrams frequent can't hide (rarity ranks trigrams, it doesn't
-exclude any). Seeds join the texts' trigrams; around each hit the item is
-aligned with the passage, and a score of 45 hundredths of a perfect one is a
-leak (unrelated texts reach 33).
+Every word trigram of a test item is a seed, so any three words copied in a row
+hit one, however the copy is edited around them, and no choice between the
+trigrams can fall on one that the copy doesn't have. (A copy that is edited so
+densely that no three words are left in a row has no hit.) Seeds join the
+texts' trigrams; around each hit the item is aligned with the passage, and a
+score of 45 hundredths of a perfect one is a leak (unrelated texts reach 33).
 
 The join sends the items to the texts, in blocks of ``BLOCK_WORDS`` words: the
 texts never move, and a larger benchmark takes more rounds, not more memory.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logmold.llm.common import map_batches, ngrams, prepare, texts, utf8, whole_rows, word_hashes
 
-GRAM, SPAN = 3, 4
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An alignment's score has to reach this share of a perfect one, and that of
 #: ``LEAST`` matching words (of all words in shorter items).
@@ -76,22 +75,11 @@ class Items:
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
         self.words = [plain_words(t) for t in texts]
-        self.grams = [grams(w) for w in self.words]
-        self.every = np.unique(np.concatenate([np.empty(0, np.uint64), *self.grams]))
-
-    def pick(self, found_in: np.ndarray) -> None:
-        """Seeds, given in how many texts each of ``every`` is found."""
-        at, item, place = [], [], []
-        for i, g in enumerate(self.grams):
-            rarity = found_in[np.searchsorted(self.every, g)]
-            width = min(SPAN, len(g))
-            if width:
-                runs = np.lib.stride_tricks.sliding_window_view(rarity, width)
-                chosen = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
-                at.append(g[chosen])
-                place.append(chosen)
-                item.append(np.full(len(chosen), i))
-        self.seed, self.item, self.place = (np.concatenate([np.empty(0, t), *x]) for x, t in ((at, np.uint64), (item, np.int64), (place, np.int64)))
+        found = [grams(w) for w in self.words]
+        size = [len(g) for g in found]
+        self.seed = np.concatenate([np.empty(0, np.uint64), *found])
+        self.item = np.repeat(np.arange(len(size)), size)
+        self.place = np.concatenate([np.empty(0, np.int64), *map(np.arange, size)])
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
 
@@ -130,24 +118,6 @@ class Items:
         return out
 
 
-class _Counting:
-    """In how many of a task's texts each gram of the items is found."""
-
-    def __init__(self, every: np.ndarray):
-        self.every, self.total = every, np.zeros(len(every), np.int64)
-
-    def __call__(self, batch: pa.RecordBatch) -> None:
-        for text in batch["text"].to_pylist():
-            found = grams(plain_words(text))
-            at = np.searchsorted(self.every, found)
-            at = at[np.append(self.every, 0)[at] == found]
-            self.total[np.unique(at[at < len(self.every)])] += 1
-
-    def finish(self) -> dict | None:
-        at = np.flatnonzero(self.total)
-        return {"gram": at, "m": self.total[at]} if len(at) else None
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``k1, k2, doc_id, item_id, score, first_word, end_word`` of each row of
     ``docs (doc_id, text)`` and item of ``benchmark (item_id, text)`` that it
@@ -168,11 +138,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
         block = Items(part["item_id"].to_pylist(), part["text"].to_pylist())
-        every = spark.sparkContext.broadcast(block.every)
-        counts = map_batches(rows.select("text"), lambda every=every: _Counting(every.value), "gram int, m long").groupBy("gram").agg(F.sum("m").alias("m")).toArrow()
-        found_in = np.zeros(len(block.every), np.int64)
-        found_in[counts["gram"].to_numpy()] = counts["m"].to_numpy()
-        block.pick(found_in)
         shared = spark.sparkContext.broadcast(block)
 
         def matching(shared=shared):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import brute
 import pytest
 
+from logmold.llm.decontaminate import find_leaks
 from logmold.llm.robust_rules import judge
 
 rng = random.Random(11)
@@ -26,3 +28,21 @@ def test_alike_junk_of_a_source_is_rejected(spark, junk):
     got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert not any(r["base_failed"] for r in got)
     assert {r["doc_id"] for r in got if r["kept"]} == set(range(300 - junk))
+
+
+def test_edited_copies_without_six_words_in_a_row(spark):
+    """Each item in two copies with different edits, of which neither has all its trigrams."""
+    items, texts = {}, {}
+    for n in (18, 39, 58):
+        for every in (4, 5, 6):
+            items[n * 10 + every] = item = prose(n, n * 10 + every)[:-1]
+            for off in (1, 3):
+                w = [f"edit{k}" if k % every == off else x for k, x in enumerate(item.split())]
+                texts[(n * 10 + every) * 10 + off] = prose(30, n + every) + " " + " ".join(w) + " " + prose(30, n * every)
+    # a word put in after every three
+    items[1], texts[1] = prose(30, 1)[:-1], " ".join(x + f" more{k}" * (k % 3 == 2) for k, x in enumerate(prose(30, 1)[:-1].split()))
+    want = brute.leaks(texts, items)
+    assert {d for d, _ in want} == set(texts)
+    got = find_leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+                     spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
