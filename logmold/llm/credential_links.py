@@ -97,9 +97,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     # texts with a weak part and at least one more
     each = rows.where(F.exists("parts", lambda x: x["kind"] >= BASE) & (F.size("parts") > 1)).select(
         "k1", "k2", F.explode("parts").alias("part")).distinct().select("k1", "k2", "part", role.alias("role"))
-    cell = F.floor(F.col("part.start") / SCOPE)
-    weak = each.where(F.col("part.kind") >= BASE).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = each.where(F.col("role") != "e").select("k1", "k2", cell.alias("cell"), F.col("part").alias("near"), F.col("role").alias("near_role"))
+    # all cells from a part's start to its end, on one side one more at either end
+    cells = lambda more: F.explode(F.sequence(F.floor(F.col("part.start") / SCOPE) - more, F.floor(F.col("part.end") / SCOPE) + more))
+    weak = each.where(F.col("part.kind") >= BASE).withColumn("cell", cells(1))
+    other = each.where(F.col("role") != "e").select("k1", "k2", cells(0).alias("cell"), F.col("part").alias("near"), F.col("role").alias("near_role"))
     gap = F.greatest(F.col("near.start") - F.col("part.end"), F.col("part.start") - F.col("near.end"))
     met = weak.join(other, ["k1", "k2", "cell"]).where((gap <= SCOPE) & (F.col("role") != F.col("near_role"))).groupBy("k1", "k2", "part", "role").agg(
         F.max((F.col("near_role") == "i").cast("int")).alias("i"), F.max((F.col("near_role") == "s").cast("int")).alias("s"))

@@ -7,6 +7,7 @@ import random
 import brute
 import pytest
 
+from logmold.llm.credential_links import KINDS, ROLE, SCOPE, find_secrets, parts
 from logmold.llm.decontaminate import find_leaks
 from logmold.llm.robust_rules import judge
 
@@ -46,3 +47,31 @@ def test_edited_copies_without_six_words_in_a_row(spark):
     got = find_leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
                      spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_parts_longer_than_the_scope_are_linked(spark):
+    """The gap counts, wherever the parts lie and however long they are."""
+    def token(n):
+        return ("Ab3dEf6hIj9kLm2nOp5q" * (n // 20 + 1))[:n]
+
+    texts = []
+    for long in (40, 299, 301, 700, 2000):
+        for gap in (20, 290, 298, 299, 300, 301, 302, 320):
+            for lead in ("", " " * 299, " " * 450):
+                texts.append(f"{lead}{token(long)}{' ' * gap}user = alice")
+                texts.append(f"{lead}login: alice{' ' * gap}{token(long)}")
+                texts.append(f"{lead}password={token(long)}{' ' * gap}user = alice")
+                texts.append(f"{lead}user = {token(long)}{' ' * gap}https://h.example/{'x' * long}{' ' * gap}{token(long)}")
+
+    def linked(text):
+        found, out = parts(text), []
+        for a, k, b in found:
+            near = {ROLE[KINDS[j]] for c, j, d in found if max(c - b, a - d) <= SCOPE} - {ROLE[KINDS[k]]}
+            if k >= 3 and {"i": "s" in near, "s": "i" in near, "e": near >= {"i", "s"}}[ROLE[KINDS[k]]]:
+                out.append((a, k, b))
+        return out
+
+    got = {r["doc_id"]: [tuple(x) for x in r["linked"]] for r in find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: linked(t) for i, t in enumerate(texts)}
+    assert any(want.values()) and not all(want.values())
+    assert got == want
