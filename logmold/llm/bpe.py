@@ -10,9 +10,8 @@
 3. Documents are reassembled by position. They travel as word numbers, not as
    text. Decoding looks each id up in the vocabulary's table of bytes.
 
-Frequent words are looked up by a 64-bit hash: a rare word with the hash of a
-frequent one would be taken for it (800,000 x distinct words / 2^64, that is
-4e-5 for a billion of them).
+Frequent words are looked up by a 64-bit hash, and then compared character by
+character: a rare word with the hash of a frequent one goes the rare words' way.
 """
 
 from __future__ import annotations
@@ -215,18 +214,51 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-class Hot:
-    """The frequent words, most frequent first: number by hash, ids by number."""
+def _spelled():
+    def work(batch: pa.RecordBatch) -> dict:
+        words = batch["word"].to_pylist()
+        return {"n": batch["n"], "ids": batch["ids"], "hash": hashes(words).view(np.int64),
+                "codes": [w.encode("utf-32-le", "surrogatepass") for w in words]}
+
+    return work
+
 
-    def __init__(self, hashed: np.ndarray, size: np.ndarray, flat: np.ndarray):
-        self.index, self.size, self.flat = pd.Index(hashed), size, flat
-        self.start = np.cumsum(size) - size
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the values of a column of packed 32-bit numbers, and these end to end."""
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64) // 4
+    held = [np.frombuffer(c.buffers()[2] or b"", np.uint8)[(o := np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset))[0]:o[-1]]
+            for c in column.chunks if len(c)]
+    return sizes, np.concatenate([np.empty(0, np.uint8), *held]).view(np.uint32)
+
+
+class Hot:
+    """The frequent words, most frequent first: number by hash, ids and
+    characters by number. Of words with equal hashes only the first is in it."""
+
+    def __init__(self, hashed: np.ndarray, size: np.ndarray, flat: np.ndarray, length: np.ndarray, codes: np.ndarray):
+        self.size, self.flat, self.length, self.codes = size, flat, length.astype(np.int64), codes
+        self.start, self.begin = np.cumsum(size) - size, np.cumsum(self.length) - self.length
+        once = np.sort(np.unique(hashed, return_index=True)[1])
+        self.index, self.once = pd.Index(hashed[once]), np.append(once, -1)
+
+    def find(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Number of each word ``codes[start:end]`` with hash ``h``, -1 where it isn't in the table."""
+        n = self.once[self.index.get_indexer(h)]
+        at = np.flatnonzero(n >= 0)
+        at = at[self.length[n[at]] == (end - start)[at]]
+        size = self.length[n[at]]
+        differs = codes[spread(start[at], size)] != self.codes[spread(self.begin[n[at]], size)]
+        out = np.full(len(n), -1, np.int32)
+        if len(at):
+            at = at[~np.logical_or.reduceat(differs, np.cumsum(size) - size)]
+        out[at] = n[at]
+        return out
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Row and number of each pre-token, -1 for those not in the table, and these words in order."""
         rows, numbers, others = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
         for text, row, start, end, h in pretokens(texts):
-            n = self.index.get_indexer(h).astype(np.int32)
+            n = self.find(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), start, end, h)
             others += [text[a:b] for a, b in zip(start[n < 0].tolist(), end[n < 0].tolist())]
             rows.append(row)
             numbers.append(n)
@@ -295,10 +327,13 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         return make
 
     counted = stash(map_batches(rows.select("text"), _Counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    table = map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary").toArrow().sort_by([("n", "descending")])
-    ids = table["ids"].to_pylist()
-    hot = spark.sparkContext.broadcast((hashes(table["word"].to_pylist()), np.array([len(x) // 4 for x in ids], np.int64),
-                                        np.frombuffer(b"".join(ids), np.uint32)))
+    # The driver holds the table in arrays only: tasks have hashed and spelled out its words.
+    table = map_batches(map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary"), _spelled,
+                        "n long, hash long, ids binary, codes binary").toArrow().sort_by([("n", "descending")])
+    size, flat = _flat(table["ids"])
+    length, codes = _flat(table["codes"])
+    hot = spark.sparkContext.broadcast((table["hash"].to_numpy().view(np.uint64), size, flat, length, codes))
+    del table
 
     def cold():
         table = _loaded(hot)

@@ -106,17 +106,43 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(hashes, min(n, len(hashes))))
 
 
-def frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of the highest counts, at most ``most``: all rows whose count
-    reaches the least value that so few reach. No sort, and no single task."""
-    top = 1 << 16
-    held = counted.groupBy(F.least(F.col(count), F.lit(top)).alias("c")).agg(F.count("*").alias("m")).collect()
-    cut, total = None, 0
-    for c, m in sorted(((r["c"], r["m"]) for r in held), reverse=True):
-        if (total := total + m) > most:
+def _size_class(count: str) -> Column:
+    """Counts in rising classes: exact below 4096, then 64 classes for each doubling."""
+    c = F.col(count)
+    return F.when(c < 4096, c).otherwise(4096 + F.floor(F.log2(c / 4096) * 64)).cast("long")
+
+
+def frequent(counted: DataFrame, count: str, most: int, key: str = "word") -> DataFrame:
+    """The rows of the highest counts, at most ``most``, and all rows if there
+    are no more. No sort, no single task, and no count is clipped.
+
+    Whole classes of counts are taken from the top down. Of the first class
+    that doesn't fit, as many rows as there is room for are taken by the
+    hash of ``key``, in ranges of 16 bits, refined until the room is used.
+    """
+    df = counted.withColumns({"_class": _size_class(count), "_hash": F.shiftrightunsigned(F.xxhash64(key), 1)})
+    held = df.groupBy("_class").agg(F.count("*").alias("m")).collect()  # at most 4096 + 64 * 51 rows
+    room, cut = most, None
+    for c, m in sorted(((r["_class"], r["m"]) for r in held), reverse=True):
+        if m > room:
+            cut = c
+            break
+        room -= m
+    if cut is None:
+        return counted
+    inside, low, bound = df.where(F.col("_class") == cut), 0, 0
+    for shift in (47, 31, 15):
+        part = inside.where(f"shiftrightunsigned(_hash, {shift + 16}) = {low >> 16}L") if shift < 47 else inside
+        held = part.groupBy(F.expr(f"shiftrightunsigned(_hash, {shift})").alias("r")).agg(F.count("*").alias("m")).collect()
+        for r, m in sorted((r["r"], r["m"]) for r in held):
+            low = r
+            if m > room:
+                break
+            room, bound = room - m, (r + 1) << shift
+        if bound:
             break
-        cut = c
-    return counted.where(F.lit(False) if cut is None else F.col(count) >= cut)
+        low <<= 16
+    return df.where((F.col("_class") > cut) | ((F.col("_class") == cut) & (F.col("_hash") < F.lit(bound)))).drop("_class", "_hash")
 
 
 class Powers:

@@ -71,8 +71,19 @@ def dropped_lines(docs: dict[int, str | None], depth=3, least=3, share=60, short
     return out
 
 
+GAP = frozenset(" \t\r\x0b\x0c")
+
+
 def sentence_list(text: str | None) -> list[str]:
-    return [x for x in re.split(r"(?<=\n)|(?<=[.!?][ \t\r\x0b\x0c])(?![ \t\r\x0b\x0c])", text or "") if x]
+    """A sentence ends behind a line's end, and behind the white space that follows ``.``, ``!`` or ``?``."""
+    out, begin, stop, t = [], 0, False, text or ""
+    for i, c in enumerate(t):
+        if c == "\n" or (stop and c in GAP and t[i + 1:i + 2] not in GAP):
+            out.append(t[begin:i + 1])
+            begin, stop = i + 1, False
+        elif c not in GAP:
+            stop = c in (".", "!", "?")
+    return out + [t[begin:]] * (begin < len(t))
 
 
 def removed_sentences(docs: dict[int, str | None], least=2, least_words=24, long=50) -> dict[int, list[int]]:
