@@ -8,6 +8,7 @@ get the same decision.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the rounds of a loop: Spark drops the shuffles, broadcasts and
+    checkpoints of earlier rounds when the driver collects its garbage, which it
+    may not do for long; its heap grows with what the rounds leave until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """``k1``, ``k2``: 128 bits that identify a row by id and text; never null."""
     doc_id, text = doc_id.cast("long"), text.cast("string")
@@ -145,6 +154,28 @@ def frequent(counted: DataFrame, count: str, most: int, key: str = "word") -> Da
     return df.where((F.col("_class") > cut) | ((F.col("_class") == cut) & (F.col("_hash") < F.lit(bound)))).drop("_class", "_hash")
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in by]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        begin = 0
+        for end in [*cuts.tolist(), batch.num_rows]:
+            key = tuple(c[begin] for c in cols)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(begin, end - begin))
+            begin = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
@@ -227,6 +258,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = stash(oriented(small.unionByName(low.select("u", F.col("m").alias("v")))), name)
         last, mark = mark, print_of(now)
+        settle(now.sparkSession)
         if last == mark:
             break
     else:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import components, lower_hashes, map_batches, mix, prepare, shingles, stash, texts, whole_rows
+from logmold.llm.common import components, groups_of, lower_hashes, map_batches, mix, prepare, shingles, stash, texts, whole_rows
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 12, 7, 1
@@ -146,35 +146,13 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return near | near.T
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in by]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        begin = 0
-        for end in [*cuts.tolist(), batch.num_rows]:
-            key = tuple(c[begin] for c in cols)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(begin, end - begin))
-            begin = end
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _edges(cids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
     return [(int(cids[a]), int(cids[b])) for a, b in _forest(near)]
 
 
 def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int]] = []
-    for group in _groups(batches, ["x1", "x2", "bi", "bj"]):
+    for group in groups_of(batches, ["x1", "x2", "bi", "bj"]):
         if group.num_rows > 1:
             sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
             out += _edges(group["cid"].to_numpy(), near_by_signature(sig))
@@ -186,7 +164,7 @@ def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, int]] = []
-    for group in _groups(batches, ["family", "bi", "bj"]):
+    for group in groups_of(batches, ["family", "bi", "bj"]):
         if group.num_rows > 1:
             sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
             out += _edges(group["cid"].to_numpy(), linked(sets))
@@ -246,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
               .where("m > 1").select("x1", "x2", "m", "cid").distinct())
     met = _blocks(shared.withColumn("nb", F.ceil(F.col("m") / BLOCK_MEMBERS)), "nb").join(classes.select("cid", "sig"), "cid")
     by = ["x1", "x2", "bi", "bj"]
-    near = met.select(*by, "cid", "sig").repartition(*by).sortWithinPartitions(*by).mapInArrow(_by_signature, "u long, v long")
+    near = met.select(*by, "cid", "sig").repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(_by_signature, "u long, v long")
     families = components(near, "families")
 
     # exact links inside each family, on the full sets of its classes' texts
@@ -273,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = map_batches(texts(docs), grams, "k1 long, k2 long, grams binary")
     by = ["family", "bi", "bj"]
     links = (_blocks(members.join(sets, ["k1", "k2"]), "nb").select(*by, "cid", "grams")
-             .repartition(*by).sortWithinPartitions(*by).mapInArrow(_by_sets, "u long, v long"))
+             .repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(_by_sets, "u long, v long"))
     roots = components(links, "links")
 
     # the group's row and id for each class, then for each row

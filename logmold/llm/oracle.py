@@ -86,8 +86,120 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 from documents d left join sizes using (doc_id) join groups using (doc_id)
 """
 
+OP11 = rf"""
+with found as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+sizes as (select r, doc_id, len(t)::bigint as n from found where len(t) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as words from sizes),
+counts as (select r, term, count(*)::bigint as tf from (select r, unnest(t) as term from found) group by r, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w
+            from (select term, count(*)::bigint as df from counts group by term), total),
+wanted as (
+  select item_id, term, count(*)::bigint as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select distinct item_id, text from benchmark)) group by item_id, term),
+scores as (
+  select item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))))::bigint as score
+  from wanted join weights using (term) join counts using (term) join sizes using (r), total group by item_id, doc_id, r)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20
+"""
+
+#: crc32 of the id's digits, byte by byte: SQL has no such function.
+OP12 = """
+with crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+           lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as step),
+ids as (select distinct conv_id::bigint as conv_id from conversations where conv_id is not null),
+heads as (
+  select conv_id, (xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+           lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1])), 4294967295) % 9)::bigint as h
+  from ids, crc),
+own as (
+  select conv_id, list(md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) order by turn nulls first) as ids,
+         list(strlen(coalesce(text, ''))::bigint order by turn nulls first) as sizes
+  from conversations where conv_id is not null group by conv_id),
+rebuilt as (
+  select o.conv_id, list_concat(case when h = 0 or s.ids is null then [] else s.ids[1:h] end, o.ids[h + 1:]) as ids,
+         list_concat(case when h = 0 or s.ids is null then [] else s.sizes[1:h] end, o.sizes[h + 1:]) as sizes
+  from own o join heads using (conv_id) left join own s on s.conv_id = o.conv_id - o.conv_id % 5),
+spread as (select conv_id, ids, sizes, len(ids) as size, unnest(range(len(ids) + 1)) as depth from rebuilt),
+named as (
+  select conv_id, size, depth, '/' || array_to_string(case when depth = 0 then [] else ids[1:depth] end, '/') as name,
+         case when depth = 0 then null when depth = 1 then '/' else '/' || array_to_string(ids[1:depth - 1], '/') end as up,
+         case when depth = 0 then 0 else sizes[depth] end as last
+  from spread),
+nodes as (
+  select name, depth, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(last) as last,
+         coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = size), '') as ends
+  from named group by name, depth),
+children as (select up as name, count(*) as n_children from nodes where up is not null group by up),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (name)),
+under as (
+  select a.name, sum((b.n_children = 0)::bigint) as n_leaves, sum((b.n_convs - 1) * b.last) as saved
+  from full_nodes a join full_nodes b on b.depth >= a.depth and (b.name = a.name or a.depth = 0 or starts_with(b.name, a.name || '/')) group by a.name)
+select f.conv_id, f.depth::bigint as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, u.n_leaves::bigint as n_leaves,
+       u.saved::bigint as saved_tokens, sha256(f.ends) as ends_sha256
+from full_nodes f join under u on u.name = f.name left join full_nodes p on p.name = f.up
+"""
+
+
+def _op13() -> str:
+    from logmold.llm import license_index as L
+
+    first = ", ".join(f"case when contains(joined, ' {p} ') then len(string_split(split_part(joined, ' {p} ', 1), ' ')) - 1 end" for p, _ in L.BASE)
+    last = ", ".join(f"case when contains(joined, ' {p} ') then n_words - {len(p.split())} - (len(string_split(list_last(string_split(joined2, ' {p.replace(' ', '  ')} ')), '  ')) - 1) end"
+                     for p, _ in L.BASE)
+    count = " + ".join(f"(len(string_split(joined2, ' {p.replace(' ', '  ')} ')) - 1)" for p, _ in L.BASE)
+    base = ", ".join(f"case when contains(joined, ' {p} ') then '{label}' end" for p, label in L.BASE)
+    having = ", ".join(f"case when contains(joined, ' {k} ') then {i} end" for i, (_, _, k) in enumerate(L.TEMPLATES))
+    table = ", ".join(f"({t}, '{w}', {k})" for t, w, k in L.postings())
+    names = ", ".join(f"({i}, '{label}', {sum(t == i for t, _, _ in L.postings())})" for i, (label, _, _) in enumerate(L.TEMPLATES))
+    return rf"""
+with postings(template, word, k) as (values {table}),
+names(template, label, size) as (values {names}),
+files as (
+  select doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') || ' ' as joined
+  from documents),
+sized as (select *, case when joined = '  ' then 0 else len(string_split(joined, ' ')) - 2 end as n_words,
+                 replace(joined, ' ', '  ') as joined2, string_split(trim(joined, ' '), ' ') as words from files),
+facts as (
+  select doc_id, n_words::bigint as n_words, ({count})::bigint as n_base, least({first})::bigint as first_word,
+         greatest({last})::bigint as last_word, list_filter([{base}], lambda x: x is not null) as base,
+         list_filter([{having}], lambda x: x is not null) as having_phrase
+  from sized),
+idx as (
+  select doc_id, word, pos from (select doc_id, unnest(words) as word, unnest(range(len(words))) as pos from sized)
+  where word in (select word from postings)),
+df as (select word, count(distinct doc_id) as df from idx group by word),
+seeds as (
+  select doc_id, template, word from (select distinct doc_id, template, word from idx join postings using (word)) join df using (word)
+  qualify row_number() over (partition by doc_id, template order by df, word) <= {L.SEEDS}),
+banded as (
+  select doc_id, template, word, k, unnest([2 * floor((pos - k) / {L.BAND}.0), 2 * floor((pos - k + {L.BAND // 2}) / {L.BAND}.0) + 1]) as band
+  from idx join postings using (word)),
+near as (select doc_id, template, band from banded join seeds using (doc_id, template, word)
+         group by doc_id, template, band having count(distinct k) >= {L.AGREE}),
+shares as (
+  select doc_id, template, label, max(share) as share from (
+    select doc_id, template, band, count(distinct k) / any_value(size) as share, any_value(label) as label
+    from banded join near using (doc_id, template, band) join names using (template) group by doc_id, template, band)
+  where share >= {L.SHARE} group by doc_id, template, label),
+stand as (
+  select doc_id, list(label) as labels, max(share) as best from shares join facts using (doc_id) where list_contains(having_phrase, template) group by doc_id)
+select doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(list_distinct(base)), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') as labels,
+       greatest(coalesce(best, 0.0), case when n_base > 0 then {L.BASE_SCORE} else 0.0 end)::double as score
+from facts left join stand using (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_templates": OP2,
     "op3_url_rules": OP3,
     "op4_minhash_hamming": OP4,
+    "op11_ball_tree": OP11,
+    "op12_conversation_trie": OP12,
+    "op13_license_index": _op13(),
 }

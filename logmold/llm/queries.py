@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmold.llm import bpe
+from logmold.llm import ball_tree, bpe
+from logmold.llm.conversation_trie import prefix_trie
 from logmold.llm.credential_links import find_secrets
 from logmold.llm.decontaminate import find_leaks
 from logmold.llm.hamming_dedup import near_duplicates
 from logmold.llm.lattice_lm import score_documents
+from logmold.llm.license_index import scan
 from logmold.llm.line_templates import drop_templates
 from logmold.llm.resampling import resample
 from logmold.llm.robust_rules import judge
@@ -71,6 +73,18 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(_table(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations")).withColumn("depth", F.col("depth").cast("long"))
+
+
+def op13_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_importance": op1_importance,
     "op2_line_templates": op2_line_templates,
@@ -82,4 +96,7 @@ QUERIES = {
     "op8_robust_rules": op8_robust_rules,
     "op9_bpe": op9_bpe,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_ball_tree": op11_ball_tree,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_license_index": op13_license_index,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmold.llm.common import map_batches, ngrams, prepare, stash, texts, utf8, whole_rows, word_hashes
+from logmold.llm.common import map_batches, ngrams, prepare, settle, stash, texts, utf8, whole_rows, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -189,6 +189,7 @@ def judge(docs: DataFrame) -> DataFrame:
     model = stash(_start(leveled), "mcd")
     for step in range(STEPS):
         model = _step(leveled, model, step == STEPS - 1)
+        settle(docs.sparkSession)
     keys = good.select("lang", "source").distinct().select(
         "lang", "source", F.posexplode(F.array(*[_group(i) for i in range(3)])).alias("level", "key"))
     own = keys.join(model.join(sizes.select("key"), "key"), "key").groupBy("lang", "source").agg(F.min_by(F.struct("mean", "inverse"), "level").alias("own")) \
