@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
         from logmold.sources.lines import read_log_files
 
         run_ts = args.run_ts or _now()
-        store = ST.TableStore(spark, args.state) if args.state else None
+        store = ST.EpochTables(spark, args.state) if args.state else None
         cache = ST.load_cache(store) if store else None
         run = parse_logs(read_log_files(spark, args.input), cache=cache,
                          batch_size=args.batch_size, min_tokens=args.min_tokens)
@@ -113,20 +113,20 @@ def main(argv: list[str] | None = None) -> int:
         if store:
             ST.append_cache(store, ST.cache_delta(new_cache_entries(run, run_ts), cache_hits(run)))
             ST.append_stats(store, S.template_stats_of(run.batches, run_ts))
-            ST.append_examples(store, ST.example_rows(logs, run_ts, store.next_version("example_logs")))
+            ST.append_examples(store, ST.example_rows(logs, run_ts, store.next_epoch("example_logs")))
         print({k: metrics[k] for k in ("total_logs", "batch_count", "cache_logs", "slm_logs", "processing_time_ms")})
         return 0
 
     if args.cmd == "stats":
-        store = ST.TableStore(spark, args.state)
+        store = ST.EpochTables(spark, args.state)
         for row in S.top_templates(ST.load_stats(store), args.top).toLocalIterator():
             print(f"{row['usage_count']:>10}  {row['template_text']}")
         return 0
 
     if args.cmd == "retain":
-        store = ST.TableStore(spark, args.state)
+        store = ST.EpochTables(spark, args.state)
         run_ts = args.run_ts or _now()
-        version = store.next_version("template_cache")
+        version = store.next_epoch("template_cache")
         cache = ST.load_cache(store, before=version)
         removed = ST.expired_count(cache, run_ts, args.days)
         ST.save_cache(store, ST.retain_cache(cache, run_ts, args.days), version)
@@ -134,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     if args.cmd == "cache":
-        store = ST.TableStore(spark, args.state)
+        store = ST.EpochTables(spark, args.state)
         for row in ST.hottest_cache(ST.load_cache(store)).limit(args.top).toLocalIterator():
             print(f"{row['hit_count'] if row['hit_count'] is not None else '-':>8}  {row['cache_key'][:16]}  "
                   f"{row['template_text']}")
@@ -144,15 +144,15 @@ def main(argv: list[str] | None = None) -> int:
         logs = spark.read.parquet(f"{args.trace}/trace_logs")
         latest = TR.latest_batch_id(logs)
         lines = TR.tree_lines(logs, latest)
-        stats = ST.load_stats(ST.TableStore(spark, args.state)) if args.state else None
+        stats = ST.load_stats(ST.EpochTables(spark, args.state)) if args.state else None
         leaves = TR.tree_leaves(lines, stats, latest, not args.no_current_batch, args.instance_limit)
         docs = TR.leaf_documents(leaves, TR.tree_instances(lines, args.instance_limit), TR.tree_examples(lines),
                                  TR.tree_debug(lines) if args.debug else None)
         TR.leaf_json(docs).write.mode("overwrite").parquet(args.out)
         if args.state:
-            store = ST.TableStore(spark, args.state)
+            store = ST.EpochTables(spark, args.state)
             rows = spark.read.parquet(args.out)
-            sid = store.next_version("tree_history")
+            sid = store.next_epoch("tree_history")
             ST.append_snapshot(store, ST.snapshot_rows(rows, sid, _now(), latest, logs.count()))
         return 0
     return 1

@@ -292,11 +292,11 @@ def _tree_rows(r, run_ts):
 
 
 def q_tree_snapshot_latest(spark, sf_dir):
-    """S8 + S9: both runs append their tree snapshot to a versioned table in
+    """S8 + S9: both runs append their tree snapshot to a table in
     the shared checkpoint folder; the latest snapshot is read back and its
     leaf JSON parsed."""
     first, _, second = _two_runs(spark, sf_dir)
-    store = ST.TableStore(spark, scratch_path(spark, "tree-history"))
+    store = ST.EpochTables(spark, scratch_path(spark, "tree-history"))
     for sid, (run, ts) in enumerate([(first, HISTORY_RUN_TS), (second, RUN_TS)], start=1):
         rows, latest = _tree_rows(run, ts)
         total = run.line_count()
@@ -315,10 +315,10 @@ def q_cache_hottest(spark, sf_dir):
 
 
 def q_stats_persisted(spark, sf_dir):
-    """S7 + U2: each run appends its stats to a versioned table in the shared
-    checkpoint folder; reading folds the deltas (U3 on read)."""
+    """S7 + U2: each run appends its stats to a table in the shared
+    checkpoint folder; reading folds the epochs (U3 on read)."""
     first, _, second = _two_runs(spark, sf_dir)
-    store = ST.TableStore(spark, scratch_path(spark, "stats"))
+    store = ST.EpochTables(spark, scratch_path(spark, "stats"))
     ST.append_stats(store, S.template_stats_of(first.batches, HISTORY_RUN_TS))
     ST.append_stats(store, S.template_stats_of(second.batches, RUN_TS))
     return ST.load_stats(store)
@@ -412,7 +412,7 @@ def q_cache_store_run(spark, sf_dir):
     loads it from there, and appends its own entries and hits."""
     ll = _lines(spark, sf_dir)
     early = F.col("ts") < F.lit(HISTORY_SPLIT_TS).cast("timestamp")
-    store = ST.TableStore(spark, scratch_path(spark, "cache-store"))
+    store = ST.EpochTables(spark, scratch_path(spark, "cache-store"))
     for part, ts in ((early, HISTORY_RUN_TS), (~early, RUN_TS)):
         run = parse_logs(ll.filter(part), cache=ST.load_cache(store), batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS).stored("run")
         ST.append_cache(store, ST.cache_delta(new_cache_entries(run, ts), cache_hits(run)))
@@ -424,7 +424,7 @@ def q_examples_store(spark, sf_dir):
     """S10 + O4: each run appends its example rows; the newest per template
     are read back."""
     first, _, second = _two_runs(spark, sf_dir)
-    store = ST.TableStore(spark, scratch_path(spark, "examples"))
+    store = ST.EpochTables(spark, scratch_path(spark, "examples"))
     ST.append_examples(store, ST.example_rows(first.logs, HISTORY_RUN_TS, 0))
     ST.append_examples(store, ST.example_rows(second.logs, RUN_TS, 1))
     return ST.recent_examples(ST.load_examples(store), RECENT_N).select(
@@ -435,7 +435,7 @@ def q_state_counts(spark, sf_dir):
     """A9 + U4 + J4: templates in the persisted stats, entries the retention
     removes and keeps, and point lookups of both."""
     first, cache1, second = _two_runs(spark, sf_dir)
-    store = ST.TableStore(spark, scratch_path(spark, "state"))
+    store = ST.EpochTables(spark, scratch_path(spark, "state"))
     ST.append_stats(store, S.template_stats_of(first.batches, HISTORY_RUN_TS))
     ST.append_stats(store, S.template_stats_of(second.batches, RUN_TS))
     ST.save_cache(store, ST.merge_cache(cache1, new_cache_entries(second, RUN_TS), cache_hits(second)))

@@ -1,24 +1,18 @@
-"""Persisted state as versioned parquet tables.
+"""Persisted state in Parquet tables partitioned by epoch.
 
-A ``base`` version holds the whole table, a ``delta`` version rows added on
-top of the latest base. Readers take the latest base and every later delta.
-
-Each write goes to a folder of its own, ``<root>/<table>/data/v=<n>/<id>``;
-when it is complete, a commit record ``<root>/<table>/commits/<n>`` that names
-the folder is written. Readers see committed versions only, so a write that
-broke off changes nothing, and a path being read is never overwritten. A
-version written again (a replayed stream epoch) replaces its record. One
-writer per table.
+A run (or a stream's trigger) adds its changes as rows of its own epoch, and
+readers fold all epochs by a group-by. Writing an epoch again, as a replayed
+trigger does, overwrites that partition only (dynamic partition overwrite).
+One writer per table.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from logmold.session import stash
 
 CACHE_SCHEMA = "cache_key STRING, template_text STRING, created_at TIMESTAMP, updated_at TIMESTAMP, hit_count BIGINT"
 STATS_SCHEMA = ("template_text STRING, usage_count BIGINT, cache_count BIGINT, slm_count BIGINT, "
@@ -30,77 +24,51 @@ TREE_SCHEMA = ("snapshot_id BIGINT, created_at TIMESTAMP, batch_id BIGINT, total
                "level STRING, color STRING, event_type STRING, template_rank INT, template_text STRING, "
                "tree_data STRING")
 
-_COMMIT = "version BIGINT, kind STRING, folder STRING"
 
+class EpochTables:
+    """The tables below one folder, each Parquet partitioned by ``epoch``."""
 
-class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _commits(self, name: str) -> list[tuple[int, str, str]]:
-        """(version, kind, folder) of each committed version, in order. Only a
-        table that doesn't exist yet has none; any other failure is raised."""
+    def read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        """The rows of all epochs, or of those ``before`` one (a filter on the
+        partition column); ``schema`` may name ``epoch``. A table that doesn't
+        exist yet is empty; any other failure is raised."""
+        columns = self.spark.createDataFrame([], schema).columns
+        full = schema if "epoch" in columns else f"{schema}, epoch BIGINT"
         try:
-            rows = self.spark.read.schema(_COMMIT).json(f"{self.root}/{name}/commits/*").collect()
+            rows = self.spark.read.schema(full).parquet(f"{self.root}/{name}")
         except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        return sorted((r["version"], r["kind"], r["folder"]) for r in rows)
-
-    def versions(self, name: str) -> list[tuple[int, str]]:
-        return [(v, kind) for v, kind, _ in self._commits(name)]
-
-    def next_version(self, name: str) -> int:
-        vs = self.versions(name)
-        return (vs[-1][0] + 1) if vs else 1
-
-    def read(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """The table as of the latest base and its deltas; with ``before``,
-        as it was before that version was written. ``schema`` may name ``v``,
-        the version a row was written in."""
-        live = [(v, kind, folder) for v, kind, folder in self._commits(name) if before is None or v < before]
-        start = max((v for v, kind, _ in live if kind == "base"), default=0)
-        folders = [f"{self.root}/{name}/data/{folder}" for v, _, folder in live if v >= start]
-        empty = self.spark.createDataFrame([], schema)
-        if not folders:
-            return empty
-        data = T.StructType([f for f in empty.schema if f.name != "v"] + [T.StructField("v", T.LongType())])
-        return self.spark.read.schema(data).option("basePath", f"{self.root}/{name}/data").parquet(*folders).select(*empty.columns)
-
-    def read_version(self, name: str, version: int, schema: T.StructType) -> DataFrame:
-        """The rows of one committed version."""
-        folder = next(folder for v, _, folder in self._commits(name) if v == version)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/data/{folder}")
-
-    def write(self, name: str, df: DataFrame, kind: str = "base", version: int | None = None) -> int:
-        if kind not in ("base", "delta"):
-            raise ValueError(kind)
-        v = version if version is not None else self.next_version(name)
-        folder = f"v={v}/{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.root}/{name}/data/{folder}")
-        self.spark.createDataFrame([(v, kind, folder)], _COMMIT).coalesce(1).write.mode("overwrite").json(
-            f"{self.root}/{name}/commits/{v}")
-        return v
-
-    def drop_superseded(self, name: str) -> int:
-        """Remove the versions before the latest base (call it when no reader
-        of an older state is running); returns how many."""
-        commits = self._commits(name)
-        start = max((v for v, kind, _ in commits if kind == "base"), default=0)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        old = [v for v, _, _ in commits if v < start]
-        for v in old:
-            for path in (f"{self.root}/{name}/commits/{v}", f"{self.root}/{name}/data/v={v}"):
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
-        return len(old)
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], full)
+        return (rows if before is None else rows.where(F.col("epoch") < before)).select(*columns)
+
+    def next_epoch(self, name: str) -> int:
+        last = self.read(name, "epoch BIGINT").agg(F.max("epoch")).first()[0]
+        return 0 if last is None else last + 1
+
+    def write(self, name: str, df: DataFrame, epoch: int | None = None) -> int:
+        """Adds ``df`` as the rows of an epoch; rows that it had are replaced."""
+        epoch = self.next_epoch(name) if epoch is None else int(epoch)
+        df.withColumn("epoch", F.lit(epoch).cast("long")).write.partitionBy("epoch").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+        return epoch
+
+    def replace(self, name: str, df: DataFrame, epoch: int | None = None) -> int:
+        """Makes ``df`` the whole table. ``df`` may read the table: it is
+        written to the checkpoint folder first."""
+        epoch = self.next_epoch(name) if epoch is None else int(epoch)
+        stash(df, name).withColumn("epoch", F.lit(epoch).cast("long")).write.partitionBy("epoch").mode("overwrite").option(
+            "partitionOverwriteMode", "static").parquet(f"{self.root}/{name}")
+        return epoch
 
 
 # --- cache (S6, J4, U1, U4, O6) -------------------------------------------------
 
-def load_cache(store: TableStore, before: int | None = None) -> DataFrame:
+def load_cache(store: EpochTables, before: int | None = None) -> DataFrame:
     """The whole cache as a DataFrame (never collected); one row per key."""
     rows = store.read("template_cache", CACHE_SCHEMA, before)
     return compact_cache(rows)
@@ -151,9 +119,9 @@ def hottest_cache(cache: DataFrame) -> DataFrame:
     return cache.orderBy(F.col("hit_count").desc_nulls_last(), F.col("cache_key"))
 
 
-def save_cache(store: TableStore, cache: DataFrame, version: int | None = None) -> int:
-    return store.write("template_cache", cache.select("cache_key", "template_text", "created_at",
-                                                       "updated_at", "hit_count"), "base", version)
+def save_cache(store: EpochTables, cache: DataFrame, epoch: int | None = None) -> int:
+    return store.replace("template_cache", cache.select("cache_key", "template_text", "created_at",
+                                                        "updated_at", "hit_count"), epoch)
 
 
 def cache_delta(new_entries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -166,17 +134,17 @@ def cache_delta(new_entries: DataFrame, hits: DataFrame) -> DataFrame:
                     F.col("hits").cast("long").alias("hit_count")))
 
 
-def append_cache(store: TableStore, entries: DataFrame, version: int | None = None) -> int:
+def append_cache(store: EpochTables, entries: DataFrame, epoch: int | None = None) -> int:
     return store.write("template_cache", entries.select("cache_key", "template_text", "created_at",
-                                                         "updated_at", "hit_count"), "delta", version)
+                                                        "updated_at", "hit_count"), epoch)
 
 
 # --- stats (S7, U2) -------------------------------------------------------------
 
-def load_stats(store: TableStore, before: int | None = None) -> DataFrame:
-    """The base stats merged with every later run delta (U3 on read)."""
-    rows = store.read("template_stats", STATS_SCHEMA + ", v BIGINT", before)
-    example_pos = F.when(F.col("example_log") != F.lit(""), F.col("v"))
+def load_stats(store: EpochTables, before: int | None = None) -> DataFrame:
+    """The stats of all epochs merged (U3 on read)."""
+    rows = store.read("template_stats", STATS_SCHEMA + ", epoch BIGINT", before)
+    example_pos = F.when(F.col("example_log") != F.lit(""), F.col("epoch"))
     return rows.groupBy("template_text").agg(
         F.sum("usage_count").cast("long").alias("usage_count"),
         F.sum("cache_count").cast("long").alias("cache_count"),
@@ -187,21 +155,21 @@ def load_stats(store: TableStore, before: int | None = None) -> DataFrame:
     )
 
 
-def append_stats(store: TableStore, run_stats: DataFrame, version: int | None = None) -> int:
+def append_stats(store: EpochTables, run_stats: DataFrame, epoch: int | None = None) -> int:
     """U2 as an append: the run's own stats; readers merge them."""
     cols = [c.split()[0] for c in STATS_SCHEMA.split(",")]
-    return store.write("template_stats", run_stats.select(*cols), "delta", version)
+    return store.write("template_stats", run_stats.select(*cols), epoch)
 
 
-def persisted_template_count(store: TableStore) -> int:
+def persisted_template_count(store: EpochTables) -> int:
     """Number of templates in the persisted stats."""
     return load_stats(store).count()
 
 
-def save_stats(store: TableStore, stats: DataFrame, version: int | None = None) -> int:
-    """The merged stats as a new base version."""
+def save_stats(store: EpochTables, stats: DataFrame, epoch: int | None = None) -> int:
+    """The merged stats as the whole table."""
     cols = [c.split()[0] for c in STATS_SCHEMA.split(",")]
-    return store.write("template_stats", stats.select(*cols), "base", version)
+    return store.replace("template_stats", stats.select(*cols), epoch)
 
 
 # --- example logs (S10, O4, J5) -----------------------------------------------
@@ -216,12 +184,12 @@ def example_rows(logs: DataFrame, run_ts, run_seq: int = 0) -> DataFrame:
     )
 
 
-def append_examples(store: TableStore, rows: DataFrame, version: int | None = None) -> int:
+def append_examples(store: EpochTables, rows: DataFrame, epoch: int | None = None) -> int:
     cols = ["template_text", "original_log", "log_level", "event_type", "source", "batch_id", "created_at", "seq"]
-    return store.write("example_logs", rows.select(*cols), "delta", version)
+    return store.write("example_logs", rows.select(*cols), epoch)
 
 
-def load_examples(store: TableStore) -> DataFrame:
+def load_examples(store: EpochTables) -> DataFrame:
     return store.read("example_logs", EXAMPLES_SCHEMA)
 
 
@@ -252,12 +220,12 @@ def snapshot_rows(leaf_rows: DataFrame, snapshot_id: int, created_at, latest_bat
     )
 
 
-def append_snapshot(store: TableStore, rows: DataFrame, version: int | None = None) -> int:
+def append_snapshot(store: EpochTables, rows: DataFrame, epoch: int | None = None) -> int:
     cols = [c.split()[0] for c in TREE_SCHEMA.split(",")]
-    return store.write("tree_history", rows.select(*cols), "delta", version)
+    return store.write("tree_history", rows.select(*cols), epoch)
 
 
-def load_tree_history(store: TableStore) -> DataFrame:
+def load_tree_history(store: EpochTables) -> DataFrame:
     return store.read("tree_history", TREE_SCHEMA)
 
 
@@ -268,10 +236,8 @@ def latest_snapshot(history: DataFrame) -> DataFrame:
     return history.join(newest, "snapshot_id", "left_semi")
 
 
-def compact(store: TableStore, version: int | None = None) -> None:
-    """Fold the deltas of the cache and the stats into new base versions
-    (bounds the work of later reads; run it every few epochs)."""
-    v = version if version is not None else max(store.next_version("template_cache"),
-                                                store.next_version("template_stats"))
-    save_cache(store, load_cache(store, before=v), v)
-    save_stats(store, load_stats(store, before=v), v)
+def fold(store: EpochTables, target: EpochTables) -> None:
+    """Copies the cache and the stats, folded, into the tables below another
+    folder as their first epoch: bounds the work of later reads."""
+    save_cache(target, load_cache(store), 0)
+    save_stats(target, load_stats(store), 0)

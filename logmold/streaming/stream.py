@@ -2,8 +2,9 @@
 
 X1 parses every micro-batch with the persisted cache and merges the run into
 the persisted stats, inside ``foreachBatch``. Every write of an epoch goes to
-a version named after the epoch, so a replayed epoch overwrites its own
-output and the job stays idempotent. Batches never span triggers.
+the partition of that epoch, so a replayed epoch overwrites its own output
+and the job stays idempotent. Batches don't span triggers here; those of
+:mod:`logmold.streaming.microbatch` do.
 
 X2 counts lines per event-time window, level and event type, with a
 watermark: state of windows behind the watermark is dropped and rows older
@@ -42,32 +43,25 @@ def _as_glob(path: str) -> str:
     return f"{head}/[{tail[0]}]{tail[1:]}" if tail else path
 
 
-def parse_stream(lines: DataFrame, store: ST.TableStore, checkpoint: str, run_ts,
-                 batch_size: int = 16, min_tokens: int = 3, generator=None, compact_every: int = 20):
+def parse_stream(lines: DataFrame, store: ST.EpochTables, checkpoint: str, run_ts,
+                 batch_size: int = 16, min_tokens: int = 3, generator=None):
     """``lines(idx, text, ...)`` stream -> trace logs, cache and stats tables
     in ``store``. Runs until the input available now is consumed."""
 
     def per_epoch(batch: DataFrame, epoch_id: int) -> None:
-        # State as it was before this epoch: a replayed epoch sees the same
-        # input. Epoch e writes version 2e+2; a compaction after it writes
-        # its base as 2e+3, so bases and deltas never share a version.
-        version = 2 * int(epoch_id) + 2
-        cache = ST.load_cache(store, before=version)
-        result = parse_logs(batch.select("idx", "text"), cache=cache, generator=generator,
+        # State as it was before this epoch: a replayed epoch sees the same input.
+        epoch = int(epoch_id)
+        result = parse_logs(batch.select("idx", "text"), cache=ST.load_cache(store, before=epoch), generator=generator,
                             batch_size=batch_size, min_tokens=min_tokens)
         # The parse runs once: everything else of the epoch reads its batches.
-        store.write("trace_batches", result.batches, "delta", version)
-        result = result.over(store.read_version("trace_batches", version, result.batches.schema))
-        logs_out = result.logs.select(
-            "idx", "text", "batch_id", "cluster_id", "template", "source", "level", "event_type", "masked"
-        ).withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
-        store.write("trace_logs", logs_out, "delta", version)
-        # State changes are appended as deltas (O(run), not O(state));
-        # every ``compact_every`` epochs the deltas fold into a new base.
-        ST.append_cache(store, ST.cache_delta(new_cache_entries(result, run_ts), cache_hits(result)), version)
-        ST.append_stats(store, template_stats_of(result.batches, run_ts), version)
-        if compact_every and (int(epoch_id) + 1) % compact_every == 0:
-            ST.compact(store, version + 1)
+        store.write("trace_batches", result.batches, epoch)
+        written = store.spark.read.schema(result.batches.schema).parquet(f"{store.root}/trace_batches/epoch={epoch}")
+        result = result.over(written)
+        store.write("trace_logs", result.logs.select(
+            "idx", "text", "batch_id", "cluster_id", "template", "source", "level", "event_type", "masked"), epoch)
+        # State changes are added as rows of the epoch (O(run), not O(state)).
+        ST.append_cache(store, ST.cache_delta(new_cache_entries(result, run_ts), cache_hits(result)), epoch)
+        ST.append_stats(store, template_stats_of(result.batches, run_ts), epoch)
 
     query = (
         lines.writeStream.foreachBatch(per_epoch)
@@ -87,7 +81,7 @@ def stream_parse_events(spark: SparkSession, sf_dir: str, batch_size: int = 16,
                         run_ts="2024-02-01 00:00:00", root: str | None = None) -> DataFrame:
     """X1 over the ``events`` table as a file stream; returns the trace table."""
     root = root or scratch_path(spark, "stream-parse")
-    store = ST.TableStore(spark, f"{root}/tables")
+    store = ST.EpochTables(spark, f"{root}/tables")
     events = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     parse_stream(events_to_log_lines(events), store, f"{root}/checkpoint", run_ts, batch_size, min_tokens)
     return store.read("trace_logs", TRACE_SCHEMA)
@@ -105,7 +99,7 @@ def stream_parse_parts(spark: SparkSession, sf_dir: str, ends: list, batch_size:
                        run_ts="2024-02-01 00:00:00", root: str | None = None) -> DataFrame:
     """X1 over ``events`` in several triggers, cut at the times ``ends``."""
     root = root or scratch_path(spark, "stream-parts")
-    store = ST.TableStore(spark, f"{root}/tables")
+    store = ST.EpochTables(spark, f"{root}/tables")
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     cuts = [F.lit(e).cast("timestamp") for e in ends]
     bounds = zip([None, *cuts], [*cuts, None])
@@ -131,17 +125,12 @@ def level_counts(lines: DataFrame, window: str = "1 hour", watermark: str = "10
     )
 
 
-def run_level_counts(lines: DataFrame, store: ST.TableStore, checkpoint: str,
-                     window: str = "1 hour", watermark: str = "10 minutes", compact_every: int = 20):
-    """X2 with update output: every epoch appends the windows it changed; every
-    ``compact_every`` epochs they fold into a new base."""
+def run_level_counts(lines: DataFrame, store: ST.EpochTables, checkpoint: str,
+                     window: str = "1 hour", watermark: str = "10 minutes"):
+    """X2 with update output: every epoch adds the windows that it changed."""
 
     def per_epoch(batch: DataFrame, epoch_id: int) -> None:
-        version = 2 * int(epoch_id) + 2
-        store.write("window_counts", batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long")), "delta", version)
-        if compact_every and (int(epoch_id) + 1) % compact_every == 0:
-            rows = latest_window_counts(store.read("window_counts", WINDOW_SCHEMA, before=version + 1))
-            store.write("window_counts", rows.withColumn("epoch", F.lit(int(epoch_id)).cast("long")), "base", version + 1)
+        store.write("window_counts", batch, int(epoch_id))
 
     query = (
         level_counts(lines, window, watermark).writeStream.outputMode("update")
@@ -163,7 +152,7 @@ def latest_window_counts(rows: DataFrame) -> DataFrame:
 def stream_level_counts(spark: SparkSession, sf_dir: str, window: str = "1 hour",
                         watermark: str = "10 minutes", root: str | None = None) -> DataFrame:
     root = root or scratch_path(spark, "stream-levels")
-    store = ST.TableStore(spark, f"{root}/tables")
+    store = ST.EpochTables(spark, f"{root}/tables")
     events = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     run_level_counts(events_to_log_lines(events), store, f"{root}/checkpoint", window, watermark)
     return latest_window_counts(store.read("window_counts", WINDOW_SCHEMA))
@@ -174,7 +163,7 @@ def stream_level_counts_late(spark: SparkSession, sf_dir: str, split, window: st
     """X2 over ``events`` before and after ``split`` as two triggers, then a
     third with the first part again, moved behind the watermark."""
     root = root or scratch_path(spark, "stream-late")
-    store = ST.TableStore(spark, f"{root}/tables")
+    store = ST.EpochTables(spark, f"{root}/tables")
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     early = events.filter(F.col("ts") < F.lit(split).cast("timestamp"))
     late = early.withColumn("ts", (F.col("ts") - F.expr("INTERVAL 90 DAYS")).cast(events.schema["ts"].dataType))

@@ -158,7 +158,7 @@ def test_cli_runs_with_state(spark, tmp_root, capsys):
     # both cache keys were written on 2024-01-01: 30 days later + 1 they expire
     assert main(["retain", "--state", f"{tmp_root}/state", "--days", "30", "--run-ts", "2024-02-01 00:00:01"]) == 0
     assert capsys.readouterr().out.strip().splitlines()[-1] == "2"
-    assert ST.load_cache(ST.TableStore(spark, f"{tmp_root}/state")).count() == 0
+    assert ST.load_cache(ST.EpochTables(spark, f"{tmp_root}/state")).count() == 0
 
 
 def test_requests_of_many_partitions(spark):

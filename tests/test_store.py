@@ -1,4 +1,4 @@
-"""Versioned tables, cache / stats merges, retention, snapshots, examples."""
+"""Tables by epoch, cache / stats merges, retention, snapshots, examples."""
 
 from __future__ import annotations
 
@@ -10,55 +10,59 @@ from logmold.sources import store as ST
 TS = dt.datetime
 
 
-def test_versions_base_and_delta(spark, tmp_root):
-    s = ST.TableStore(spark, tmp_root)
-    assert s.read("template_cache", ST.CACHE_SCHEMA).count() == 0
-    rows = [("k1", "t1", TS(2024, 1, 1), TS(2024, 1, 1), 0)]
-    s.write("template_cache", spark.createDataFrame(rows, ST.CACHE_SCHEMA), "base")
-    ST.append_cache(s, spark.createDataFrame([("k2", "t2", TS(2024, 1, 2), TS(2024, 1, 2), 1)], ST.CACHE_SCHEMA))
-    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["k1", "k2"]
-    assert [r["cache_key"] for r in ST.load_cache(s, before=2).collect()] == ["k1"]
-    # a new base hides what came before it
-    ST.save_cache(s, spark.createDataFrame([("k3", "", TS(2024, 1, 3), TS(2024, 1, 3), None)], ST.CACHE_SCHEMA))
-    got = ST.load_cache(s).collect()
-    assert [(r["cache_key"], r["template_text"]) for r in got] == [("k3", "")]
+def _entry(spark, key, text="t", day=1, hits=0):
+    return spark.createDataFrame([(key, text, TS(2024, 1, day), TS(2024, 1, day), hits)], ST.CACHE_SCHEMA)
+
+
+def _keys(store, before=None):
+    return sorted(r["cache_key"] for r in ST.load_cache(store, before).collect())
+
+
+def test_epochs_add_up_and_replays_replace(spark, tmp_root):
+    s = ST.EpochTables(spark, tmp_root)
+    assert s.read("template_cache", ST.CACHE_SCHEMA).count() == 0 and s.next_epoch("template_cache") == 0
+    assert ST.append_cache(s, _entry(spark, "k1")) == 0
+    assert ST.append_cache(s, _entry(spark, "k2", day=2)) == 1
+    assert _keys(s) == ["k1", "k2"] and _keys(s, before=1) == ["k1"]
+    # an epoch written again replaces its own rows only
+    ST.append_cache(s, _entry(spark, "k4"), epoch=4)
+    ST.append_cache(s, _entry(spark, "k5"), epoch=4)
+    assert _keys(s) == ["k1", "k2", "k5"] and s.next_epoch("template_cache") == 5
+    # the whole table may be replaced by what is made of it
+    ST.save_cache(s, ST.load_cache(s).where("cache_key <> 'k2'"))
+    assert _keys(s) == ["k1", "k5"]
     # an empty-string template is still an entry (a hit)
+    ST.append_cache(s, _entry(spark, "k3", ""))
     assert ST.cache_get(ST.load_cache(s), "k3").count() == 1
-    # rewriting one version (a replayed epoch) replaces only that version
-    ST.append_cache(s, spark.createDataFrame([("k4", "x", TS(2024, 1, 4), TS(2024, 1, 4), 0)], ST.CACHE_SCHEMA), version=4)
-    ST.append_cache(s, spark.createDataFrame([("k5", "y", TS(2024, 1, 4), TS(2024, 1, 4), 0)], ST.CACHE_SCHEMA), version=4)
-    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["k3", "k5"]
 
 
-def test_only_committed_versions_count(spark, tmp_root):
+def test_only_a_missing_table_is_empty(spark, tmp_root):
     import os
 
     import pytest
 
-    s = ST.TableStore(spark, tmp_root)
-    row = lambda key: spark.createDataFrame([(key, "t", TS(2024, 1, 1), TS(2024, 1, 1), 0)], ST.CACHE_SCHEMA)
-    ST.save_cache(s, row("a"))
-    # a base that broke off before its commit record hides nothing
-    row("half").write.parquet(f"{tmp_root}/template_cache/data/v=2/broken")
-    assert [r["cache_key"] for r in ST.load_cache(s).collect()] == ["a"]
-    assert s.next_version("template_cache") == 2
-    ST.append_cache(s, row("b"))
-    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["a", "b"]
-    # a listing that fails is an error, not an empty table
-    os.makedirs(f"{tmp_root}/bad/commits/1")
-    with open(f"{tmp_root}/bad/commits/1/part-0.json.gz", "w") as f:
-        f.write("not gzip")
+    s = ST.EpochTables(spark, tmp_root)
+    os.makedirs(f"{tmp_root}/template_cache/epoch=0")
+    with open(f"{tmp_root}/template_cache/epoch=0/part-0.parquet", "w") as f:
+        f.write("not parquet")
     with pytest.raises(Exception):
-        s.versions("bad")
-    # superseded versions can be removed
-    ST.save_cache(s, ST.load_cache(s), 3)
-    assert s.drop_superseded("template_cache") == 2
-    assert sorted(r["cache_key"] for r in ST.load_cache(s).collect()) == ["a", "b"]
-    assert s.versions("template_cache") == [(3, "base")]
+        ST.load_cache(s).collect()
+
+
+def test_fold_keeps_what_readers_see(spark, tmp_root):
+    s, folded = ST.EpochTables(spark, f"{tmp_root}/a"), ST.EpochTables(spark, f"{tmp_root}/b")
+    stats = spark.createDataFrame([("A", 5, 1, 4, TS(2024, 1, 1), TS(2024, 1, 1), "x")], ST.STATS_SCHEMA)
+    for key, day in (("a", 1), ("b", 2), ("a", 3)):
+        ST.append_cache(s, _entry(spark, key, f"t{day}", day, 1))
+        ST.append_stats(s, stats)
+    ST.fold(s, folded)
+    for load in (ST.load_cache, ST.load_stats):
+        assert sorted(map(tuple, load(s).collect())) == sorted(map(tuple, load(folded).collect()))
+    assert folded.next_epoch("template_cache") == 1 and ST.load_stats(s).first()["usage_count"] == 15
 
 
 def test_hit_on_a_removed_key_is_no_entry(spark, tmp_root):
-    s = ST.TableStore(spark, tmp_root)
+    s = ST.EpochTables(spark, tmp_root)
     rows = [("old", "a", TS(2024, 1, 1), TS(2024, 1, 1), 0), ("new", "b", TS(2024, 3, 1), TS(2024, 3, 1), 0)]
     ST.save_cache(s, ST.retain_cache(spark.createDataFrame(rows, ST.CACHE_SCHEMA), "2024-03-02 00:00:00", 30))
     hits = spark.createDataFrame([("old", 2), ("new", 3)], "cache_key STRING, hits BIGINT")
@@ -110,7 +114,7 @@ def test_history_without_examples_gets_run_example(spark):
 
 
 def test_examples_and_snapshots(spark, tmp_root):
-    s = ST.TableStore(spark, tmp_root)
+    s = ST.EpochTables(spark, tmp_root)
     logs = spark.createDataFrame(
         [(i, f"t{i}", 1, "A", "SLM", "INFO", "GENERIC") for i in range(7)] + [(9, "x", 2, "Z", "SLM", "INFO", "GENERIC")],
         "idx BIGINT, text STRING, batch_id BIGINT, template STRING, source STRING, level STRING, event_type STRING")
