@@ -117,9 +117,10 @@ LL = f"log_lines AS ({LOG_LINES_SQL})"
 EMPTY_CACHE = ("empty_cache AS (SELECT CAST(NULL AS VARCHAR) AS cache_key, CAST(NULL AS VARCHAR) AS template_text "
                "WHERE false)")
 DOC_LINES = f"""doc_lines AS (
-  SELECT CAST(doc_id * most + pos AS BIGINT) AS idx, doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
-    SELECT doc_id, most, pos, {strip('raw')} AS text FROM (
-      SELECT doc_id, max(len(l)) OVER () AS most, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
+  SELECT CAST(base + pos AS BIGINT) AS idx, doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
+    SELECT doc_id, base, pos, {strip('raw')} AS text FROM (
+      SELECT doc_id, coalesce(sum(len(l)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+             unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
       FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM documents) d0
     ) d1
   ) d2 WHERE text <> '')"""
@@ -323,11 +324,11 @@ def build() -> dict[str, str]:
                                               f"{pct('slm_count', 'usage_count')} AS slm_pct FROM merged")
     o["structure_table"] = with_(single, "SELECT batch_id, idx, text, masked, level, event_type, source FROM r_logs")
     conv_lines = f"""conv_lines AS (
-  SELECT CAST(turn_key * most + pos AS BIGINT) AS idx, text FROM (
-    SELECT turn_key, most, pos, {strip('raw')} AS text FROM (
-      SELECT turn_key, max(len(l)) OVER () AS most, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
-      FROM (SELECT conv_id * (max(turn) OVER () + 1) + turn AS turn_key,
-                   string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM conversations) c0
+  SELECT CAST(base + pos AS BIGINT) AS idx, text FROM (
+    SELECT base, pos, {strip('raw')} AS text FROM (
+      SELECT coalesce(sum(len(l)) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+             unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos
+      FROM (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), {q(LINE_BREAK)}) AS l FROM conversations) c0
     ) c1
   ) c2 WHERE text <> '')"""
     o["conversation_parsed_logs"] = with_([conv_lines, EMPTY_CACHE] + parse_ctes("v", "conv_lines"),
@@ -421,9 +422,7 @@ def build() -> dict[str, str]:
         f"SELECT {LEAF}, 'raw_slm_output', value FROM (SELECT *, row_number() OVER (PARTITION BY {LEAF} ORDER BY value) AS r "
         "FROM raws) x WHERE r <= 3"))
     request_lines = """request_lines AS (
-  SELECT CAST(conv_id * max(n) OVER () + pos AS BIGINT) AS idx, coalesce(text, '') AS text FROM (
-    SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
-           count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) c0)"""
+  SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS idx, coalesce(text, '') AS text FROM conversations)"""
     o["request_parsed_logs"] = with_([request_lines, EMPTY_CACHE] + parse_ctes("q", "request_lines"),
                                      "SELECT idx, batch_id, cluster_id, template, source FROM q_logs")
     a, b = (ts(e) for e in C.STREAM_PARTS)

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logmold.functions.text import LINE_BREAK, py_strip
-from logmold.session import ensure_checkpoint_dir
+from logmold.operators.batching import exclusive_running_sum
+from logmold.session import ensure_checkpoint_dir, stash
 
-#: Lines that one block of a source with gaps in ``idx`` holds on average.
+#: Lines of one block of a source of text files.
 BLOCK_LINES = 1 << 20
 #: Splits of a text input whose first line numbers are sent to all tasks.
 BROADCAST_SPLITS = 200_000
@@ -37,26 +38,26 @@ def lines_from_list(spark: SparkSession, logs: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "idx BIGINT, text STRING")
 
 
-def ordered_lines(df: DataFrame, keys: list[str], lines: Column, keep: list[str] | None = None) -> DataFrame:
-    """``idx, block, <keys>, <keep>, pos, raw`` of the lines in an array column,
-    in the order of ``keys`` (BIGINT; together unique) and position.
+def ordered_lines(df: DataFrame, keys: list[str], lines: Column, count: Column, keep: list[str] | None = None) -> DataFrame:
+    """``idx, <keys>, <keep>, pos, raw`` of the lines in an array column, in the
+    order of ``keys`` (BIGINT, any values; together unique) and position.
 
-    One aggregate over the table gives the most lines of a row and the largest
-    value of each further key; ``idx`` leaves exactly that much room, so there
-    is no limit on either. ``block`` cuts idx into ranges of ``BLOCK_LINES``
-    lines on average.
+    ``idx`` is the number of lines before: dense, so it can't overflow whatever
+    the keys are. ``count`` tells a row's lines without splitting it. The counts of
+    rows, by key, go through running sums over nested ranges (no window over
+    all rows, nor over all rows of a hot first key), are written once, and join
+    the rows by their keys.
     """
-    rows = df.select(*[F.col(k).cast("long").alias(k) for k in keys], *(keep or []), lines.alias("_lines"))
-    size = F.size("_lines")
-    most, mean, *top = rows.agg(F.max(size), F.avg(size), *[F.max(k) for k in keys[1:]]).first()
-    most, mean = max(most or 1, 1), max(mean or 1.0, 1.0)
-    ordinal = F.col(keys[0])
-    for key, high in zip(keys[1:], top):
-        ordinal = ordinal * F.lit((high or 0) + 1).cast("long") + F.col(key)
-    exploded = rows.select(*keys, *(keep or []), ordinal.alias("_ordinal"), F.posexplode("_lines").alias("pos", "raw"))
-    numbered = exploded.withColumn("idx", F.col("_ordinal") * F.lit(most).cast("long") + F.col("pos"))
-    return numbered.select("idx", F.expr(f"idx div {int(BLOCK_LINES * most / mean)}L").alias("block"),
-                           *keys, *(keep or []), F.col("pos").cast("int").alias("pos"), "raw")
+    rows = df.select(*[F.col(k).cast("long").alias(k) for k in keys], *(keep or []), lines.alias("_lines"), count.cast("long").alias("_n"))
+    sizes = stash(rows.groupBy(*keys).agg(F.sum("_n").alias("_n")), "line-counts")
+    bits = (20, 40)
+    base = exclusive_running_sum(sizes.groupBy(keys[0]).agg(F.sum("_n").alias("_n")), [], keys[0], "_n", "_before", bits).select(keys[0], "_before")
+    for k in range(1, len(keys)):
+        inner = exclusive_running_sum(sizes.groupBy(*keys[:k + 1]).agg(F.sum("_n").alias("_n")), keys[:k], keys[k], "_n", "_inside", bits)
+        base = inner.join(base, keys[:k]).select(*keys[:k + 1], (F.col("_before") + F.col("_inside")).alias("_before"))
+    base = stash(base, "line-bases")
+    return rows.join(base, keys).select(*keys, *(keep or []), "_before", F.posexplode("_lines").alias("pos", "raw")).select(
+        (F.col("_before") + F.col("pos")).alias("idx"), *keys, *(keep or []), F.col("pos").cast("int").alias("pos"), "raw")
 
 
 def lines_from_requests(df: DataFrame, logs_col: str = "logs", request_col: str | None = None) -> DataFrame:
@@ -67,7 +68,8 @@ def lines_from_requests(df: DataFrame, logs_col: str = "logs", request_col: str
     """
     req = F.col(request_col) if request_col else F.monotonically_increasing_id()
     rows = df.select(req.alias("_req"), F.col(logs_col).alias("_logs"))
-    return ordered_lines(rows, ["_req"], F.col("_logs")).select("idx", "block", F.coalesce("raw", F.lit("")).alias("text"))
+    size = F.greatest(F.size("_logs"), F.lit(0))
+    return ordered_lines(rows, ["_req"], F.col("_logs"), size).select("idx", F.coalesce("raw", F.lit("")).alias("text"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +88,10 @@ def _stripped(lines: DataFrame) -> DataFrame:
 
 
 def text_lines(df: DataFrame, keys: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """S3: multi-line text -> stripped, non-blank lines, ordered by (keys, position)."""
-    return _stripped(ordered_lines(df, keys, split_text_lines(F.col(text_col)), keep))
+    """S3: multi-line text -> stripped, non-blank lines, ordered by (keys, position);
+    written once, since every consumer reads the lines twice or more."""
+    count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"(?U){LINE_BREAK}")) + 1
+    return stash(_stripped(ordered_lines(df, keys, split_text_lines(F.col(text_col)), count, keep)), "lines")
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +131,7 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents``: idx, block, doc_id, pos, text (whole documents, every line)."""
+    """Lines of ``documents``: idx, doc_id, pos, text (whole documents, every line)."""
     return text_lines(spread_input(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 

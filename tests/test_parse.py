@@ -220,3 +220,17 @@ def test_batch_statistics_equal_line_statistics(spark):
     assert sorted(map(tuple, of.collect())) == sorted(map(tuple, template_stats(r.logs, "2024-01-01").collect()))
     plan = of._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_line_numbers_of_any_ids(spark):
+    """Ids near the end of BIGINT, negative ones and rows with many lines: numbers are dense and in order."""
+    from logmold.sources.lines import text_lines
+
+    ids = [-(1 << 63), -5, 3, 1 << 62, (1 << 63) - 1]
+    rows = [(i, t, "\n".join(f"{i} {t} {k}" for k in range(n))) for i in ids for t, n in ((7, 1), (1 << 62, 3), (-2, 40))]
+    df = spark.createDataFrame(rows, "id BIGINT, turn BIGINT, text STRING")
+    got = text_lines(df.repartition(3), ["id", "turn"]).orderBy("idx").collect()
+    want = [line for i, t, text in sorted(rows) for line in text.split("\n")]
+    assert [r["text"] for r in got] == want and [r["idx"] for r in got] == list(range(len(want)))
+    hashed = df.where("turn = 7").selectExpr("xxhash64(id) AS id", "text")
+    assert [r["idx"] for r in text_lines(hashed, ["id"]).orderBy("idx").collect()] == list(range(5))
