@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmold.functions import text as T
+from logmold.operators import anomaly as AN
+from logmold.operators import incidents as IN
+from logmold.operators import parameters as PA
 from logmold.operators import stats as S
 from logmold.operators import trace as R
 from logmold.operators import tree as TR
@@ -37,6 +40,7 @@ TOP_N = 10
 RECENT_N = 5
 STREAM_WINDOW = "1 hour"
 STREAM_WATERMARK = "10 minutes"
+WINDOW_WAIT = "6 hours"
 STREAM_PARTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]  # ends of the first two of three triggers
 
 
@@ -511,6 +515,77 @@ def q_stream_late_rows(spark, sf_dir):
     return stream_level_counts_late(spark, sf_dir, HISTORY_SPLIT_TS, window=STREAM_WINDOW, watermark=STREAM_WATERMARK)
 
 
+# --- batches over triggers, parameters, anomalies, incidents ----------------------
+
+def q_stream_windows(spark, sf_dir):
+    """Batches by number of lines or time since their first line, carried over four triggers."""
+    from logmold.streaming.microbatch import stream_windows_of_events
+
+    return stream_windows_of_events(spark, sf_dir, STREAM_PARTS, scratch_path(spark, "windows"), BATCH_SIZE, WINDOW_WAIT, MIN_TOKENS).select(
+        "cluster_id", "batch_no", "closed_by", "number_of_logs", "first_idx", "last_idx", "cache_key", "template")
+
+
+def q_line_parameters(spark, sf_dir):
+    return PA.line_parameters(_parse(spark, sf_dir).logs)
+
+
+def _timed(spark, sf_dir):
+    """The parsed lines with the time and user of their events."""
+    logs = _parse(spark, sf_dir).stored("timed").logs
+    events = L.table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "ts", "user_id")
+    return logs.join(events, "idx")
+
+
+def q_count_anomalies(spark, sf_dir):
+    return AN.count_anomalies(stash(AN.hourly_counts(_timed(spark, sf_dir)), "hourly"))
+
+
+def q_early_warnings(spark, sf_dir):
+    return AN.early_warnings(stash(AN.hourly_counts(_timed(spark, sf_dir)), "hourly"))
+
+
+def q_sequence_anomalies(spark, sf_dir):
+    steps = stash(AN.user_steps(_timed(spark, sf_dir)), "steps")
+    templates = steps.select("template").distinct().count()
+    return AN.sequence_anomalies(steps, AN.transition_counts(steps), templates)
+
+
+def q_incidents(spark, sf_dir):
+    return IN.incidents(_timed(spark, sf_dir))
+
+
+def q_incident_templates(spark, sf_dir):
+    logs = stash(_timed(spark, sf_dir).select("ts", "template", "level", "event_type"), "timed")
+    return IN.incident_templates(logs, stash(IN.incidents(logs), "incidents"))
+
+
+def q_similar_incidents(spark, sf_dir):
+    """Each incident's most similar others, by the templates around them."""
+    members = q_incident_templates(spark, sf_dir).select(
+        F.concat("event_type", F.lit("@"), F.col("started").cast("string")).alias("id"), F.col("template").alias("token"))
+    return IN.similar_sets(members).select(F.col("id").alias("incident"), "rank", F.col("other").alias("similar_to"), "shared", "similarity")
+
+
+def _templates(lines):
+    return parse_logs(lines, batch_size=BATCH_SIZE, min_tokens=MIN_TOKENS).batches.select("template").distinct()
+
+
+def q_similar_templates(spark, sf_dir):
+    """Each template's most similar others by their words, over the lines of documents."""
+    tokens = IN.template_tokens(_templates(L.document_lines(spark, sf_dir)))
+    return IN.similar_sets(tokens.select(F.col("template").alias("id"), "token")).select(
+        F.col("id").alias("template"), "rank", F.col("other").alias("similar_to"), "shared", "similarity")
+
+
+def q_template_vectors(spark, sf_dir):
+    """Sparse vectors of the templates of all documents, by document frequencies that are fitted and stored."""
+    tokens = stash(IN.template_tokens(_templates(L.document_lines(spark, sf_dir))), "template-tokens")
+    store = ST.EpochTables(spark, scratch_path(spark, "vectors"))
+    store.write("frequencies", IN.document_frequencies(tokens))
+    fitted = store.read("frequencies", "token STRING, df BIGINT")
+    return IN.template_vectors(tokens, fitted, tokens.select("template").distinct().count())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_text_lines": q_source_text_lines,
     "log_signature": q_log_signature,
@@ -566,4 +641,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "request_parsed_logs": q_request_parsed_logs,
     "stream_parse_triggers": q_stream_parse_triggers,
     "stream_late_rows": q_stream_late_rows,
+    "stream_windows": q_stream_windows,
+    "line_parameters": q_line_parameters,
+    "count_anomalies": q_count_anomalies,
+    "early_warnings": q_early_warnings,
+    "sequence_anomalies": q_sequence_anomalies,
+    "incidents": q_incidents,
+    "incident_templates": q_incident_templates,
+    "similar_incidents": q_similar_incidents,
+    "similar_templates": q_similar_templates,
+    "template_vectors": q_template_vectors,
 }

@@ -10,12 +10,15 @@ Unicode semantics on these inputs.
 from __future__ import annotations
 
 from logmold.functions import text as T
+from logmold.operators import anomaly as AN
+from logmold.operators import incidents as IN
 from logmold.plans import catalog as C
 from logmold.sources.lines import LOG_LINES_SQL
 
 # Python white space / line breaks as RE2 classes.
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+BACK = "\\"
 BS = C.BATCH_SIZE
 NT = C.MIN_TOKENS
 
@@ -436,6 +439,97 @@ def build() -> dict[str, str]:
     o["stream_parse_triggers"] = with_(stream, " UNION ALL ".join(
         f"SELECT CAST({k} AS BIGINT) AS epoch, idx, batch_id, cluster_id, template, source FROM e{k}_logs" for k in range(3)))
     o["stream_late_rows"] = o["stream_level_counts"]
+
+    hours, minutes = C.WINDOW_WAIT.split()[0], 60_000_000
+    o["stream_windows"] = "WITH RECURSIVE " + ",\n".join([
+        LL, f"sg AS (SELECT idx, ts, text, {sig('text')} AS cluster_id FROM log_lines)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) AS rn, count(*) OVER (PARTITION BY cluster_id) AS n FROM sg)",
+        f"step AS (SELECT a.cluster_id, a.rn, any_value(a.n) AS n, count(*) FILTER (WHERE b.ts <= a.ts + INTERVAL {hours} HOUR) AS len "
+        f"FROM l a JOIN l b ON a.cluster_id = b.cluster_id AND b.rn BETWEEN a.rn AND a.rn + {BS - 1} GROUP BY a.cluster_id, a.rn)",
+        "b AS (SELECT cluster_id, CAST(1 AS BIGINT) AS batch_no, rn AS start, len, n FROM step WHERE rn = 1 UNION ALL "
+        "SELECT s.cluster_id, b.batch_no + 1, s.rn, s.len, s.n FROM b JOIN step s ON s.cluster_id = b.cluster_id AND s.rn = b.start + b.len)",
+    ]) + (f"\nSELECT cluster_id, batch_no, CASE WHEN any_value(b.len) = {BS} THEN 'size' ELSE 'time' END AS closed_by, count(*) AS number_of_logs, "
+          f"min(idx) AS first_idx, max(idx) AS last_idx, sha256(cluster_id || '||' || string_agg(text, chr(10) ORDER BY idx)) AS cache_key, "
+          f"{fallback('arg_min(text, idx)')} AS template FROM b JOIN l USING (cluster_id) WHERE rn >= start AND rn < start + b.len "
+          "GROUP BY cluster_id, batch_no")
+
+    slots = 9  # the most groups that the function knows
+    escaped = rr("template", r"([\\\[\](){}.*+?^$|])", r"\\\1")
+    pattern = f"'(?s)^' || {rr(escaped, ' *<' + BACK + BACK + BACK + '*> *', ' *(.*?) *')} || repeat('()', {slots}) || '$'"
+    line = rr(strip("text"), f"{WS}+", " ")
+    each = " UNION ALL ".join(
+        f"SELECT idx, batch_id, template, fits, CAST({i} AS INTEGER) AS slot, regexp_extract(line, pattern, {i}) AS value FROM fitted WHERE fits AND n >= {i}"
+        for i in range(1, slots + 1))
+    o["line_parameters"] = with_(single + [
+        f"fitted AS (SELECT *, regexp_matches(line, pattern) AS fits FROM (SELECT idx, batch_id, template, {line} AS line, {pattern} AS pattern, "
+        "CAST((length(template) - length(replace(template, '<*>', ''))) / 3 AS INTEGER) AS n FROM r_logs) x)"],
+        f"{each} UNION ALL SELECT idx, batch_id, template, fits, NULL, NULL FROM fitted WHERE NOT fits OR n = 0")
+
+    timed = single + ["users AS (SELECT event_id AS idx, user_id FROM events)",
+                      "timed AS (SELECT r.*, g.ts, u.user_id FROM r_logs r JOIN log_lines g USING (idx) JOIN users u USING (idx))"]
+    spine = timed + [
+        f"counts AS (SELECT template, epoch_us(ts) // {60 * minutes} AS hour, count(*) AS n FROM timed GROUP BY ALL)",
+        f"spans AS (SELECT template, min(hour) AS first, least(max(hour) + {AN.HISTORY_HOURS}, (SELECT max(hour) FROM counts)) AS last FROM counts GROUP BY template)",
+        "spine AS (SELECT template, first, unnest(range(first, last + 1)) AS hour FROM spans)",
+        "filled AS (SELECT s.template, s.first, s.hour, coalesce(c.n, 0) AS n FROM spine s LEFT JOIN counts c USING (template, hour))"]
+    o["count_anomalies"] = with_(spine + [
+        "framed AS (SELECT *, count(n) OVER w AS k, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS s, CAST(coalesce(sum(n * n) OVER w, 0) AS BIGINT) AS q FROM filled "
+        f"WINDOW w AS (PARTITION BY template ORDER BY hour RANGE BETWEEN {AN.HISTORY_HOURS} PRECEDING AND 1 PRECEDING))",
+        "means AS (SELECT *, CASE WHEN k > 0 THEN CAST(s AS DOUBLE) / k END AS mean FROM framed)",
+        f"scored AS (SELECT *, CASE WHEN k > 0 THEN (n - mean) / greatest(sqrt(CAST(k * q - s * s AS DOUBLE)) / k, {AN.FLOOR}) END AS z FROM means)"],
+        f"SELECT template, hour, n, k AS history_hours, mean, z, coalesce(k >= {AN.LEAST_HOURS} AND z >= {AN.Z_LIMIT}, false) AS anomaly FROM scored")
+    o["early_warnings"] = with_(spine + [
+        "xs AS (SELECT *, hour - first AS x FROM filled)",
+        "framed AS (SELECT *, count(*) OVER w AS k, CAST(sum(x) OVER w AS BIGINT) AS sx, CAST(sum(n) OVER w AS BIGINT) AS sy, "
+        "CAST(sum(x * x) OVER w AS BIGINT) AS sxx, CAST(sum(x * n) OVER w AS BIGINT) AS sxy FROM xs "
+        f"WINDOW w AS (PARTITION BY template ORDER BY hour RANGE BETWEEN {AN.SLOPE_HOURS - 1} PRECEDING AND CURRENT ROW))",
+        "sloped AS (SELECT *, CASE WHEN k * sxx - sx * sx > 0 THEN CAST(k * sxy - sx * sy AS DOUBLE) / (k * sxx - sx * sx) END AS slope FROM framed)"],
+        f"SELECT template, hour, n, slope, coalesce(k = {AN.SLOPE_HOURS} AND slope >= {AN.SLOPE_LIMIT}, false) AS alert FROM sloped")
+    o["sequence_anomalies"] = with_(timed + [
+        "steps AS (SELECT idx, user_id, template, lag(template) OVER (PARTITION BY user_id ORDER BY ts, idx) AS previous FROM timed WHERE user_id IS NOT NULL)",
+        "model AS (SELECT previous, template, count(*) AS seen FROM steps WHERE previous IS NOT NULL GROUP BY ALL)",
+        "totals AS (SELECT previous, CAST(sum(seen) AS BIGINT) AS total FROM model GROUP BY ALL)",
+        "scored AS (SELECT s.*, m.seen, CAST(m.seen + 1 AS DOUBLE) / (t.total + (SELECT count(DISTINCT template) FROM steps)) AS probability "
+        "FROM steps s LEFT JOIN model m USING (previous, template) LEFT JOIN totals t USING (previous))"],
+        f"SELECT idx, user_id, previous, template, seen, probability, coalesce(probability < {AN.RARE}, false) AS rare FROM scored")
+    found = timed + [
+        "errors AS (SELECT event_type, epoch_us(ts) AS us FROM timed WHERE level = 'ERROR')",
+        f"opened AS (SELECT *, CASE WHEN us - lag(us) OVER w > {IN.GAP_SECONDS * 1_000_000} THEN 1 ELSE 0 END AS opens FROM errors WINDOW w AS (PARTITION BY event_type ORDER BY us))",
+        "numbered AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY us) AS number FROM opened)",
+        "found AS (SELECT event_type, min(us) AS started, max(us) AS ended, count(*) AS n_errors FROM numbered GROUP BY event_type, number)"]
+    o["incidents"] = with_(found, "SELECT event_type, started, ended, n_errors FROM found")
+    around = found + [
+        "around AS (SELECT f.event_type, f.started, t.template, count(*) AS n FROM found f JOIN timed t "
+        f"ON epoch_us(t.ts) BETWEEN f.started - {IN.LEAD_SECONDS * 1_000_000} AND f.ended GROUP BY ALL)"]
+    o["incident_templates"] = with_(around, "SELECT * FROM around")
+
+    def similar(name: str) -> str:
+        return (f"SELECT {name}, rank, similar_to, shared, similarity FROM (SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY similarity DESC, similar_to) AS rank "
+                f"FROM (SELECT a.id AS {name}, b.id AS similar_to, count(*) AS shared, CAST(count(*) AS DOUBLE) / (any_value(x.n) + any_value(y.n) - count(*)) AS similarity "
+                "FROM members a JOIN members b ON a.token = b.token AND a.id <> b.id JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id GROUP BY a.id, b.id) p "
+                f"WHERE 100 * similarity >= {IN.LEAST}) r WHERE rank <= {IN.TOP}")
+
+    sizes = "sizes AS (SELECT id, count(*) AS n FROM members GROUP BY id)"
+    o["similar_incidents"] = with_(around + [
+        "members AS (SELECT DISTINCT event_type || '@' || started AS id, template AS token FROM around)", sizes], similar("incident"))
+    words = "regexp_extract_all(lower(template), '(<\\*>|[0-9a-z]+)')"
+    # all pairs of documents' templates are too many here; two sets with this similarity share one of their rarest tokens
+    o["similar_templates"] = with_([DOC_LINES, EMPTY_CACHE] + parse_ctes("d", "doc_lines") + [
+        f"tokens AS MATERIALIZED (SELECT DISTINCT template AS id, unnest({words}) AS token FROM d_bt)", "sizes AS (SELECT id, count(*) AS n FROM tokens GROUP BY id)",
+        "rare AS (SELECT id, token, n, row_number() OVER (PARTITION BY id ORDER BY df, token) AS r FROM tokens "
+        "JOIN (SELECT token, count(*) AS df FROM tokens GROUP BY token) USING (token) JOIN sizes USING (id))",
+        f"firsts AS (SELECT id, token FROM rare WHERE r <= n - (n * {IN.LEAST} + 99) // 100 + 1)",
+        "met AS (SELECT DISTINCT a.id AS i, b.id AS j FROM firsts a JOIN firsts b ON a.token = b.token AND a.id <> b.id)",
+        "joint AS (SELECT i, j, count(*) AS shared FROM met JOIN tokens a ON a.id = i JOIN tokens b ON b.id = j AND b.token = a.token GROUP BY i, j)",
+        "scored AS (SELECT i, j, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS similarity FROM joint JOIN sizes x ON x.id = i JOIN sizes y ON y.id = j)"],
+        "SELECT i AS template, row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j) AS rank, j AS similar_to, shared, similarity FROM scored "
+        f"WHERE 100 * similarity >= {IN.LEAST} QUALIFY rank <= {IN.TOP}")
+    o["template_vectors"] = with_([DOC_LINES, EMPTY_CACHE] + parse_ctes("d", "doc_lines") + [
+        "named AS (SELECT DISTINCT template FROM d_bt)",
+        f"tokens AS (SELECT template, token, count(*) AS tf FROM (SELECT template, unnest({words}) AS token FROM named) GROUP BY ALL)",
+        "total AS (SELECT count(DISTINCT template) AS m FROM tokens)",
+        "dfs AS (SELECT token, count(*) AS df FROM tokens GROUP BY token)"],
+        "SELECT template, token, tf, df, round(tf * (1 + ln(CAST(1 + m AS DOUBLE) / (1 + df))), 6) AS weight FROM tokens JOIN dfs USING (token), total")
     return o
 
 

@@ -87,7 +87,7 @@ def stream_parse_events(spark: SparkSession, sf_dir: str, batch_size: int = 16,
     return store.read("trace_logs", TRACE_SCHEMA)
 
 
-def _feed(spark: SparkSession, parts: list[DataFrame], root: str, run) -> None:
+def feed(spark: SparkSession, parts: list[DataFrame], root: str, run) -> None:
     """Add each part to the input folder and run the stream over it: the same
     checkpoint, so every call is a trigger that sees only the new files."""
     for part in parts:
@@ -105,7 +105,7 @@ def stream_parse_parts(spark: SparkSession, sf_dir: str, ends: list, batch_size:
     bounds = zip([None, *cuts], [*cuts, None])
     parts = [events.filter((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if b is None else F.col("ts") < b))
              for a, b in bounds]
-    _feed(spark, parts, root, lambda stream: parse_stream(
+    feed(spark, parts, root, lambda stream: parse_stream(
         events_to_log_lines(stream), store, f"{root}/checkpoint", run_ts, batch_size, min_tokens))
     return store.read("trace_logs", TRACE_SCHEMA)
 
@@ -168,6 +168,6 @@ def stream_level_counts_late(spark: SparkSession, sf_dir: str, split, window: st
     early = events.filter(F.col("ts") < F.lit(split).cast("timestamp"))
     late = early.withColumn("ts", (F.col("ts") - F.expr("INTERVAL 90 DAYS")).cast(events.schema["ts"].dataType))
     parts = [early, events.filter(F.col("ts") >= F.lit(split).cast("timestamp")), late]
-    _feed(spark, parts, root, lambda stream: run_level_counts(
+    feed(spark, parts, root, lambda stream: run_level_counts(
         events_to_log_lines(stream), store, f"{root}/checkpoint", window, watermark))
     return latest_window_counts(store.read("window_counts", WINDOW_SCHEMA))
