@@ -1,11 +1,15 @@
 """Substring dedup by sliding spans of consecutive sentences.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line's
-end. From each sentence a span runs over the next ones until it has at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; a sentence of ``LONG`` words
-is a span of its own. Spans are compared by a 64-bit hash of their words (A-Z
-lower-cased), over all documents. Every sentence covered by a repeated span goes,
-but for the span's first occurrence: first in the document of the smallest id.
+end. A span is a run of consecutive sentences that has at least ``MIN_SENTENCES``
+sentences and ``MIN_WORDS`` words and no shorter run at its beginning or at its
+end that has; a sentence of ``LONG`` words is a span of its own, and a text
+without any span is one as a whole. So the runs from each sentence on and the
+runs up to each sentence are all there, and the last sentences of a repeated
+passage are covered like the first. Spans are compared by a 64-bit hash of their
+words (A-Z lower-cased), over all documents. Every sentence covered by a repeated
+span goes, but for the span's first occurrence: first in the document of the
+smallest id.
 
 A first pass counts each span hash (partial counts before the shuffle, so a
 span of a third of all documents is one row for each task). A bitmap of fixed
@@ -56,9 +60,13 @@ def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, after = bounds[full], bounds[full + 1]
     sentence = run_hashes(hashes, first, after)
     size, upto = after - first, np.r_[first, after[-1:]]
-    a = np.arange(len(full))
-    b = np.where(size >= LONG, a + 1, np.maximum(a + MIN_SENTENCES, np.searchsorted(upto, first + MIN_WORDS)))
-    a, b = a[b <= len(full)], b[b <= len(full)]
+    each = np.arange(len(full))
+    ahead = np.where(size >= LONG, each + 1, np.maximum(each + MIN_SENTENCES, np.searchsorted(upto, first + MIN_WORDS)))
+    behind = np.where(size >= LONG, each, np.minimum(each + 1 - MIN_SENTENCES, np.searchsorted(upto, after - MIN_WORDS, side="right") - 1))
+    pair = np.r_[np.c_[each, ahead][ahead <= len(full)], np.c_[behind, each + 1][behind >= 0]]
+    if not len(pair) and len(full):
+        pair = np.array([[0, len(full)]])
+    a, b = np.unique(pair, axis=0).T if len(pair) else (each[:0], each[:0])
     return run_hashes(sentence, a, b).view(np.int64), full[a], full[b - 1] + 1
 
 
