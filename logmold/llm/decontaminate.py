@@ -7,6 +7,8 @@ densely that no three words are left in a row has no hit.) Seeds join the
 texts' trigrams; around each hit the item is aligned with the passage, and a
 score of 45 hundredths of a perfect one is a leak (unrelated texts reach 33).
 
+Items of one or two words are seeds as a whole, and have to be there whole.
+
 The join sends the items to the texts, in blocks of ``BLOCK_WORDS`` words: the
 texts never move, and a larger benchmark takes more rounds, not more memory.
 """
@@ -37,11 +39,6 @@ def plain_words(text: str | None) -> np.ndarray:
     return word_hashes(utf8(text.lower()), INSIDE) if text else np.empty(0, np.uint64)
 
 
-def grams(hashes: np.ndarray) -> np.ndarray:
-    """Trigrams; a shorter sequence is one gram as a whole."""
-    return ngrams(hashes, min(GRAM, len(hashes))) if len(hashes) else np.empty(0, np.uint64)
-
-
 def least_score(words: int) -> float:
     return max(SHARE * MATCH * words, min(words, LEAST) * MATCH)
 
@@ -69,32 +66,48 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return score, int(j), end
 
 
+class Seeds:
+    """Runs of ``n`` words of items, sorted by hash: item number and place of each."""
+
+    def __init__(self, n: int, numbers: list[int], words: list[np.ndarray]):
+        self.n = n
+        found = [ngrams(w, n) for w in words]
+        size = [len(g) for g in found]
+        seed, item = np.concatenate([np.empty(0, np.uint64), *found]), np.repeat(np.array(numbers, np.int64), size)
+        place = np.concatenate([np.empty(0, np.int64), *map(np.arange, size)])
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.item, self.place = seed[order], item[order], place[order]
+
+    def hits(self, words: np.ndarray):
+        """(place in the text, item number, place in the item) wherever they agree."""
+        g = ngrams(words, self.n)
+        low = np.searchsorted(self.seed, g)
+        hit = np.flatnonzero(np.append(self.seed, 0)[low] == g)
+        hit = hit[low[hit] < len(self.seed)]
+        for p in hit.tolist():
+            for s in range(low[p], np.searchsorted(self.seed, g[p], side="right")):
+                yield p, int(self.item[s]), int(self.place[s])
+
+
 class Items:
-    """A block of test items: words and seeds."""
+    """A block of test items: words and seeds, those of shorter items by their length."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
         self.words = [plain_words(t) for t in texts]
-        found = [grams(w) for w in self.words]
-        size = [len(g) for g in found]
-        self.seed = np.concatenate([np.empty(0, np.uint64), *found])
-        self.item = np.repeat(np.arange(len(size)), size)
-        self.place = np.concatenate([np.empty(0, np.int64), *map(np.arange, size)])
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w):
+                by_size.setdefault(min(len(w), GRAM), []).append(i)
+        self.seeds = [Seeds(n, numbers, [self.words[i] for i in numbers]) for n, numbers in sorted(by_size.items())]
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, score, first word, word after the last) of the best
         alignment of each item that reaches its least score."""
-        g = grams(words)
-        low = np.searchsorted(self.seed, g)
-        hit = np.flatnonzero(np.append(self.seed, 0)[low] == g)
-        hit = hit[low[hit] < len(self.seed)]
         around: dict[int, list[tuple[int, int]]] = {}
-        for p in hit.tolist():
-            for s in range(low[p], np.searchsorted(self.seed, g[p], side="right")):
-                i, m = int(self.item[s]), len(self.words[self.item[s]])
-                begin = p - int(self.place[s])
+        for seeds in self.seeds:
+            for p, i, place in seeds.hits(words):
+                m, begin = len(self.words[i]), p - place
                 # an alignment that scores enough has fewer gaps than the item has words
                 a, b = max(0, begin - m), min(len(words), begin + 2 * m)
                 spans = around.setdefault(i, [])
@@ -136,7 +149,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, -(-size // BLOCK_WORDS))
     found = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         block = Items(part["item_id"].to_pylist(), part["text"].to_pylist())
         shared = spark.sparkContext.broadcast(block)
 
