@@ -2,8 +2,9 @@
 
 A line goes down a tree of fixed depth: its number of words, then its first
 ``DEPTH`` words; words with a digit are variable fields. In a leaf, a word is
-constant at its place if at least ``MIN_DOCS`` lines of the leaf have it there,
-else a variable field. A line whose constants make up ``CONSTANT`` of its words
+constant at its place if at least ``MIN_DOCS`` lines of the leaf have it there, and
+``SUPPORT`` hundredths of them, else a variable field: a share, so that the values
+of a field don't become constants as the leaf grows. A line whose constants make up ``CONSTANT`` of its words
 belongs to the template of those constants; any other line is its own template.
 A template found in at least ``MIN_DOCS`` documents is recurring: its lines are
 dropped, but for those of the first document (smallest id) that has it, so that
@@ -28,6 +29,8 @@ DEPTH = 3
 MIN_DOCS = 3
 #: Share of constant words, in hundredths, from which a line is generalised.
 CONSTANT = 60
+#: Share of a leaf's lines, in hundredths, from which a word is constant at its place.
+SUPPORT = 1
 #: Lines of fewer words are left alone: headings, and words on lines of their own.
 MIN_WORDS = 3
 #: Bits of the leaf filter: 2^17 words of 64 bits, 2 MB when broadcast.
@@ -90,7 +93,9 @@ def templates(docs: DataFrame) -> DataFrame:
     distinct = stash(lines.groupBy("l1", "l2").agg(F.count("*").alias("m"), F.first("leaf").alias("leaf"),
                                                    F.first("n").alias("n"), F.first("words").alias("words")), "distinct")
     placed = distinct.select("l1", "l2", "leaf", "m", F.posexplode("words").alias("place", "word")).where(F.col("place") >= DEPTH)
-    constant = placed.groupBy("leaf", "place", "word").agg(F.sum("m").alias("support")).where(F.col("support") >= MIN_DOCS)
+    sizes = distinct.groupBy("leaf").agg(F.sum("m").alias("size"))
+    constant = placed.groupBy("leaf", "place", "word").agg(F.sum("m").alias("support")).where(F.col("support") >= MIN_DOCS) \
+        .join(sizes, "leaf").where(100 * F.col("support") >= SUPPORT * F.col("size"))
     fixed = placed.join(constant.select("leaf", "place", "word"), ["leaf", "place", "word"]).groupBy("l1", "l2").agg(
         F.count("*").alias("c"), F.bit_xor(F.xxhash64("place", "word")).alias("x1"), F.bit_xor(F.xxhash64("word", "place", F.lit(5))).alias("x2"))
     whole = 100 * (F.least(F.col("n"), F.lit(DEPTH)) + F.coalesce("c", F.lit(0))) >= CONSTANT * F.col("n")

@@ -22,10 +22,11 @@ leaves as (
 often as (select * from leaves qualify count(*) over (partition by leaf) >= 3),
 places as (
   select doc_id, pos, leaf, unnest(words[4:]) as word, unnest(range(3, n)) as place from often where n > 3),
-supported as (select *, count(*) over (partition by leaf, place, word) as support from places),
+supported as (
+  select *, count(*) over (partition by leaf, place, word) as support, count(*) over (partition by leaf, place) as size from places),
 constants as (
   select doc_id, pos, count(*) as c, string_agg(place || ':' || word, ' ' order by place) as fixed
-  from supported where support >= 3 group by doc_id, pos),
+  from supported where support >= 3 and 100 * support >= size group by doc_id, pos),
 templates as (
   select o.doc_id, o.pos,
          case when 100 * (3 + coalesce(c, 0)) >= 60 * n then 't ' || leaf || ' | ' || coalesce(fixed, '')
