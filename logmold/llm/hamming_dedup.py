@@ -1,7 +1,7 @@
 """Near duplicates by a multi-index Hamming join of b-bit MinHash signatures.
 
 A document's set is its distinct 5-word shingles. Documents are linked when
-``100 * intersection >= 85 * union``; groups are the connected components.
+``100 * intersection >= least * union``; groups are the connected components.
 
 1. Each text gets a digest of its set and a signature of ``CHUNKS * WIDTH``
    symbols, the low 8 bits of as many MinHash values. Equal sets are one class.
@@ -9,7 +9,8 @@ A document's set is its distinct 5-word shingles. Documents are linked when
    wrong symbol in a chunk is enumerated by leaving out each of its symbols in
    turn. By the pigeonhole principle two signatures that differ in at most
    ``CHUNKS * (ERRORS + 1) - 1 = 23`` of the 84 symbols agree on one of these
-   keys. (At a similarity of 0.85 a pair shares none with a chance of 3e-7.)
+   keys. (At a similarity of 0.85 a pair shares none with a chance of 3e-7, at
+   0.80 of 3e-5; below that the signature is too short.)
 3. Classes that meet under a key are compared by signature distance, a block
    of a key's members against a block at a time. A task gives a spanning
    forest of the pairs within ``LIMIT``, never the pairs: its output is linear
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from logmold.llm.common import components, groups_of, lower_hashes, map_batches, mix, prepare, shingles, stash, texts, whole_rows
 
 SHINGLE = 5
+#: Similarity of a link, in hundredths, unless given.
+LEAST = 85
 CHUNKS, WIDTH, ERRORS = 12, 7, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Distance up to which classes that share a key are taken to one family.
@@ -119,31 +122,46 @@ def near_by_signature(sig: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return far <= limit
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
-    """Symmetric boolean matrix: sets with 100 * intersection >= 85 * union, by
-    an inverted index over all their shingles."""
+def set_forest(sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """(member, root) of the groups that links make, roots left out: sets are
+    linked with 100 * intersection >= least * union.
+
+    From each new root on, a set is compared with those that are still left, by
+    an inverted index over their shingles, which is built anew when half of
+    them are gone. What it links to is left no more: a group of near copies
+    goes in one step, and memory is that of the shingles, never of pairs.
+    """
     n = np.array([len(s) for s in sets], np.int64)
-    near = np.zeros((len(sets), len(sets)), bool)
-    everything = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    order = np.argsort(everything, kind="stable")
-    values, owner = everything[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    counts = np.diff(np.r_[starts, len(values)])
-    keep = counts > 1
-    starts, counts, distinct = starts[keep], counts[keep], values[starts[keep]]
-    for i, s in enumerate(sets):
-        at = np.searchsorted(distinct, s)
-        at = at[np.append(distinct, 0)[at] == s] if len(distinct) else at[:0]
-        at = at[at < len(distinct)]
-        c = counts[at]
-        if not len(c):
+    left = np.ones(len(sets), bool)
+    out: list[tuple[int, int]] = []
+    rest, indexed = len(sets), 0
+    values = starts = counts = owner = np.empty(0, np.int64)
+    for start in range(len(sets)):
+        if not left[start]:
             continue
-        steps = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        both = np.bincount(owner[np.repeat(starts[at], c) + steps], minlength=len(sets))
-        near[i] = 100 * both >= 85 * (n + n[i] - both)
-        near[i, i] = False
-    return near | near.T
+        left[start], todo = False, [start]
+        rest -= 1
+        while todo and rest:
+            if 2 * rest < indexed or not indexed:
+                held = np.flatnonzero(left)
+                everything, owner = np.concatenate([sets[i] for i in held]), np.repeat(held, n[held])
+                order = np.argsort(everything, kind="stable")
+                everything, owner = everything[order], owner[order]
+                starts = np.flatnonzero(np.r_[True, everything[1:] != everything[:-1]])
+                values, counts, indexed = everything[starts], np.diff(np.r_[starts, len(everything)]), rest
+            i = todo.pop()
+            at = np.searchsorted(values, sets[i])
+            at = at[np.append(values, 0)[at] == sets[i]]
+            at = at[at < len(values)]
+            c = counts[at]
+            steps = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            met, both = np.unique(owner[np.repeat(starts[at], c) + steps], return_counts=True)
+            found = met[left[met] & (100 * both >= least * (n[met] + n[i] - both))]
+            left[found] = False
+            rest -= len(found)
+            out += [(int(x), start) for x in found]
+            todo += found.tolist()
+    return out
 
 
 def _edges(cids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
@@ -162,13 +180,16 @@ def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _pairs(out)
 
 
-def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    for group in groups_of(batches, ["family", "bi", "bj"]):
-        if group.num_rows > 1:
-            sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
-            out += _edges(group["cid"].to_numpy(), linked(sets))
-    yield _pairs(out)
+def _by_sets(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in groups_of(batches, ["family", "bi", "bj"]):
+            if group.num_rows > 1:
+                cids = group["cid"].to_numpy()
+                out += [(int(cids[a]), int(cids[b])) for a, b in set_forest([np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()], least)]
+        yield _pairs(out)
+
+    return run
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -194,9 +215,9 @@ def _wanted(spark, keys: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``k1, k2, doc_id, n_shingles, component_id, kept, keeper`` per row of
-    ``docs (doc_id, text)``.
+    ``docs (doc_id, text)``. ``least`` is from 80 on.
 
     ``component_id`` is the smallest ``doc_id`` of the group; ``kept`` says
     whether the row's id is that; ``keeper`` marks the rows of exactly one
@@ -251,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = map_batches(texts(docs), grams, "k1 long, k2 long, grams binary")
     by = ["family", "bi", "bj"]
     links = (_blocks(members.join(sets, ["k1", "k2"]), "nb").select(*by, "cid", "grams")
-             .repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(_by_sets, "u long, v long"))
+             .repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(_by_sets(least), "u long, v long"))
     roots = components(links, "links")
 
     # the group's row and id for each class, then for each row
@@ -268,9 +289,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.lit(True).alias("kept"), F.lit(True).alias("keeper")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each near-duplicate group, with
     all their columns. Repeated rows are one; texts without words all stay,
     each (id, text) once."""
-    stay = near_duplicates(docs).where("keeper").select("k1", "k2").distinct()
+    stay = near_duplicates(docs, least).where("keeper").select("k1", "k2").distinct()
     return whole_rows(docs).join(stay, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
