@@ -26,7 +26,7 @@ def shingle_set(text: str | None, n: int = 5) -> frozenset:
     return frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def near_groups(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+def near_groups(docs: dict[int, str | None], least=85) -> dict[int, tuple[int, int]]:
     """doc_id -> (set size, smallest doc_id reachable): every pair compared."""
     sets = {i: shingle_set(t) for i, t in docs.items()}
     root = {i: i for i in docs}
@@ -39,9 +39,9 @@ def near_groups(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
     ids = sorted(docs)
     for k, a in enumerate(ids):
         for b in ids[k + 1:]:
-            if sets[a] and sets[b] and len(sets[a]) * 100 >= 85 * len(sets[b]) and len(sets[b]) * 100 >= 85 * len(sets[a]):
+            if sets[a] and sets[b] and len(sets[a]) * 100 >= least * len(sets[b]) and len(sets[b]) * 100 >= least * len(sets[a]):
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((find(a), find(b)))
                     root[y] = x
     return {i: (len(sets[i]), find(i)) for i in docs}
@@ -60,7 +60,7 @@ def dropped_lines(docs: dict[int, str | None], depth=3, least=3, share=60, short
     template, where = {}, collections.defaultdict(set)
     for d, pos, w, leaf in lines:
         if size[leaf] >= least:
-            fixed = tuple((k, w[k]) for k in range(depth, len(w)) if support[(leaf, k, w[k])] >= least)
+            fixed = tuple((k, w[k]) for k in range(depth, len(w)) if support[(leaf, k, w[k])] >= max(least, 0.01 * size[leaf]))
             whole = 100 * (min(depth, len(w)) + len(fixed)) >= share * len(w)
             template[d, pos] = t = (leaf, fixed) if whole else tuple(w)
             where[t].add(d)
@@ -90,16 +90,17 @@ def removed_sentences(docs: dict[int, str | None], least=2, least_words=24, long
     where = collections.defaultdict(list)
     for d in sorted(docs):
         full = [(i, w) for i, s in enumerate(sentence_list(docs[d])) if (w := words(lower(s)))]
-        for a in range(len(full)):
-            b, n = a, 0
-            if len(full[a][1]) >= long:
-                b = a + 1
-            else:
-                while b < len(full) and (b - a < least or n < least_words):
-                    n += len(full[b][1])
-                    b += 1
-                if b - a < least or n < least_words:
-                    continue
+        size = [len(w) for _, w in full]
+        enough = lambda a, b: b - a >= least and sum(size[a:b]) >= least_words
+        runs = set()
+        for k in range(len(full)):
+            ahead = next((b for b in range(k + 1, len(full) + 1) if size[k] >= long or enough(k, b)), None)
+            behind = next((a for a in range(k, -1, -1) if size[k] >= long or enough(a, k + 1)), None)
+            runs |= {(k, ahead)} if ahead is not None else set()
+            runs |= {(behind, k + 1)} if behind is not None else set()
+        if full and not runs:
+            runs = {(0, len(full))}
+        for a, b in sorted(runs):
             where[tuple(tuple(w) for _, w in full[a:b])].append((d, full[a][0], full[b - 1][0] + 1))
     gone = {d: set() for d in docs}
     for places in where.values():

@@ -173,7 +173,7 @@ def test_pipeline(spark, con, encoder):
     off = brute.dropped_lines(docs)
     docs = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in off[d]) for d, t in docs.items()}
     docs = {d: t for d, t in docs.items() if not off[d] or brute.words(t)}
-    groups = brute.near_groups(docs)
+    groups = brute.near_groups(docs, 80)
     docs = {d: t for d, t in docs.items() if groups[d][1] == d}
     items = dict(con.execute("select item_id, text from benchmark").fetchall())
     gone = {d for d, _ in brute.leaks(docs, items)}

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from logmold.llm.credential_links import KINDS, ROLE, SCOPE, find_secrets, parts
 from logmold.llm.decontaminate import find_leaks
+from logmold.llm.hamming_dedup import near_duplicates, set_forest
+from logmold.llm.line_templates import drop_templates
 from logmold.llm.robust_rules import judge
 
 rng = random.Random(11)
@@ -75,3 +78,47 @@ def test_parts_longer_than_the_scope_are_linked(spark):
     want = {i: linked(t) for i, t in enumerate(texts)}
     assert any(want.values()) and not all(want.values())
     assert got == want
+
+
+def test_items_of_one_two_and_three_words(spark):
+    items = {1: "photosynthesis", 2: "Hello world", 3: "alpha beta gamma", 4: "", 5: "...", 6: "not there", 7: "x"}
+    texts = {10: "On photosynthesis, and more", 11: "we say hello WORLD to all", 12: "hello big world", 13: "so alpha beta gamma", 14: "alpha beta", 15: "world hello",
+             16: "x", 17: "", 18: "hello world, hello world x"}
+    want = brute.leaks(texts, items)
+    assert want == {(10, 1), (11, 2), (13, 3), (16, 7), (18, 2), (18, 7)}
+    got = find_leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+                     spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("n", [1000, 20_000])
+def test_share_of_template_lines_found_at_any_size(spark, n):
+    """A line of two fields with a thousand values each, once in each document."""
+    r = random.Random(n)
+    docs = [(i, f"Posted on Monday by {VOCABULARY[r.randrange(1000)]} in {VOCABULARY[1000 + r.randrange(1000)]} section") for i in range(n)]
+    got = drop_templates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert got.where("size(dropped_lines) = 1").count() == n - 1
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_links_at_a_given_similarity(spark, least):
+    r = random.Random(least)
+    docs = {}
+    for g in range(25):
+        words = [r.choice(VOCABULARY) for _ in range(r.randint(20, 60))]
+        for k in range(4):
+            docs[g * 10 + k] = " ".join(words)
+            words = words[:r.randint(len(words) * 8 // 10, len(words))] + [r.choice(VOCABULARY)] * r.randint(0, 2)
+    want = brute.near_groups(docs, least)
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), least).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_many_short_near_copies_in_one_block():
+    """A hundred thousand sets of ten shingles in one family: one step, no pairs."""
+    base = np.arange(11, dtype=np.uint64) * np.uint64(1 << 40)
+    sets = [np.sort(np.r_[base, np.uint64(k + 1)]) for k in range(100_000)]
+    out = set_forest(sets, 80)
+    assert len(out) == len(sets) - 1 and {root for _, root in out} == {0}
+    far = [np.arange(10, dtype=np.uint64) + np.uint64(100 * k) for k in range(300)]
+    assert set_forest(far + far[:2], 85) == [(300, 0), (301, 1)]
