@@ -203,41 +203,22 @@ class _Counting:
         return {"word": word, "n": [times[i] for i in at.tolist()]} if word else None
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """Hash of each word, as :func:`pretokens` gives it."""
-    out = [np.empty(0, np.uint64)]
-    for i in range(0, len(words), 1 << 14):
-        part = words[i:i + (1 << 14)]
-        end = np.cumsum([len(w) for w in part])
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        out.append(run_hashes(VALUE[codes], np.r_[0, end[:-1]], end))
-    return np.concatenate(out)
-
-
-def _spelled():
-    def work(batch: pa.RecordBatch) -> dict:
-        words = batch["word"].to_pylist()
-        return {"n": batch["n"], "ids": batch["ids"], "hash": hashes(words).view(np.int64),
-                "codes": [w.encode("utf-32-le", "surrogatepass") for w in words]}
-
-    return work
-
-
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the values of a column of packed 32-bit numbers, and these end to end."""
-    sizes = pc.binary_length(column).to_numpy().astype(np.int64) // 4
+    """Sizes in bytes of the values of a column of text or bytes, and these end to end."""
     held = [np.frombuffer(c.buffers()[2] or b"", np.uint8)[(o := np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset))[0]:o[-1]]
             for c in column.chunks if len(c)]
-    return sizes, np.concatenate([np.empty(0, np.uint8), *held]).view(np.uint32)
+    return pc.binary_length(column).to_numpy(), np.concatenate([np.empty(0, np.uint8), *held])
 
 
 class Hot:
     """The frequent words, most frequent first: number by hash, ids and
     characters by number. Of words with equal hashes only the first is in it."""
 
-    def __init__(self, hashed: np.ndarray, size: np.ndarray, flat: np.ndarray, length: np.ndarray, codes: np.ndarray):
-        self.size, self.flat, self.length, self.codes = size, flat, length.astype(np.int64), codes
-        self.start, self.begin = np.cumsum(size) - size, np.cumsum(self.length) - self.length
+    def __init__(self, size: np.ndarray, flat: np.ndarray, length: np.ndarray, text: bytes):
+        self.size, self.flat, self.length = size.astype(np.int64), flat, length.astype(np.int64)
+        self.start, self.begin = np.cumsum(self.size) - self.size, np.cumsum(self.length) - self.length
+        self.codes = np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        hashed = run_hashes(VALUE[self.codes], self.begin, self.begin + self.length)
         once = np.sort(np.unique(hashed, return_index=True)[1])
         self.index, self.once = pd.Index(hashed[once]), np.append(once, -1)
 
@@ -327,12 +308,11 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         return make
 
     counted = stash(map_batches(rows.select("text"), _Counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # The driver holds the table in arrays only: tasks have hashed and spelled out its words.
-    table = map_batches(map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary"), _spelled,
-                        "n long, hash long, ids binary, codes binary").toArrow().sort_by([("n", "descending")])
+    # The driver holds the table in arrays only, and sends words and ids; tasks hash the words.
+    table = map_batches(frequent(counted, "n", HOT_WORDS), encode_rows("word n"), "word string, n long, ids binary").toArrow().sort_by([("n", "descending")])
     size, flat = _flat(table["ids"])
-    length, codes = _flat(table["codes"])
-    hot = spark.sparkContext.broadcast((table["hash"].to_numpy().view(np.uint64), size, flat, length, codes))
+    hot = spark.sparkContext.broadcast(((size // 4).astype(np.int32), flat.view(np.uint32), pc.utf8_length(table["word"]).to_numpy().astype(np.int32),
+                                        _flat(table["word"])[1].tobytes()))
     del table
 
     def cold():
