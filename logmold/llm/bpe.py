@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -212,19 +213,29 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 class Hot:
     """The frequent words, most frequent first: number by hash, ids and
-    characters by number. Of words with equal hashes only the first is in it."""
+    characters by number. Of words with equal hashes only the first is in it.
+    Characters and hashes are built when a word is first looked up: tasks that
+    only go from numbers to ids do without."""
 
     def __init__(self, size: np.ndarray, flat: np.ndarray, length: np.ndarray, text: bytes):
-        self.size, self.flat, self.length = size.astype(np.int64), flat, length.astype(np.int64)
-        self.start, self.begin = np.cumsum(self.size) - self.size, np.cumsum(self.length) - self.length
-        self.codes = np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size, self.flat, self.length, self.text = size, flat, length, text
+        self.start, self.begin = ((np.cumsum(x) - x).astype(np.int32) for x in (size, length))
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.frombuffer(self.text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    @cached_property
+    def places(self) -> tuple[pd.Index, np.ndarray]:
+        """Distinct hashes, and the number of the word at each, then -1."""
         hashed = run_hashes(VALUE[self.codes], self.begin, self.begin + self.length)
         once = np.sort(np.unique(hashed, return_index=True)[1])
-        self.index, self.once = pd.Index(hashed[once]), np.append(once, -1)
+        return pd.Index(hashed[once]), np.append(once, -1).astype(np.int32)
 
     def find(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Number of each word ``codes[start:end]`` with hash ``h``, -1 where it isn't in the table."""
-        n = self.once[self.index.get_indexer(h)]
+        index, numbers = self.places
+        n = numbers[index.get_indexer(h)]
         at = np.flatnonzero(n >= 0)
         at = at[self.length[n[at]] == (end - start)[at]]
         size = self.length[n[at]]
@@ -277,8 +288,34 @@ def assemble(codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, ids: np.n
     return out, size
 
 
-def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``k1, k2, doc_id, ids array<int>`` for each row of ``docs (doc_id, text)``.
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and start of each id's bytes (size -1: no such id), and all bytes."""
+    size = np.full(max(ranks.values()) + 1, -1, np.int64)
+    for token, i in ranks.items():
+        size[i] = len(token)
+    known = np.maximum(size, 0)
+    return size, np.cumsum(known) - known, np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+
+def decoder(size: np.ndarray, start: np.ndarray, data: np.ndarray) -> Callable[[pa.Array], pa.Array]:
+    """From lists of ids to the bytes of their tokens, end to end."""
+
+    def decoded(lists: pa.Array) -> pa.Array:
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+            raise ValueError("an id that the vocabulary lacks")
+        each = np.r_[0, np.cumsum(size[ids])]
+        upto = np.r_[0, np.cumsum([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()])].astype(np.int64)
+        text = data[spread(start[ids], size[ids])].tobytes()
+        ends = each[upto].tolist()
+        return pa.array([text[a:b] if x else None for a, b, x in zip(ends, ends[1:], lists.is_valid().to_pylist())], pa.binary())
+
+    return decoded
+
+
+def encode(docs: DataFrame, ranks_path: str, with_decoded: bool = False) -> DataFrame:
+    """``k1, k2, doc_id, ids array<int>`` for each row of ``docs (doc_id, text)``;
+    ``with_decoded`` adds ``decoded`` as :func:`decode` does, in the same pass.
 
     Special tokens aren't recognised. Null and empty texts have no ids;
     repeated rows get the same ids; an empty table gives no rows. A text may
@@ -287,7 +324,9 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    vocabulary = read_ranks(ranks_path)
+    ranks = spark.sparkContext.broadcast(vocabulary)
+    tokens = spark.sparkContext.broadcast(token_bytes(vocabulary)) if with_decoded else None
     rows = texts(docs)
 
     def encode_rows(key: str):
@@ -341,6 +380,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     def whole():
         table, unpack = _loaded(hot), zstandard.ZstdDecompressor().decompress
+        back = decoder(*tokens.value) if tokens else None
 
         def work(batch: pa.RecordBatch) -> dict:
             codes = [np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
@@ -355,8 +395,9 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
             ids, size = assemble(np.concatenate([np.empty(0, np.int32), *codes]), places, np.array([len(x) // 4 for x in other], np.int64),
                                  np.frombuffer(b"".join(other), np.uint32), table)
             ends = np.r_[0, np.cumsum(size)][first].astype(np.int32)
-            return {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"],
-                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))}
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+            out = {"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "ids": lists}
+            return out | {"decoded": back(lists)} if back else out
 
         return work
 
@@ -366,7 +407,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         encode_rows("k1 k2 place"), "k1 long, k2 long, place int, ids binary",
     ).repartition("k1", "k2").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
     joined = map_batches(rows, numbered, "k1 long, k2 long, doc_id long, codes binary").join(others, ["k1", "k2"], "left")
-    return map_batches(joined, whole, "k1 long, k2 long, doc_id long, ids array<int>")
+    return map_batches(joined, whole, "k1 long, k2 long, doc_id long, ids array<int>" + (", decoded binary" if with_decoded else ""))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -375,33 +416,19 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     ids give no bytes; an id that the vocabulary lacks is an error."""
     spark = encoded.sparkSession
     prepare(spark)
-    ranks = read_ranks(ranks_path)
-    size = np.full(max(ranks.values()) + 1, -1, np.int64)
-    for token, i in ranks.items():
-        size[i] = len(token)
-    data = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
-    shared = spark.sparkContext.broadcast((size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), data))
+    shared = spark.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, start, data = shared.value
+        back = decoder(*shared.value)
         for batch in batches:
-            ids = batch["ids"].flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
-                raise ValueError("an id that the vocabulary lacks")
-            each = np.r_[0, np.cumsum(size[ids])]
-            upto = np.r_[0, np.cumsum([0 if n is None else n for n in pc.list_value_length(batch["ids"]).to_pylist()])].astype(np.int64)
-            text = data[spread(start[ids], size[ids])].tobytes()
-            ends = each[upto].tolist()
-            out = [text[a:b] if x else None for a, b, x in zip(ends, ends[1:], batch["ids"].is_valid().to_pylist())]
-            yield batch.append_column("decoded", pa.array(out, pa.binary()))
+            yield batch.append_column("decoded", back(batch["ids"]))
 
     return encoded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
-    both = decode(encode(docs, ranks_path), ranks_path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return encode(docs, ranks_path, with_decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
