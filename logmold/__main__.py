@@ -149,6 +149,8 @@ def main(argv: list[str] | None = None) -> int:
         docs = TR.leaf_documents(leaves, TR.tree_instances(lines, args.instance_limit), TR.tree_examples(lines),
                                  TR.tree_debug(lines) if args.debug else None)
         TR.leaf_json(docs).write.mode("overwrite").parquet(args.out)
+        if args.debug:
+            TR.tree_debug(lines).write.mode("overwrite").parquet(f"{args.out}_debug")
         if args.state:
             store = ST.EpochTables(spark, args.state)
             rows = spark.read.parquet(args.out)

@@ -11,7 +11,7 @@ runs on distinct batches, never on every line.
   ``mapInPandas`` over Arrow batches; output extraction and normalisation
   stay JVM-side. Any exception on a batch falls back to the heuristic.
 * ``CallableGenerator``: a user ``lines -> template`` callable (the plain
-  parser contract: raw output echoes the template).
+  parser contract: raw output echoes the template), such as ``common_words``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmold.functions.text import (
+    PLACEHOLDER,
     build_prompt,
     extract_template,
     heuristic_template,
@@ -150,3 +151,10 @@ class CallableGenerator(TemplateGenerator):
                 })
 
         return misses.select("cache_key", "texts").mapInPandas(run, GENERATED_SCHEMA)
+
+
+def common_words(lines: list) -> str:
+    """A template from all lines of a batch: at each place the word that all of
+    them have there, else the placeholder; as many places as the shortest line has."""
+    places = zip(*(line.split() for line in lines))
+    return " ".join(words[0] if len(set(words)) == 1 else PLACEHOLDER for words in places)

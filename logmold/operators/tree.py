@@ -139,7 +139,10 @@ def _utc_iso(ts: Column, session_tz: str) -> Column:
 
 def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
                    debug: DataFrame | None = None) -> DataFrame:
-    """One JSON-ready struct per leaf (bounded arrays only)."""
+    """One JSON-ready struct per leaf (bounded arrays only). With the
+    rows of :func:`tree_debug` it has the number of the leaf's cluster ids and at
+    most ``RAW_OUTPUTS_PER_LEAF`` raw outputs; the ids themselves, of which a
+    general template may have any number, stay rows."""
     tz = leaves.sparkSession.conf.get("spark.sql.session.timeZone")
     inst = instances.groupBy(*LEAF).agg(
         F.array_sort(F.collect_list(F.struct(
@@ -160,12 +163,12 @@ def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
     ]
     if debug is not None:
         dbg = debug.groupBy(*LEAF).agg(
-            F.array_sort(F.collect_set(F.when(F.col("kind") == "cluster_id", F.col("value")))).alias("cluster_ids"),
+            F.count_if(F.col("kind") == "cluster_id").alias("cluster_count"),
             F.array_sort(F.collect_set(F.when(F.col("kind") == "raw_slm_output", F.col("value")))).alias("raw_slm_outputs"),
         )
         joined = joined.join(dbg, LEAF, "left")
         fields.append(F.struct(
-            F.coalesce("cluster_ids", F.array()).alias("cluster_ids"),
+            F.coalesce("cluster_count", F.lit(0)).alias("cluster_count"),
             F.col("cache").alias("cache_hit"), F.col("slm").alias("cache_miss"),
             F.coalesce("raw_slm_outputs", F.array()).alias("raw_slm_outputs"),
         ).alias("debug"))
@@ -213,7 +216,8 @@ LEAF_SCHEMA = (
     "instances ARRAY<STRUCT<original_log: STRING, source: STRING, batch_id: BIGINT, cluster_id: STRING, "
     "masked: STRING, in_current_batch: BOOLEAN>>, "
     "instances_total BIGINT, instances_truncated BOOLEAN, omitted_instances BIGINT, example_logs ARRAY<STRING>, "
-    "debug STRUCT<cluster_ids: ARRAY<STRING>, cache_hit: BIGINT, cache_miss: BIGINT, raw_slm_outputs: ARRAY<STRING>>"
+    "debug STRUCT<cluster_ids: ARRAY<STRING>, cluster_count: BIGINT, cache_hit: BIGINT, cache_miss: BIGINT, "
+    "raw_slm_outputs: ARRAY<STRING>>"
 )
 TREE_DOC_SCHEMA = (
     "generated_at STRING, latest_batch_id BIGINT, show_current_batch BOOLEAN, debug_mode BOOLEAN, "

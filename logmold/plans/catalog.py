@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 
 from logmold.functions import text as T
 from logmold.operators import anomaly as AN
+from logmold.operators import distinct as D
 from logmold.operators import incidents as IN
 from logmold.operators import parameters as PA
 from logmold.operators import stats as S
 from logmold.operators import trace as R
 from logmold.operators import tree as TR
 from logmold.operators.batching import assign_batches, clusters_from_blocks, cluster_blocks, collect_batches, with_signature
-from logmold.operators.generators import ModelGenerator
+from logmold.operators.generators import CallableGenerator, ModelGenerator, common_words
 from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
 from logmold.sources import lines as L
 from logmold.session import scratch_path, stash
 from logmold.sources import store as ST
+from logmold.sources import variants as V
 
 # Parameters of the registered queries (fixed; the reference uses wall-clock time).
 BATCH_SIZE = 16
@@ -287,11 +289,11 @@ def q_tree_json(spark, sf_dir):
     return TR.leaf_json(docs)
 
 
-def _tree_rows(r, run_ts):
+def _tree_rows(r, run_ts, debug=False):
     latest = r.batch_count()
     lines = TR.tree_lines(r.logs, latest)
     docs = TR.leaf_documents(TR.tree_leaves(lines, S.template_stats_of(r.batches, run_ts), latest, True, INSTANCE_LIMIT),
-                             TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines))
+                             TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines), TR.tree_debug(lines) if debug else None)
     return TR.leaf_json(docs), latest
 
 
@@ -330,7 +332,8 @@ def q_stats_persisted(spark, sf_dir):
 
 EVENT_SCHEMA = ("level STRING, logger STRING, message STRING, ts STRING, batch_id BIGINT, cluster_id STRING, "
                 "number_of_logs BIGINT, cache_key STRING, source STRING, slm_raw_output STRING, "
-                "total_logs BIGINT, batch_count BIGINT, template_count BIGINT")
+                "total_logs BIGINT, batch_count BIGINT, template_count BIGINT, logs ARRAY<STRUCT<text: STRING, "
+                "template: STRING, source: STRING, level: STRING, event_type: STRING, masked: STRING>>")
 
 
 def q_event_log(spark, sf_dir):
@@ -340,8 +343,8 @@ def q_event_log(spark, sf_dir):
     path = scratch_path(spark, "events")
     R.write_events(r.batches, path, RUN_TS)
     ev = spark.read.schema(EVENT_SCHEMA).json(path)
-    return ev.select("message", "ts", "batch_id", "cluster_id", "number_of_logs", "source",
-                     "total_logs", "batch_count", "template_count")
+    return ev.select("level", "logger", "message", "ts", "batch_id", "cluster_id", "number_of_logs", "cache_key", "source",
+                     "slm_raw_output", "total_logs", "batch_count", "template_count", F.to_json("logs").alias("logs_json"))
 
 
 def q_run_trace_json(spark, sf_dir):
@@ -394,6 +397,12 @@ def q_pluggable_parser(spark, sf_dir):
     return r.batches.select("batch_id", "cache_key", "source", "template")
 
 
+def q_common_words_parser(spark, sf_dir):
+    """P1 with a plain callable: the words that all lines of a batch share."""
+    r = _parse(spark, sf_dir, generator=CallableGenerator(common_words))
+    return r.batches.select("batch_id", "cache_key", "source", "template")
+
+
 # --- streaming ------------------------------------------------------------------
 
 def q_stream_parse(spark, sf_dir):
@@ -586,6 +595,45 @@ def q_template_vectors(spark, sf_dir):
     return IN.template_vectors(tokens, fitted, tokens.select("template").distinct().count())
 
 
+# --- distinct counts over runs, snapshots of any shape ----------------------------
+
+def q_distinct_over_runs(spark, sf_dir):
+    """A1 + U3: distinct templates, clusters and lines of both runs, of the
+    first, of the second, in both and new, from the sketches that each run left."""
+    first, _, second = _two_runs(spark, sf_dir)
+    store = ST.EpochTables(spark, scratch_path(spark, "sketches"))
+    for run in (first, second):
+        latest = D.append_sketches(store, D.run_sketches(run.logs))
+    return D.distinct_over_runs(store, latest)
+
+
+def _snapshot_documents(spark, sf_dir):
+    """Both runs' snapshots in one table of VARIANT documents, those of the
+    second with debug values, which the first lacks."""
+    first, _, second = _two_runs(spark, sf_dir)
+    store = ST.EpochTables(spark, scratch_path(spark, "documents"))
+    for sid, (run, ts, debug) in enumerate([(first, HISTORY_RUN_TS, False), (second, RUN_TS, True)], start=1):
+        rows, latest = _tree_rows(run, ts, debug)
+        V.append_documents(store, V.documents(ST.snapshot_rows(rows, sid, ts, latest, run.line_count())))
+    return V.load_documents(store)
+
+
+def q_snapshot_documents(spark, sf_dir):
+    """Values of all snapshots by path, without a schema of the documents."""
+    found = V.values(_snapshot_documents(spark, sf_dir), {
+        "template_text": ("$.template_text", "string"), "count": ("$.count", "bigint"), "cache": ("$.source.cache", "bigint"),
+        "cache_pct": ("$.source.cache_pct", "double"), "cache_hit": ("$.debug.cache_hit", "bigint"),
+        "clusters": ("$.debug.cluster_count", "bigint"), "first_log": ("$.instances[0].original_log", "string"),
+        "_instances": ("$.instances", "array<variant>")})
+    return found.select("snapshot_id", "batch_id", "total_logs", "level", "event_type", "template_text", "count", "cache", "cache_pct",
+                        "cache_hit", "clusters", "first_log", F.size("_instances").cast("long").alias("instances"))
+
+
+def q_snapshot_shapes(spark, sf_dir):
+    """The keys of each snapshot's documents, with their kinds."""
+    return V.shapes(_snapshot_documents(spark, sf_dir), "snapshot_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_text_lines": q_source_text_lines,
     "log_signature": q_log_signature,
@@ -651,4 +699,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar_incidents": q_similar_incidents,
     "similar_templates": q_similar_templates,
     "template_vectors": q_template_vectors,
+    "common_words_parser": q_common_words_parser,
+    "distinct_over_runs": q_distinct_over_runs,
+    "snapshot_documents": q_snapshot_documents,
+    "snapshot_shapes": q_snapshot_shapes,
 }

@@ -310,11 +310,13 @@ def build() -> dict[str, str]:
     o["stats_persisted"] = with_(two_run_ctes(), "SELECT * FROM merged")
     run_ts_text = C.RUN_TS.replace(" ", "T")
     o["event_log"] = with_(single, (
-        f"SELECT 'batch_processed' AS message, '{run_ts_text}' AS ts, batch_id, cluster_id, "
-        "CAST(number_of_logs AS BIGINT) AS number_of_logs, source, CAST(NULL AS BIGINT) AS total_logs, "
-        "CAST(NULL AS BIGINT) AS batch_count, CAST(NULL AS BIGINT) AS template_count FROM r_bt "
-        f"UNION ALL SELECT 'run_completed', '{run_ts_text}', NULL, NULL, NULL, NULL, count(*), "
-        "CAST(coalesce(max(batch_id), 0) AS BIGINT), count(DISTINCT template) FROM r_logs"))
+        f"SELECT 'INFO' AS level, 'logmold' AS logger, 'batch_processed' AS message, '{run_ts_text}' AS ts, b.batch_id, b.cluster_id, "
+        "CAST(b.number_of_logs AS BIGINT) AS number_of_logs, b.cache_key, b.source, '' AS slm_raw_output, CAST(NULL AS BIGINT) AS total_logs, "
+        "CAST(NULL AS BIGINT) AS batch_count, CAST(NULL AS BIGINT) AS template_count, to_json(l.logs) AS logs_json FROM r_bt b "
+        "JOIN (SELECT batch_id, list(struct_pack(text := text, template := template, source := source, level := level, "
+        "event_type := event_type, masked := masked) ORDER BY idx) AS logs FROM r_logs GROUP BY batch_id) l ON b.batch_id = l.batch_id "
+        f"UNION ALL SELECT 'INFO', 'logmold', 'run_completed', '{run_ts_text}', NULL, NULL, NULL, NULL, NULL, NULL, count(*), "
+        "CAST(coalesce(max(batch_id), 0) AS BIGINT), count(DISTINCT template), NULL FROM r_logs"))
     examples = [
         "ex AS (SELECT template AS template_text, text AS original_log, level AS log_level, event_type, source, "
         f"batch_id, {ts(C.HISTORY_RUN_TS)} AS created_at, CAST(0 AS BIGINT) AS run, idx FROM h_logs UNION ALL "
@@ -365,7 +367,7 @@ def build() -> dict[str, str]:
         f"GROUP BY {LEAF}, text)",
         f"ex AS (SELECT {LEAF}, list(text ORDER BY rank) AS example_logs FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY {LEAF} ORDER BY pos) AS rank FROM firsts) x WHERE rank <= 3 GROUP BY {LEAF})",
-        f"dbg AS (SELECT {LEAF}, list(DISTINCT cluster_id ORDER BY cluster_id) AS cluster_ids FROM tl GROUP BY {LEAF})",
+        f"dbg AS (SELECT {LEAF}, count(DISTINCT cluster_id) AS cluster_count FROM tl GROUP BY {LEAF})",
     ], (
         f"SELECT l.level, {color('l.level')} AS color, l.event_type, CAST(row_number() OVER (PARTITION BY l.level, "
         f"l.event_type ORDER BY l.\"count\" DESC, l.first_pos) AS BIGINT) AS template_rank, l.template_text, "
@@ -377,13 +379,20 @@ def build() -> dict[str, str]:
         f"highlight_current_batch := l.cur > 0, instances := coalesce(i.instances, []), "
         f"instances_total := l.\"count\", instances_truncated := l.\"count\" > {limit}, "
         f"omitted_instances := greatest(l.\"count\" - {limit}, 0), example_logs := coalesce(e.example_logs, []), "
-        f"debug := struct_pack(cluster_ids := d.cluster_ids, cache_hit := l.cache, cache_miss := l.slm, "
+        f"debug := struct_pack(cluster_count := d.cluster_count, cache_hit := l.cache, cache_miss := l.slm, "
         f"raw_slm_outputs := CAST([] AS VARCHAR[])))) AS leaf_json "
         f"FROM leaves l LEFT JOIN r_stats s ON l.template_text = s.template_text "
         f"LEFT JOIN inst i ON l.level = i.level AND l.event_type = i.event_type AND l.template_text = i.template_text "
         f"LEFT JOIN ex e ON l.level = e.level AND l.event_type = e.event_type AND l.template_text = e.template_text "
         f"LEFT JOIN dbg d ON l.level = d.level AND l.event_type = d.event_type AND l.template_text = d.template_text"))
     o["pluggable_parser"] = o["batch_source"]
+    o["common_words_parser"] = with_(single + [
+        "words AS (SELECT batch_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (SELECT batch_id, "
+        f"list_filter(string_split_regex(text, {q(WS + '+')}), lambda t: t <> '') AS w FROM r_lb) x)",
+        f"common AS (SELECT batch_id, string_agg(word, ' ' ORDER BY place) AS template FROM (SELECT batch_id, place, count(*) AS n, "
+        f"CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE {q(T.PLACEHOLDER)} END AS word FROM words GROUP BY batch_id, place) p "
+        "JOIN (SELECT batch_id, number_of_logs FROM r_b) b USING (batch_id) WHERE n = number_of_logs GROUP BY batch_id)"],
+        "SELECT b.batch_id, b.cache_key, b.source, coalesce(c.template, '') AS template FROM r_bt b LEFT JOIN common c USING (batch_id)")
     o["stream_parse"] = with_(single, "SELECT idx, batch_id, cluster_id, template, source, level, event_type FROM r_logs")
     o["stream_level_counts"] = with_([LL], (
         f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + "
@@ -530,6 +539,40 @@ def build() -> dict[str, str]:
         "total AS (SELECT count(DISTINCT template) AS m FROM tokens)",
         "dfs AS (SELECT token, count(*) AS df FROM tokens GROUP BY token)"],
         "SELECT template, token, tf, df, round(tf * (1 + ln(CAST(1 + m AS DOUBLE) / (1 + df))), 6) AS weight FROM tokens JOIN dfs USING (token), total")
+    # distinct counts over runs: exact here, and in sketches of so few values
+    def measured(scope: str, name: str, value: str, group: str) -> str:
+        def side(p: str, where: str) -> str:
+            return f"count(DISTINCT v) FILTER (WHERE {where}) AS {p}"
+        return (f"SELECT {q(scope)} AS scope, name, count(DISTINCT v) AS n_total, {side('n_before', 'h')}, {side('n_latest', 'c')}, "
+                f"{side('n_both', 'h AND c')}, {side('n_new', 'c AND NOT h')} FROM (SELECT {name} AS name, {value} AS v, bool_or(run = 0) AS h, "
+                f"bool_or(run = 1) AS c FROM both_logs GROUP BY {group}) x GROUP BY name")
+
+    both = ("both_logs AS (SELECT template, cluster_id, text, 0 AS run FROM h_logs UNION ALL "
+            "SELECT template, cluster_id, text, 1 FROM c_logs)")
+    o["distinct_over_runs"] = with_(two_run_ctes() + [both], " UNION ALL ".join(
+        [measured("run", q(name), value, value) for name, value in (("templates", "template"), ("clusters", "cluster_id"), ("lines", "text"))]
+        + [measured("template", "template", "text", "template, text")]))
+
+    # snapshots of two shapes: the second run's leaves have debug values
+    runs = [f"{p}tl AS (SELECT {tlevel('level')} AS level, {bucket('text', 'event_type')} AS event_type, template AS template_text, "
+            f"source, batch_id, idx, text, cluster_id FROM {p}_logs)" for p in "hc"]
+    o["snapshot_documents"] = with_(two_run_ctes() + runs, " UNION ALL ".join(
+        f"SELECT CAST({sid} AS BIGINT) AS snapshot_id, CAST((SELECT max(batch_id) FROM {p}_logs) AS BIGINT) AS batch_id, "
+        f"CAST((SELECT count(*) FROM {p}_logs) AS BIGINT) AS total_logs, {LEAF}, count(*) AS \"count\", "
+        f"count(*) FILTER (WHERE source = 'CACHE') AS cache, {pct('count(*) FILTER (WHERE source = ' + q('CACHE') + ')', 'count(*)')} AS cache_pct, "
+        f"{hit} AS cache_hit, {clusters} AS clusters, first(text ORDER BY batch_id, idx) AS first_log, "
+        f"CAST(least(count(*), {limit}) AS BIGINT) AS instances FROM {p}tl GROUP BY {LEAF}"
+        for sid, p, hit, clusters in ((1, "h", "CAST(NULL AS BIGINT)", "CAST(NULL AS BIGINT)"),
+                                      (2, "c", "count(*) FILTER (WHERE source = 'CACHE')", "count(DISTINCT cluster_id)"))))
+    kinds = {"template_text": "STRING", "count": "BIGINT", "global_count": "BIGINT", "first_seen": "STRING", "last_seen": "STRING",
+             "source": "OBJECT", "current_batch_count": "BIGINT", "highlight_current_batch": "BOOLEAN", "instances": "ARRAY",
+             "instances_total": "BIGINT", "instances_truncated": "BOOLEAN", "omitted_instances": "BIGINT", "example_logs": "ARRAY", "debug": "OBJECT"}
+    listed = ", ".join(f"({q(k)}, {q(v)})" for k, v in kinds.items())
+    o["snapshot_shapes"] = with_(two_run_ctes() + runs + [
+        f"kinds AS (SELECT * FROM (VALUES {listed}) t(key, kind))",
+        f"sizes AS (SELECT CAST(1 AS BIGINT) AS snapshot_id, count(*) AS n FROM (SELECT DISTINCT {LEAF} FROM htl) a UNION ALL "
+        f"SELECT CAST(2 AS BIGINT), count(*) FROM (SELECT DISTINCT {LEAF} FROM ctl) b)"],
+        "SELECT snapshot_id, key, kind, n FROM kinds, sizes WHERE key <> 'debug' OR snapshot_id = 2")
     return o
 
 

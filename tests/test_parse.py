@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import lines_df
 from logmold.operators import trace as R
-from logmold.operators.generators import CallableGenerator, ModelGenerator
+from logmold.operators.generators import CallableGenerator, ModelGenerator, common_words
 from logmold.operators.parse import cache_hits, new_cache_entries, parse_logs
 from logmold.sources import store as ST
 
@@ -94,6 +94,13 @@ def test_callable_generator(spark):
     assert got == {"a <num>": "2 lines: A 1", "b": "1 lines: B"}
 
 
+def test_common_words(spark):
+    assert common_words(["a 1 b", "a 2  b c"]) == "a <*> b" and common_words(["", "a"]) == "" and common_words(["x 1"]) == "x 1"
+    r = parse_logs(lines_df(spark, ["up node 7 now", "up node 7 then", "up node 7", "down"]), generator=CallableGenerator(common_words))
+    got = {x["cluster_id"]: (x["template"], x["source"], x["slm_raw_output"]) for x in r.batches.collect()}
+    assert got == {"up node <num>": ("up node 7", "SLM", "up node 7"), "down": ("down", "SLM", "down")}
+
+
 def test_batch_trace_json(spark):
     import json
 
