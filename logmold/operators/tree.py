@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from logmold.functions.text import level_color, pct, source_norm, tree_bucket, tree_level
 from logmold.operators.batching import exclusive_running_sum
+from logmold.session import stash
 
 LEAF = ["level", "event_type", "template_text"]
 DEFAULT_INSTANCE_LIMIT = 25
@@ -202,8 +203,9 @@ def leaf_ranks(leaves: DataFrame) -> DataFrame:
 
 
 def leaf_json(docs: DataFrame) -> DataFrame:
-    """T2 flat: one JSON leaf per row with its path and rank."""
-    flat = docs.withColumn("template_text", F.col("leaf.template_text"))
+    """T2 flat: one JSON leaf per row with its path and rank (O5). The leaves are
+    written once; the ranks, which need their counts several times, read that."""
+    flat = stash(docs.withColumn("template_text", F.col("leaf.template_text")), "tree-leaves")
     return flat.join(leaf_ranks(flat), LEAF).select(
         "level", "color", "event_type", "template_rank", "template_text", F.to_json("leaf").alias("leaf_json"))
 
