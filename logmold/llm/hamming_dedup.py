@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmold.llm.common import components, groups_of, lower_hashes, map_batches, mix, prepare, shingles, stash, texts, whole_rows
@@ -237,22 +237,21 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # keys -> members of keys that several classes share, each set of members once
-    by_key = Window.partitionBy("key")
-    shared = (map_batches(classes.select("cid", "sig"), _keys, "key long, cid long")
-              .withColumn("m", F.count("*").over(by_key))
-              .withColumn("x1", F.bit_xor(F.xxhash64("cid")).over(by_key))
-              .withColumn("x2", F.bit_xor(F.xxhash64("cid", F.lit(5))).over(by_key))
-              .where("m > 1").select("x1", "x2", "m", "cid").distinct())
+    keys = map_batches(classes.select("cid", "sig"), _keys, "key long, cid long")
+    several = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(cid))").alias("x1"),
+        F.expr("bit_xor(xxhash64(cid, 5))").alias("x2")).where("m > 1")
+    shared = keys.join(several, "key").select("x1", "x2", "m", "cid").distinct()
     met = _blocks(shared.withColumn("nb", F.ceil(F.col("m") / BLOCK_MEMBERS)), "nb").join(classes.select("cid", "sig"), "cid")
     by = ["x1", "x2", "bi", "bj"]
     near = met.select(*by, "cid", "sig").repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(_by_signature, "u long, v long")
     families = components(near, "families")
 
     # exact links inside each family, on the full sets of its classes' texts
-    members = stash(
-        families.select(F.col("node").alias("cid"), F.col("root").alias("family"))
-        .join(classes.select("cid", "n", "best.k1", "best.k2"), "cid")
-        .withColumn("nb", F.ceil(F.sum("n").over(Window.partitionBy("family")) / BLOCK_SHINGLES)), "members")
+    found = (families.select(F.col("node").alias("cid"), F.col("root").alias("family"))
+             .join(classes.select("cid", "n", "best.k1", "best.k2"), "cid"))
+    size = found.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("nb"))
+    members = stash(found.join(size, "family"), "members")
     wanted = _wanted(spark, members)
 
     def grams():
