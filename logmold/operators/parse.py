@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmold.functions.text import event_type, log_level, mask_dynamic_parts
@@ -47,26 +47,30 @@ class ParseResult:
     batches: DataFrame
     keys: DataFrame
     clusters: DataFrame | None = None
+    written: bool = False
 
     def over(self, batches: DataFrame) -> ParseResult:
         """The run as its batch table says, once that has been written: lines,
-        keys and all that is made of them read it and nothing is parsed again."""
-        return ParseResult(lines_of(batches), batches, keys_of(batches), self.clusters)
+        keys, counts and all that is made of them read it and nothing is parsed again."""
+        return ParseResult(lines_of(batches), batches, keys_of(batches), self.clusters, written=True)
 
     def stored(self, name: str = "run") -> ParseResult:
         """The run with its batch table written once to the shared folder."""
         return self.over(stash(self.batches, name))
 
+    def _total(self, of_batches: Column, of_clusters: Column) -> int:
+        """One number of the run: from its batch table where that is written (one
+        pass over narrow columns), else from the small cluster table."""
+        table, total = (self.batches, of_batches) if self.written else (self.clusters, of_clusters)
+        return int(table.agg(F.coalesce(total, F.lit(0)).alias("n")).first()["n"])
+
     def line_count(self) -> int:
-        """Lines of the run, from the small cluster table."""
-        row = self.clusters.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n")).first()
-        return int(row["n"])
+        """Lines of the run; no pass over them."""
+        return self._total(F.sum("number_of_logs"), F.sum("n_lines"))
 
     def batch_count(self) -> int:
-        """The latest batch id (ids are dense 1..N), from the small
-        cluster table -- no pass over the lines."""
-        row = self.clusters.agg(F.coalesce(F.sum("n_batches"), F.lit(0)).alias("n")).first()
-        return int(row["n"])
+        """The latest batch id (ids are dense 1..N); no pass over the lines."""
+        return self._total(F.count(F.lit(1)), F.sum("n_batches"))
 
 
 def lookup_keys(batches: DataFrame, cache: DataFrame | None, generator: TemplateGenerator) -> DataFrame:

@@ -241,3 +241,12 @@ def test_line_numbers_of_any_ids(spark):
     assert [r["text"] for r in got] == want and [r["idx"] for r in got] == list(range(len(want)))
     hashed = df.where("turn = 7").selectExpr("xxhash64(id) AS id", "text")
     assert [r["idx"] for r in text_lines(hashed, ["id"]).orderBy("idx").collect()] == list(range(5))
+
+
+def test_counts_of_a_stored_run(spark):
+    """A written run counts from its batch table what the cluster table says, an empty one nothing."""
+    for texts in (TEXTS, []):
+        r = parse_logs(lines_df(spark, texts))
+        again = r.stored("counts")
+        assert (again.line_count(), again.batch_count()) == (r.line_count(), r.batch_count())
+        assert again.line_count() == len(texts)
