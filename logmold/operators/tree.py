@@ -139,11 +139,11 @@ def _utc_iso(ts: Column, session_tz: str) -> Column:
 
 
 def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
-                   debug: DataFrame | None = None) -> DataFrame:
-    """One JSON-ready struct per leaf (bounded arrays only). With the
-    rows of :func:`tree_debug` it has the number of the leaf's cluster ids and at
-    most ``RAW_OUTPUTS_PER_LEAF`` raw outputs; the ids themselves, of which a
-    general template may have any number, stay rows."""
+                   debug: DataFrame | None = None, cluster_ids: bool = False) -> DataFrame:
+    """One JSON-ready struct per leaf. With the rows of :func:`tree_debug`
+    it has at most ``RAW_OUTPUTS_PER_LEAF`` raw outputs and the number of the
+    leaf's cluster ids, or with ``cluster_ids`` all of them, sorted: a general
+    template may have any number. The other arrays are bounded."""
     tz = leaves.sparkSession.conf.get("spark.sql.session.timeZone")
     inst = instances.groupBy(*LEAF).agg(
         F.array_sort(F.collect_list(F.struct(
@@ -163,13 +163,15 @@ def leaf_documents(leaves: DataFrame, instances: DataFrame, examples: DataFrame,
         F.coalesce(F.transform("_ex", lambda x: x["example_log"]), F.array()).alias("example_logs"),
     ]
     if debug is not None:
+        of_cluster = F.col("kind") == "cluster_id"
+        clusters, none = ("cluster_ids", F.array()) if cluster_ids else ("cluster_count", F.lit(0))
         dbg = debug.groupBy(*LEAF).agg(
-            F.count_if(F.col("kind") == "cluster_id").alias("cluster_count"),
+            (F.array_sort(F.collect_set(F.when(of_cluster, F.col("value")))) if cluster_ids else F.count_if(of_cluster)).alias(clusters),
             F.array_sort(F.collect_set(F.when(F.col("kind") == "raw_slm_output", F.col("value")))).alias("raw_slm_outputs"),
         )
         joined = joined.join(dbg, LEAF, "left")
         fields.append(F.struct(
-            F.coalesce("cluster_count", F.lit(0)).alias("cluster_count"),
+            F.coalesce(clusters, none).alias(clusters),
             F.col("cache").alias("cache_hit"), F.col("slm").alias("cache_miss"),
             F.coalesce("raw_slm_outputs", F.array()).alias("raw_slm_outputs"),
         ).alias("debug"))

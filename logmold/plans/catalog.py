@@ -284,7 +284,7 @@ def q_tree_json(spark, sf_dir):
     stats = S.template_stats_of(r.batches, RUN_TS)
     docs = TR.leaf_documents(
         TR.tree_leaves(lines, stats, latest, True, INSTANCE_LIMIT),
-        TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines), TR.tree_debug(lines),
+        TR.tree_instances(lines, INSTANCE_LIMIT), TR.tree_examples(lines), TR.tree_debug(lines), cluster_ids=True,
     )
     return TR.leaf_json(docs)
 

@@ -96,3 +96,24 @@ def test_tree_document_reader(spark, tmp_root):
     assert got == want
     back = TR.tree_leaf_rows(TR.parse_tree_json(spark.createDataFrame([(json.dumps(doc),)], "tree_data STRING"))).count()
     assert back == len(want)
+
+
+def test_tree_json_lists_all_cluster_ids(spark, tmp_root):
+    """Two clusters of one leaf: the query's document names both, as its SQL does."""
+    import datetime as dt
+
+    from oracle_compare import canon, duck
+
+    from logmold.plans.catalog import QUERIES
+    from logmold.plans.oracle import ORACLE_SQL
+
+    rows = [(k, dt.datetime(2024, 1, 1, 0, k), 7, kind, f'{{"k": {k}}}') for k, kind in enumerate(["view", "error", "signup"] * 9, 1)]
+    spark.createDataFrame(rows, "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, props STRING").coalesce(1).write.parquet(f"{tmp_root}/events.parquet")
+    found = QUERIES["tree_json"](spark, tmp_root)
+    got = [tuple(r) for r in found.collect()]
+    ids = [json.loads(r[found.columns.index("leaf_json")])["debug"]["cluster_ids"] for r in got]
+    assert all(ids) and ids == [sorted(set(x)) for x in ids]
+    con = duck("/nowhere")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_root}/events.parquet/*.parquet')")
+    res = con.execute(ORACLE_SQL["tree_json"])
+    assert canon(got, found.columns) == canon(res.fetchall(), [d[0] for d in res.description])
