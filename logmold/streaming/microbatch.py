@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logmold.functions.text import cache_key, signature
 from logmold.operators.generators import fallback_template
-from logmold.session import ship_package
+from logmold.session import DEFAULT_CONF, ship_package
 from logmold.sources import store as ST
 
 LINES = "array<struct<idx: bigint, us: bigint, text: string>>"
@@ -33,60 +33,63 @@ TABLE = ("cluster_id STRING, lane BIGINT, batch_no BIGINT, closed_by STRING, num
          f"cache_key STRING, template STRING, lines {LINES}, epoch BIGINT")
 
 
-class _Batching(StatefulProcessor):
-    """Open lines of one cluster and lane."""
-
-    def __init__(self, batch_size: int, wait_us: int):
-        self.batch_size, self.wait_us = batch_size, wait_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "idx BIGINT, us BIGINT, text STRING")
-        self.number = handle.getValueState("number", "n BIGINT")
-
-    def _frame(self, key: tuple, closed: list[tuple[str, list[tuple]]]):
-        import pandas as pd
-
-        start = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((start + len(closed),))
-        return pd.DataFrame({
-            "cluster_id": [key[0]] * len(closed), "lane": [key[1]] * len(closed), "batch_no": [start + 1 + k for k in range(len(closed))],
-            "closed_by": [by for by, _ in closed], "lines": [[dict(zip(("idx", "us", "text"), x)) for x in lines] for _, lines in closed]})
-
-    def _keep(self, held: list[tuple]) -> None:
-        """Writes the open lines back, with the one timer of the first of them."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held:
-            self.open.put(held)
-            self.handle.registerTimer((held[0][1] + self.wait_us) // 1000 + 1)
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        closed = []
-        new = [x for frame in rows for x in zip(frame["idx"].tolist(), frame["us"].tolist(), frame["text"].tolist())]
-        for line in sorted(new, key=lambda x: x[0]):
-            if held and line[1] - held[0][1] > self.wait_us:
-                closed.append(("time", held))
-                held = []
-            held.append(line)
-            if len(held) == self.batch_size:
-                closed.append(("size", held))
-                held = []
-        self._keep(held)
-        if closed:
-            yield self._frame(key, closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        if held and (held[0][1] + self.wait_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
-            yield self._frame(key, [("time", held)])
-
-    def close(self) -> None:
-        pass
+def _batching(batch_size: int, wait_us: int) -> StatefulProcessor:
+    """Processor of one cluster and lane. Its class is made here so that it travels by value:
+    the driver's worker, which asks it for its state, doesn't get the shipped package."""
+
+    class Batching(StatefulProcessor):
+        """Open lines of one cluster and lane."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.open = handle.getListState("open", "idx BIGINT, us BIGINT, text STRING")
+            self.number = handle.getValueState("number", "n BIGINT")
+
+        def _frame(self, key: tuple, closed: list[tuple[str, list[tuple]]]):
+            import pandas as pd
+
+            start = self.number.get()[0] if self.number.exists() else 0
+            self.number.update((start + len(closed),))
+            return pd.DataFrame({
+                "cluster_id": [key[0]] * len(closed), "lane": [key[1]] * len(closed), "batch_no": [start + 1 + k for k in range(len(closed))],
+                "closed_by": [by for by, _ in closed], "lines": [[dict(zip(("idx", "us", "text"), x)) for x in lines] for _, lines in closed]})
+
+        def _keep(self, held: list[tuple]) -> None:
+            """Writes the open lines back, with the one timer of the first of them."""
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:
+                self.open.put(held)
+                self.handle.registerTimer((held[0][1] + wait_us) // 1000 + 1)
+            else:
+                self.open.clear()
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
+            held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+            closed = []
+            new = [x for frame in rows for x in zip(frame["idx"].tolist(), frame["us"].tolist(), frame["text"].tolist())]
+            for line in sorted(new, key=lambda x: x[0]):
+                if held and line[1] - held[0][1] > wait_us:
+                    closed.append(("time", held))
+                    held = []
+                held.append(line)
+                if len(held) == batch_size:
+                    closed.append(("size", held))
+                    held = []
+            self._keep(held)
+            if closed:
+                yield self._frame(key, closed)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+            held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+            if held and (held[0][1] + wait_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.clear()
+                yield self._frame(key, [("time", held)])
+
+        def close(self) -> None:
+            pass
+
+    return Batching()
 
 
 def window_batches(lines: DataFrame, batch_size: int = 16, wait: str = "6 hours", delay: str = "1 minute",
@@ -104,7 +107,7 @@ def window_batches(lines: DataFrame, batch_size: int = 16, wait: str = "6 hours"
     keyed = timed.select(signature(F.col("text"), min_tokens).alias("cluster_id"), F.pmod("idx", F.lit(lanes)).cast("long").alias("lane"),
                          "idx", "ts", F.unix_micros("ts").alias("us"), "text")
     closed = keyed.groupBy("cluster_id", "lane").transformWithStateInPandas(
-        _Batching(batch_size, wait_us), BATCHES, outputMode="append", timeMode="EventTime")
+        _batching(batch_size, wait_us), BATCHES, outputMode="append", timeMode="EventTime")
     first, texts = F.col("lines")[0], F.transform("lines", lambda x: x["text"])
     return closed.select(
         "cluster_id", "lane", "batch_no", "closed_by", F.size("lines").cast("long").alias("number_of_logs"), first["idx"].alias("first_idx"),
@@ -114,10 +117,19 @@ def window_batches(lines: DataFrame, batch_size: int = 16, wait: str = "6 hours"
 
 def write_batches(batches: DataFrame, store: ST.EpochTables, checkpoint: str):
     """Runs the stream over the input available now; each trigger's closed batches are
-    its epoch's rows of ``window_batches``, replaced if the trigger is replayed."""
-    query = (batches.writeStream.outputMode("append")
-             .foreachBatch(lambda batch, epoch: store.write("window_batches", batch, int(epoch)) and None)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    its epoch's rows of ``window_batches``, replaced if the trigger is replayed.
+
+    Keyed state with timers needs the RocksDB store: the query, which copies the
+    settings when it starts, gets it whatever the session has."""
+    conf, provider = batches.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(provider, None)
+    conf.set(provider, DEFAULT_CONF[provider])
+    try:
+        query = (batches.writeStream.outputMode("append")
+                 .foreachBatch(lambda batch, epoch: store.write("window_batches", batch, int(epoch)) and None)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.unset(provider) if before is None else conf.set(provider, before)
     query.awaitTermination()
     return query
 

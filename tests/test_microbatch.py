@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from logmold.sources import store as ST
+from logmold.streaming import microbatch
 from logmold.streaming.microbatch import read_batches, window_batches, write_batches
 
 T0 = dt.datetime(2024, 1, 1)
@@ -81,3 +85,23 @@ def test_templates_are_of_first_lines(spark, tmp_root):
     run(spark, tmp_root, [lines])
     row = read_batches(ST.EpochTables(spark, f"{tmp_root}/tables")).select("template", "number_of_logs", "first_idx", "last_idx", F.length("cache_key").alias("key")).collect()
     assert [tuple(r) for r in row] == [("user <*> signed in", 4, 0, 3, 64)]
+
+
+def test_plain_session_and_workers_without_the_package(spark, tmp_root):
+    """A session that names no state store; the processor loads where ``logmold`` can't be imported."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)
+    try:
+        plain = spark.conf.get(provider, None)
+        lines = [(k, T0, f"user {k} signed in") for k in range(4)]
+        assert [x[3:] for x in run(spark, tmp_root, [lines])] == [("size", (0, 1, 2, 3))]
+        assert spark.conf.get(provider, None) == plain
+    finally:
+        spark.conf.set(provider, before)
+    with open(f"{tmp_root}/processor", "wb") as f:
+        f.write(cloudpickle.dumps(microbatch._batching(4, 1)))
+    code = f"import pickle; print(type(pickle.load(open({tmp_root + '/processor'!r}, 'rb'))).__name__)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_root, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "Batching", done.stderr
