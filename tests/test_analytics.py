@@ -143,3 +143,26 @@ def test_empty_tables(spark):
     for df in (line_parameters(lines), AN.count_anomalies(counts), AN.early_warnings(counts), AN.sequence_anomalies(steps, AN.transition_counts(steps), 0),
                found, IN.incident_templates(lines, found), IN.similar_sets(IN.template_tokens(lines).select(F.col("template").alias("id"), "token"))):
         assert df.count() == 0
+
+
+def test_common_tokens_are_the_most_frequent(spark):
+    df = spark.createDataFrame([(f"t{k}", k) for k in range(1, 101)], "token STRING, df BIGINT")
+    assert sorted(r["df"] for r in IN.common_tokens(df, 10).collect()) == list(range(91, 101))
+    assert IN.common_tokens(df, 1000).count() == 100 and IN.common_tokens(df, 0).count() == 0
+
+
+@pytest.mark.parametrize("common", [0, 3, 1000])
+def test_pairs_of_sets_meet_without_their_ids(spark, monkeypatch, common):
+    """Any table of common tokens gives the same rows; the links are numbers, not ids."""
+    rows = [(f"set {i}", f"t{t}") for i in range(60) for t in {i % 7, i % 11, (i * i) % 13, i // 9, 50 + i % 3}]
+    sets = {i: frozenset(t for j, t in rows if j == i) for i, _ in rows}
+    want = {}
+    for i, x in sets.items():
+        near = sorted((-len(x & y) / len(x | y), j) for j, y in sets.items() if j != i and 100 * len(x & y) >= 50 * len(x | y))
+        want.update({(i, k): j for k, (_, j) in enumerate(near[:3], 1)})
+    kept, stash = {}, IN.stash
+    monkeypatch.setattr(IN, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    monkeypatch.setattr(IN, "common_tokens", lambda df, most=common, f=IN.common_tokens: f(df, most))
+    got = IN.similar_sets(spark.createDataFrame(rows, "id STRING, token STRING"))
+    assert {(r["id"], r["rank"]): r["other"] for r in got.collect()} == want
+    assert dict(kept["set-links"].dtypes)["c1"] == "bigint"
