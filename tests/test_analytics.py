@@ -166,3 +166,18 @@ def test_pairs_of_sets_meet_without_their_ids(spark, monkeypatch, common):
     got = IN.similar_sets(spark.createDataFrame(rows, "id STRING, token STRING"))
     assert {(r["id"], r["rank"]): r["other"] for r in got.collect()} == want
     assert dict(kept["set-links"].dtypes)["c1"] == "bigint"
+
+
+def test_rows_meet_frequencies_without_their_templates(spark, monkeypatch, capsys):
+    lines = spark.createDataFrame([(f"user {k % 5} of host h{k} said word w{k % 3}",) for k in range(30)], "template STRING")
+    tokens = IN.template_tokens(lines)
+    fitted, common = IN.document_frequencies(tokens), IN.common_tokens
+    want = {(r["template"], r["token"]): r["df"] for r in tokens.join(fitted, "token").collect()}
+    for most in (0, 4, 1000):
+        monkeypatch.setattr(IN, "common_tokens", lambda df, n=most: common(df, n))
+        found = IN.template_vectors(tokens, fitted, 30)
+        assert {(r["template"], r["token"]): r["df"] for r in found.collect()} == want
+        capsys.readouterr()
+        found.explain("formatted")
+        blocks = [b for b in capsys.readouterr().out.split("\n\n") if "Exchange" in b and "hashpartitioning(token#" in b]
+        assert not any("template#" in b for b in blocks)
