@@ -181,3 +181,12 @@ def test_rows_meet_frequencies_without_their_templates(spark, monkeypatch, capsy
         found.explain("formatted")
         blocks = [b for b in capsys.readouterr().out.split("\n\n") if "Exchange" in b and "hashpartitioning(token#" in b]
         assert not any("template#" in b for b in blocks)
+
+
+def test_rows_of_a_prefix_dont_carry_their_set(spark):
+    """Two sets of many long tokens: a set for each row of its prefix would take many gigabytes."""
+    token = F.concat(F.lit("t" * 120), F.col("k").cast("string"))
+    rows = spark.range(60_000).withColumn("k", F.col("id")).select(
+        F.explode(F.expr("filter(array(if(k < 50000, 'a', null), if(k >= 10000, 'b', null)), x -> x is not null)")).alias("id"), token.alias("token"))
+    got = {(r["id"], r["rank"], r["other"], r["shared"]) for r in IN.similar_sets(rows).collect()}
+    assert got == {("a", 1, "b", 40_000), ("b", 1, "a", 40_000)}
