@@ -190,3 +190,23 @@ def test_rows_of_a_prefix_dont_carry_their_set(spark):
         F.explode(F.expr("filter(array(if(k < 50000, 'a', null), if(k >= 10000, 'b', null)), x -> x is not null)")).alias("id"), token.alias("token"))
     got = {(r["id"], r["rank"], r["other"], r["shared"]) for r in IN.similar_sets(rows).collect()}
     assert got == {("a", 1, "b", 40_000), ("b", 1, "a", 40_000)}
+
+
+@pytest.mark.parametrize("rows_a_round", [20, 1_000_000])
+def test_rounds_of_the_join_give_the_same_rows(spark, monkeypatch, rows_a_round):
+    """Large sets share most of their tokens and nothing more; few of their pairs outlast the join."""
+    rng = np.random.default_rng(8)
+    sets = {i: frozenset(f"w{x}" for x in rng.choice(400, int(rng.integers(60, 120)), replace=False)) for i in range(80)}
+    sets |= {100 + i: frozenset(list(sets[i])[3:]) | {"new"} for i in range(5)}
+    kept, stash = {}, IN.stash
+    monkeypatch.setattr(IN, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    monkeypatch.setattr(IN, "ROUND_ROWS", rows_a_round)
+    got = IN.similar_token_sets(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id BIGINT, tokens ARRAY<STRING>"))
+    want = []
+    for i, s in sets.items():
+        near = sorted((-len(s & t) / len(s | t), j, len(s & t)) for j, t in sets.items() if j != i and 2 * len(s & t) >= len(s | t))
+        want += [(i, k + 1, j, shared, -sim) for k, (sim, j, shared) in enumerate(near[:3])]
+    assert sorted((r["id"], r["rank"], r["other"], r["shared"], r["similarity"]) for r in got.collect()) == sorted(want) != []
+    found = [df for name, df in kept.items() if name.startswith("set-pairs")]
+    assert len(found) == (IN.ROUNDS if rows_a_round == 20 else 1)
+    assert len({(r["c1"], r["c2"]) for df in found for r in df.collect()}) < len(sets) * (len(sets) - 1) // 20

@@ -98,3 +98,15 @@ def test_exclusive_running_sum_levels(spark):
     for _, o, w in sorted(x for x in rows if x[0] == "a"):
         assert flat[o] == acc
         acc += w
+
+
+def test_text_of_batches_is_shuffled_once(spark):
+    """All branches over the batches share the shuffle that gathers their lines."""
+    from logmold.operators.parse import parse_logs
+
+    result = parse_logs(lines_df(spark, [f"kind{i % 7} said {i}" for i in range(200)]))
+    for df in (result.keys.select("template"), result.batches):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        made = [x for x in plan.split("\n") if "Exchange hashpartitioning(batch_id" in x and "REPARTITION_BY_COL" in x]
+        assert len([x for x in made if "ReusedExchange" not in x]) == 1 < len(made)

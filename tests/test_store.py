@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+
+from pyspark.sql import functions as F
 
 from logmold.operators.stats import merge_stats, stats_view, template_stats, top_templates
 from logmold.sources import store as ST
@@ -131,3 +134,18 @@ def test_examples_and_snapshots(spark, tmp_root):
         ST.append_snapshot(s, ST.snapshot_rows(leaf, sid, "2024-01-01 00:00:00", 3, 10))
     latest = ST.latest_snapshot(ST.load_tree_history(s)).collect()
     assert {r["snapshot_id"] for r in latest} == {2}
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    from logmold.session import DROP_SHUFFLES, stash
+
+    shuffles = lambda: {s for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if s.isShuffle()}
+    before, held = {str(s) for s in shuffles()}, spark.conf.get(DROP_SHUFFLES, None)
+    table = stash(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 5).alias("k")).count(), "counts")
+    for _ in range(50):  # they go in the background
+        if not {str(s) for s in shuffles()} - before:
+            break
+        time.sleep(0.2)
+    assert not {str(s) for s in shuffles()} - before
+    assert table.count() == 5 and spark.conf.get(DROP_SHUFFLES, None) == held
