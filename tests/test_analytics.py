@@ -210,3 +210,15 @@ def test_rounds_of_the_join_give_the_same_rows(spark, monkeypatch, rows_a_round)
     found = [df for name, df in kept.items() if name.startswith("set-pairs")]
     assert len(found) == (IN.ROUNDS if rows_a_round == 20 else 1)
     assert len({(r["c1"], r["c2"]) for df in found for r in df.collect()}) < len(sets) * (len(sets) - 1) // 20
+
+
+def test_tokens_are_counted_inside_the_row(spark, capsys):
+    """A template's words are not dealt out, nor gathered, under the text of the template."""
+    lines = spark.createDataFrame([("b a B <*>",), ("b a B <*>",), ("!!",), ("x",), (None,), ("",)], "template STRING")
+    tokens = IN.template_tokens(lines)
+    assert sorted((r["template"], r["token"], r["tf"]) for r in tokens.collect()) == [
+        ("b a B <*>", "<*>", 1), ("b a B <*>", "a", 1), ("b a B <*>", "b", 2), ("x", "x", 1)]
+    capsys.readouterr()
+    tokens.explain("formatted")
+    blocks = capsys.readouterr().out.split("\n\n")
+    assert not any("Keys [2]" in b or "token#" in b for b in blocks if "HashAggregate" in b or "Exchange" in b)
